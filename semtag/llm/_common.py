@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word, as every operator here understands it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +60,28 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add; names match as Spark matches them."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def append_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """df with the columns of ``fields`` ("name type, ..."), computed batch by batch.
+
+    ``make()`` runs once in a task and gives a function from a batch to one sequence of values for each
+    field. Input columns of the added names are replaced; all others pass through as they are.
+    """
+    prepare(df.sparkSession)
+    added = T.StructType.fromDDL(fields)
+    df = without(df, *added.names)
+    kinds = to_arrow_schema(added).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            new = [pa.array(v, k) for v, k in zip(compute(batch), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
+def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
+    """A text column's values as UTF-8."""
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .langid import op4_language
+from .mixing import op5_mix
 from .packing import op9_pack
+from .quality import op2_quality
 from .sharding import op10_shard
 
-QUERIES = {"op9_pack": op9_pack, "op10_shard": op10_shard}
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_language": op4_language,
+    "op5_mix": op5_mix,
+    "op9_pack": op9_pack,
+    "op10_shard": op10_shard,
+}
 ORACLE_SQL: dict[str, str] = {}
