@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import op6_chat
+from .extraction import op7_extract
 from .langid import op4_language
 from .mixing import op5_mix
 from .packing import op9_pack
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_language": op4_language,
     "op5_mix": op5_mix,
+    "op6_chat": op6_chat,
+    "op7_extract": op7_extract,
     "op9_pack": op9_pack,
     "op10_shard": op10_shard,
 }
