@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_search
 from .chat import op6_chat
 from .extraction import op7_extract
 from .langid import op4_language
@@ -11,6 +12,7 @@ from .quality import op2_quality
 from .sharding import op10_shard
 
 QUERIES = {
+    "op1_search": op1_search,
     "op2_quality": op2_quality,
     "op4_language": op4_language,
     "op5_mix": op5_mix,
