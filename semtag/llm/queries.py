@@ -7,6 +7,7 @@ from .chat import op6_chat
 from .extraction import op7_extract
 from .langid import op4_language
 from .mixing import op5_mix
+from .neardup import op8_near_duplicates
 from .packing import op9_pack
 from .quality import op2_quality
 from .sharding import op10_shard
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op6_chat": op6_chat,
     "op7_extract": op7_extract,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_pack": op9_pack,
     "op10_shard": op10_shard,
 }
