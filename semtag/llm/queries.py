@@ -6,6 +6,7 @@ from .ann import op1_search
 from .chat import op6_chat
 from .extraction import op7_extract
 from .langid import op4_language
+from .lm import op3_score
 from .mixing import op5_mix
 from .neardup import op8_near_duplicates
 from .packing import op9_pack
@@ -15,6 +16,7 @@ from .sharding import op10_shard
 QUERIES = {
     "op1_search": op1_search,
     "op2_quality": op2_quality,
+    "op3_score": op3_score,
     "op4_language": op4_language,
     "op5_mix": op5_mix,
     "op6_chat": op6_chat,
