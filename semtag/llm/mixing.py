@@ -20,47 +20,47 @@ from pyspark.sql import functions as F
 
 from ._common import prepare, table, without, word_count
 
-#: Standard deviations around the mean within which a draw is looked for.
-REACH = 9
+#: Candidates of one hypergeometric draw.
+TRIES = 32
 
 
-def log_factorial(x: Column) -> Column:
-    """ln x! by Stirling's series at x + 8, led back; absolute error below 1e-9 for x >= 0."""
-    y = x + 8
-    series = (y + 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y)
-    down = (x + 1) * (x + 2) * (x + 3) * (x + 4)
-    return series - F.log(down) - F.log((x + 5) * (x + 6) * (x + 7) * (x + 8))
+def log_factorial(x: str) -> str:
+    """SQL for ln x! by Stirling's series at x + 8, led back; absolute error below 1e-9 for x >= 0."""
+    y = f"({x} + 8)"
+    series = f"({y} + 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y})"
+    down = ", ".join(f"ln(({x} + {i}) * ({x} + {i + 1}) * ({x} + {i + 2}) * ({x} + {i + 3}))" for i in (1, 5))
+    return f"({series} - {down.replace('), ln', ') - ln')})"
 
 
-def hypergeometric(df: DataFrame, name: str, drawn: str, inside: str, total: str, u: Column) -> DataFrame:
-    """df with ``name``: how many of ``drawn`` out of ``total`` fall among ``inside``, by inversion of the distribution at u.
+def log_chance(x: str) -> str:
+    """SQL for the logarithm of a value's hypergeometric probability, up to a constant."""
+    return "-(" + " + ".join(log_factorial(f"({y})") for y in (x, f"__k - {x}", f"__n - {x}", f"__m - __k - __n + {x}")) + ")"
 
-    Values farther than REACH standard deviations from the mean are not looked at. All three inputs are
-    columns of whole numbers, drawn <= total and inside <= total.
+
+def hypergeometric(df: DataFrame, name: str, drawn: str, inside: str, total: str, seeds: str) -> DataFrame:
+    """df with ``name``: how many of ``drawn`` out of ``total`` fall among ``inside``; all are columns of whole numbers.
+
+    Exact, by ratio of uniforms: candidates centre + scale * v / u, the first with u * u at most its
+    probability relative to the mode's. Of TRIES candidates, each accepted with a probability over 0.6,
+    none is with a probability below 1e-12; then it is the mode.
     """
-    n, k, m = (F.col(f"__{c}") for c in "nkm")
-    at = lambda x: -(log_factorial(x) + log_factorial(k - x) + log_factorial(n - x) + log_factorial(m - k - n + x))
-    mean, spread, low, high, top = (F.col(f"__{c}") for c in ("mean", "spread", "low", "high", "top"))
-    share, rest = k / F.greatest(m, F.lit(1.0)), (m - n) / F.greatest(m - 1, F.lit(1.0))
-    df = df.withColumns({"__n": F.col(drawn).cast("double"), "__k": F.col(inside).cast("double"), "__m": F.col(total).cast("double"), "__u": u})
-    df = df.withColumn("__mean", n * share).withColumn("__spread", F.sqrt(F.greatest(mean * (1 - share) * rest, F.lit(0.0))))
-    df = df.withColumns({
-        "__low": F.greatest(F.lit(0.0), n + k - m, F.floor(mean - REACH * spread - 2).cast("double")),
-        "__high": F.least(n, k, F.ceil(mean + REACH * spread + 2).cast("double")),
-    })
-    df = df.withColumn("__top", at(F.least(F.greatest(F.floor(mean).cast("double"), low), high)))
-    weights = F.transform(F.sequence(low.cast("long"), high.cast("long")), lambda x: F.exp(at(x.cast("double")) - top))
-    df = df.withColumn("__weights", weights)
-    df = df.withColumn("__goal", F.col("__u") * F.aggregate("__weights", F.lit(0.0), lambda a, w: a + w))
-    # values passed before the running weight reaches the goal
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("passed"))
-    passed = F.aggregate(
-        "__weights",
-        start,
-        lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["passed"] + F.when(a["sum"] + w < F.col("__goal"), 1).otherwise(0)).alias("passed")),
-    )["passed"]
-    df = df.withColumn(name, F.least(low.cast("long") + passed, high.cast("long")))
-    return df.drop(*[f"__{c}" for c in ("n", "k", "m", "u", "mean", "spread", "low", "high", "top", "weights", "goal")])
+    uniform = lambda which: f"((pmod(xxhash64({seeds}, i, {which}), 4503599627370496) + 0.5D) / 4503599627370496D)"
+    keep = list(df.columns)
+    df = df.selectExpr("*", f"double({drawn}) as __n", f"double({inside}) as __k", f"double({total}) as __m")
+    df = df.selectExpr(
+        "*",
+        "greatest(0D, __n + __k - __m) as __low",
+        "least(__n, __k) as __high",
+        "double(floor((__n + 1) * (__k + 1) / (__m + 2))) as __middle",
+        "__n * __k / greatest(__m, 1D) + 0.5D as __centre",
+        "1.7155277699214135D * sqrt(greatest(__n * __k / greatest(__m, 1D) * (1 - __k / greatest(__m, 1D)) * (__m - __n) / greatest(__m - 1, 1D), 0D) + 0.5D) + 0.8989161620588988D as __scale",
+    )
+    df = df.selectExpr("*", "least(greatest(__middle, __low), __high) as __mode")
+    draws = f"transform(sequence(1, {TRIES}), i -> named_struct('u', {uniform(0)}, 'v', {uniform(1)}))"
+    values = f"transform({draws}, t -> named_struct('x', double(floor(__centre + __scale * (t.v - 0.5D) / t.u)), 'l', 2 * ln(t.u)))"
+    df = df.selectExpr("*", f"{log_chance('__mode')} as __top", f"filter({values}, t -> t.x >= __low and t.x <= __high) as __tries")
+    found = f"try_element_at(filter(__tries, t -> t.l <= {log_chance('t.x')} - __top), 1).x"
+    return df.selectExpr(*keep, f"bigint(coalesce({found}, __mode)) as {name}")
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -97,9 +97,7 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, shards: int
     added = ["size", "source_size", "target", "taken", "mix_shard", "mix_order"]
     df = without(df, *added)
     sized = df.withColumn("size", word_count(F.col("text")))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    rows = per_source.agg(F.sum("n")).first()[0] or 0
-    depth = max(math.ceil(math.log2(max(1, rows / leaf_rows))), int(math.log2(shards)))
+    depth = max(math.ceil(math.log2(max(1, df.count() / leaf_rows))), int(math.log2(shards)))
     leaves = 1 << depth
     tie = F.xxhash64("doc_id", "text", F.lit(seed))
     slim = sized.withColumn("mix_order", tie).withColumn("__leaf", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(leaves)).cast("int"))
@@ -108,23 +106,20 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, shards: int
     by_leaf = F.map_from_entries(F.collect_list(F.struct("__leaf", "words")))
     tree = counts.groupBy("source").agg(by_leaf.alias("m"))
     tree = tree.select("source", F.transform(F.sequence(F.lit(0), F.lit(leaves - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
-    targets = source_targets(per_source.select("source", "source_size"))
+    targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")))
     tree = tree.join(targets, tree["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     goal = F.round("target").cast("long")
     second = F.when(goal > F.col("source_size"), goal - F.col("source_size")).otherwise(goal)
     tree = tree.select("source", "source_size", "target", (goal > F.col("source_size")).cast("long").alias("whole"), "words", second.alias("quota"), F.lit(0).alias("node"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    plain = ["source", "source_size", "target", "whole"]
+    total = lambda a: f"aggregate({a}, 0L, (x, y) -> x + y)"
     for level in range(depth):
         half = leaves >> (level + 1)
-        u = (F.pmod(F.xxhash64("source", "node", F.lit(level), F.lit(seed + 2)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        parts = tree.withColumn("left", F.slice("words", 1, half)).withColumn("right", F.slice("words", half + 1, half))
-        parts = parts.withColumn("k", total(F.col("left"))).withColumn("m", F.col("k") + total(F.col("right")))
-        parts = hypergeometric(parts, "to_left", "quota", "k", "m", u)
-        sides = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("words"), F.col("to_left").alias("quota")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.col("right").alias("words"), (F.col("quota") - F.col("to_left")).alias("quota")),
-        )
-        tree = parts.select("source", "source_size", "target", "whole", F.explode(sides).alias("side")).select("source", "source_size", "target", "whole", "side.*")
+        parts = tree.selectExpr(*plain, "node", "quota", f"slice(words, 1, {half}) as left", f"slice(words, {half + 1}, {half}) as right")
+        parts = parts.selectExpr("*", f"{total('left')} as k", f"{total('left')} + {total('right')} as m")
+        parts = hypergeometric(parts, "to_left", "quota", "k", "m", f"source, node, {level}, {seed + 2}")
+        sides = "inline(array(struct(node * 2 as node, left as words, to_left as quota), struct(node * 2 + 1 as node, right as words, quota - to_left as quota)))"
+        tree = parts.selectExpr(*plain, sides)
     quotas = tree.select(F.col("source").alias("__s"), F.col("node").alias("__n"), "source_size", "target", "whole", "quota")
 
     joined = slim.join(quotas, slim["source"].eqNullSafe(F.col("__s")) & (F.col("__leaf") == F.col("__n")))
