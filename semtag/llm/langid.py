@@ -150,12 +150,13 @@ def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documen
             yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in (("doc_id", pa.int64()), ("at", pa.int64()), ("lang", pa.string()), ("bytes", pa.binary()))], names=list(rows))
 
     sample = learn.where(part < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    rows = sorted((r["doc_id"], r["at"], r["lang"], bytes(r["bytes"])) for r in sample.mapInArrow(cut, "doc_id long, at long, lang string, bytes binary").collect())
+    found = sample.mapInArrow(cut, "doc_id long, at long, lang string, bytes binary").collect()
+    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["at"], r["lang"], bytes(r["bytes"])) for r in found)
     if not rows:
         return None
     classes = [lang for lang, _ in counts]
     x = np.stack([np.frombuffer(b, np.uint8) for *_, b in rows])
-    return train(x, np.array([classes.index(lang) for _, _, lang, _ in rows]), classes)
+    return train(x, np.array([classes.index(lang) for *_, lang, _ in rows]), classes)
 
 
 def predict_languages(df: DataFrame, net: ByteCNN | None) -> DataFrame:

@@ -50,8 +50,6 @@ def test_probabilities_add_up():
 
 def test_rare_words_use_the_join(docs, monkeypatch):
     monkeypatch.setattr(lm, "KNOWN", 20)
-    monkeypatch.setattr(lm, "SHORTLIST", 10)
-    monkeypatch.setattr(lm, "ENTRIES", 10 + lm.CLASSES)
     few = lm.score_texts(docs, lm.fit(docs)).select("doc_id", "n_known", "base_score").collect()
     monkeypatch.undo()
     many = lm.score_texts(docs, lm.fit(docs)).select("doc_id", "n_known", "base_score").collect()
