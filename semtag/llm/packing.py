@@ -27,7 +27,8 @@ MARK = "\x01"
 class WordTokenizer:
     """Token ids of whole texts, remembered by word.
 
-    Sound only for tokenizers whose tokens never span ASCII white space, which drop that white space.
+    Sound only for tokenizers that drop ASCII white space, with no token across it, and lower-case ASCII
+    letters: words are remembered in lower case.
     """
 
     def __init__(self, path: str, remembered: int = 800_000):
@@ -58,7 +59,7 @@ class WordTokenizer:
                     self.known[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
+        split = [(t or b"").lower().split() for t in texts]
         for i in range(0, len(split), 64):
             part = split[i : i + 64]
             new = list({w for words in part for w in words if w not in self.known})
