@@ -204,7 +204,7 @@ def pack_documents(
     packed = df.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(first, PIECES).checkpoint()
     done, parts, step = [packed.where("not open")], packed.rdd.getNumPartitions(), 0
     while True:
-        parts, step = -(-parts // fan_in), step + 1
+        parts, step = max(1, -(-parts // fan_in)), step + 1
         group = (F.col("worker") / fan_in).cast("long")
         left = packed.where("open").withColumn("worker", group)
         left = left.repartitionByRange(parts, "worker") if parts > 1 else left.coalesce(1)
