@@ -27,7 +27,7 @@ TRIES = 32
 def log_factorial(x: str) -> str:
     """SQL for ln x! by Stirling's series at x + 8, led back; absolute error below 1e-9 for x >= 0."""
     y = f"({x} + 8)"
-    series = f"({y} + 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y})"
+    series = f"({y} + 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) + 1 / (1260 * {y} * {y} * {y} * {y} * {y})"
     down = ", ".join(f"ln(({x} + {i}) * ({x} + {i + 1}) * ({x} + {i + 2}) * ({x} + {i + 3}))" for i in (1, 5))
     return f"({series} - {down.replace('), ln', ') - ln')})"
 
