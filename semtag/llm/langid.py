@@ -213,8 +213,8 @@ def op4_language(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network can tell with a score of at least one half."""
+    """Documents whose language the network can tell, with a score of at least 0.3."""
     net = fit_languages(docs)
     renamed = docs.withColumnRenamed("lang_pred", "__lang_pred").withColumnRenamed("score", "__score")
-    kept = predict_languages(renamed, net).where(f"lang_pred != '{UNDETERMINED}' and score >= 0.5")
+    kept = predict_languages(renamed, net).where(f"lang_pred != '{UNDETERMINED}' and score >= 0.3")
     return kept.drop("lang_pred", "score").toDF(*docs.columns)
