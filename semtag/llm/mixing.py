@@ -6,7 +6,7 @@ document, with power-of-two many leaves, so that one holds few documents. A pass
 binary tree: at each node the left half gets a hypergeometric draw (as many as would fall there if that
 many words were drawn from the node without replacement) and the right half the rest, so the leaves'
 quotas add up exactly. In a leaf, documents are permuted by a second hash and taken until the quota is
-used up; the last one is taken in part. Leaves are grouped into output shards, shuffled inside.
+used up; the last one is taken in part. Each leaf is an output shard, of bounded size, shuffled inside.
 
 Everything is built-in expressions. Draws come from hashes of seed, source and node: reruns agree.
 """
@@ -85,7 +85,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return found.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, shards: int = 16) -> DataFrame:
+def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, least_depth: int = 4) -> DataFrame:
     """doc columns with size, source_size, target, taken, ``mix_shard`` int and ``mix_order`` long (a sort key).
 
     One row for each input row, also where nothing is taken. Null text: size 0, nothing taken. Null
@@ -97,7 +97,7 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, shards: int
     added = ["size", "source_size", "target", "taken", "mix_shard", "mix_order"]
     df = without(df, *added)
     sized = df.withColumn("size", word_count(F.col("text")))
-    depth = max(math.ceil(math.log2(max(1, df.count() / leaf_rows))), int(math.log2(shards)))
+    depth = max(math.ceil(math.log2(max(1, df.count() / leaf_rows))), least_depth)
     leaves = 1 << depth
     tie = F.xxhash64("doc_id", "text", F.lit(seed))
     slim = sized.withColumn("mix_order", tie).withColumn("__leaf", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(leaves)).cast("int"))
@@ -132,7 +132,7 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, shards: int
         "source_size",
         "target",
         (F.col("size") * F.col("whole") + F.col("__again")).alias("taken"),
-        (F.col("__leaf") % shards).cast("int").alias("mix_shard"),
+        F.col("__leaf").alias("mix_shard"),
         "mix_order",
     )
 
