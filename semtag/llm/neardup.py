@@ -47,13 +47,9 @@ class Words(dict):
         return value
 
 
-_words = Words()
-
-
-def shingles(text: bytes | None) -> np.ndarray:
+def shingles(text: bytes | None, known: Words) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text of fewer words has one, of all its words; no words, none."""
-    words = (text or b"").split()
-    h = np.array([_words[w] for w in words], np.uint64)
+    h = np.array([known[w] for w in (text or b"").split()], np.uint64)
     n = len(h) - SHINGLE + 1
     if n < 1:
         if len(h) == 0:
@@ -91,9 +87,9 @@ def sketch(df: DataFrame) -> DataFrame:
     """doc_id, rid, node (binary, null without words), n, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.array([2 * i + 1 for i in range(ROWS)], np.uint64) * _FACTOR
+        weight, known = np.array([2 * i + 1 for i in range(ROWS)], np.uint64) * _FACTOR, Words()
         for batch in batches:
-            sets, bands, waiting, size = [shingles(t) for t in utf8(batch)], [None] * len(batch), [], 0
+            sets, bands, waiting, size = [shingles(t, known) for t in utf8(batch)], [None] * len(batch), [], 0
 
             def flush() -> None:
                 signed = signatures([sets[i] for i in waiting], BANDS * ROWS).reshape(-1, BANDS, ROWS)
@@ -226,8 +222,9 @@ def near_duplicate_rows(df: DataFrame, threshold: float = 0.8) -> tuple[DataFram
     needed = rows.select("node").distinct().join(nodes.select("node", F.col("first.rid").alias("rid")), "node")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            found = [shingles(t).tobytes() for t in utf8(batch)]
+            found = [shingles(t, known).tobytes() for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     texts = df.select(row_key().alias("rid"), F.col("text").cast("string").alias("text")).join(needed, "rid").dropDuplicates(["node"])
