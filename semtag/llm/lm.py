@@ -173,6 +173,26 @@ def count_words(df: DataFrame) -> DataFrame:
     return df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words of at most KNOWN_BYTES, most frequent first: whole steps of frequency, as many as hold at most KNOWN words.
+
+    A step is 1/64 of a doubling, so that the steps are few; no task sorts or gathers the vocabulary.
+    """
+    stepped = vocabulary.where(F.length("word") <= KNOWN_BYTES).withColumn("step", F.floor(F.log2("n") * 64))
+    held, least = 0, None
+    for r in sorted(stepped.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        held += r["words"]
+        if held > KNOWN:
+            break
+        least = r["step"]
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    rows = stepped.where(F.col("step") >= least).select("word", "n").toArrow()
+    words, counts = rows["word"].to_pylist(), rows["n"].to_pylist()
+    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+    return [words[i] for i in order], np.array([counts[i] for i in order], np.int64)
+
+
 def train(df: DataFrame, model: LogBilinear, shortlist: list[bytes], noise: np.ndarray, seed: int) -> LogBilinear:
     """One round: every task trains on all its tokens, the results are averaged by tokens."""
     shared = df.sparkSession.sparkContext.broadcast((model.pack(), shortlist, noise))
@@ -228,8 +248,7 @@ def fit(df: DataFrame, rounds: int = 1, seed: int = 3) -> Fitted:
     prepare(df.sparkSession)
     vocabulary = count_words(df).checkpoint()
     row = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    top = vocabulary.where(F.length("word") <= KNOWN_BYTES).orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
-    known, counts = top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64)
+    known, counts = frequent_words(vocabulary)
     shortlist = [END, *[w for w in known[:SHORTLIST] if w != END]][:SHORTLIST]
     number = SHORTLIST + F.crc32(F.substring("word", -2, 2)) % CLASSES
     by_class = vocabulary.groupBy(number.cast("int").alias("entry")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
