@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,9 @@ _OPENS = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Characters of a place or text above which a token holds its digest; tokens of all templates above which they are not broadcast.
+LONG, BROADCAST_TOKENS = 48, 500_000
+SEEN = pa.list_(pa.struct([("token", pa.string()), ("text", pa.bool_()), ("times", pa.int32())]))
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
@@ -101,31 +106,38 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     yield from flush()
 
 
+def token(place: str, text: str | None = None) -> str:
+    """A token's name: a place, or a text at a place; what is long is named by its digest."""
+    parts = [place] if text is None else [place, text]
+    return "\n".join(p if len(p) <= LONG else p[:8] + blake2b(p.encode("utf-8", "replace"), digest_size=12).hexdigest() for p in parts)
+
+
 def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 4, least_tokens: int = 2) -> DataFrame:
     """(host, token) of the text blocks in valid equivalence classes.
 
     A class (tokens of a host with one occurrence vector) is valid if at least ``least_pages`` pages and
     a ``support`` share of the host's have it and it has ``least_tokens`` tokens, tags included. Tokens
-    inside main content take no part: repeated articles are not template.
+    inside main content take no part: repeated articles are not template. Equal pages of a host count once.
     """
     prepare(pages.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"page": [], "host": [], "token": [], "text": []}
-            for page, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "html"), strict=True):
+            seen = []
+            for source in utf8(batch, "html"):
+                times = Counter()
                 for place, text, main, _ in blocks((source or b"").decode()):
                     if not main:
-                        for token, is_text in ((place, False), (f"{place}\n{text}", True)):
-                            for k, v in zip(out, (page, host, token, is_text), strict=True):
-                                out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in (("page", pa.int64()), ("host", pa.string()), ("token", pa.string()), ("text", pa.bool_()))], names=list(out))
+                        times.update(((token(place), False), (token(place, text), True)))
+                seen.append([{"token": t, "text": is_text, "times": n} for (t, is_text), n in times.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, SEEN)], names=["host", "page", "seen"])
 
-    keyed = pages.select(F.col("page_key").alias("page"), "host", "html")
-    seen = keyed.mapInArrow(cut, "page long, host string, token string, text boolean").groupBy("host", "page", "token", "text").agg(F.count("*").alias("times"))
+    keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
+    one = keyed.mapInArrow(cut, "host string, page long, seen array<struct<token string, text boolean, times int>>").dropDuplicates(["host", "page"])
+    seen = one.select("host", "page", F.inline("seen"))
     vector = F.sum(F.xxhash64("page", "times").cast("decimal(38,0)"))
     tokens = seen.groupBy("host", "token", "text").agg(vector.alias("vector"), F.count("*").alias("pages"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
+    hosts = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
     classes = tokens.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"))
     valid = classes.join(hosts, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= support * F.col("all_pages")) & (F.col("tokens") >= least_tokens))
     return tokens.where("text").join(valid.select("host", "vector", "pages"), ["host", "vector", "pages"], "left_semi").select("host", "token")
@@ -136,37 +148,31 @@ def extract_main(pages: DataFrame) -> DataFrame:
 
     Blocks in page order, one line each, white space inside a block as one space. A page with a
     main-content element outside boilerplate gives that element's blocks; any other page gives its blocks outside
-    boilerplate that its host's template doesn't hold. Null urls share a host; repeated rows are kept.
+    boilerplate that its host's template doesn't hold. Null urls share a host; repeated rows are kept, as a
+    page stays one row all the way.
     """
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("page_key"))
-    fields = "page_id long, url string, host string, page_key long, at int, token string, text string, main boolean"
+    keyed = pages.select("page_id", "url", "html", host.alias("host"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A page with main content becomes one row, any other a row for each block that may be a slot."""
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
-        names = [f.split()[0] for f in fields.split(", ")]
+        """A page's blocks that may be its text, with their tokens; none for what its main content holds."""
         for batch in batches:
-            rows = []
-            for page, url, where, key, source in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), utf8(batch, "html"), strict=True):
+            tokens, texts = [], []
+            for source in utf8(batch, "html"):
                 found = [b for b in blocks((source or b"").decode()) if not b[3]]
                 main = [text for _, text, inside, _ in found if inside]
-                if main or not found:
-                    rows.append((page, url, where, key, 0, None, "\n".join(main), True))
-                else:
-                    rows += [(page, url, where, key, i, f"{place}\n{text}", text, False) for i, (place, text, *_) in enumerate(found)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    cuts = keyed.select("page_id", "url", "html", "host", "page_key").mapInArrow(cut, fields).checkpoint()
-    out = cuts.where("main").select("page_id", "url", "text")
-    slotted = cuts.where("not main")
-    if not slotted.isEmpty():
-        template = deduce_templates(keyed.join(slotted.select("host").distinct(), "host", "left_semi")).withColumn("in_template", F.lit(True))
-        kept = slotted.join(template, ["host", "token"], "left")
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("in_template").isNull(), F.struct("at", "text")))), lambda b: b["text"]), "\n")
-        out = out.unionAll(kept.groupBy("page_id", "url", "page_key").agg(text.alias("text")).select("page_id", "url", "text"))
+                texts.append(main or [text for _, text, *_ in found])
+                tokens.append([] if main else [token(place, text) for place, text, *_ in found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(tokens, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "tokens", "texts"])
+
+    template = deduce_templates(keyed).groupBy("host").agg(F.collect_set("token").alias("template")).checkpoint()
+    size = template.select(F.sum(F.size("template"))).first()[0] or 0
+    template = F.broadcast(template) if size <= BROADCAST_TOKENS else template
+    cuts = keyed.mapInArrow(cut, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, tokens array<string>, texts array<string>")
+    kept = F.filter("texts", lambda _, i: ~F.array_contains("template", F.get("tokens", i)))
+    text = F.when(F.col("template").isNull() | (F.size("tokens") == 0), F.col("texts")).otherwise(kept)
+    out = cuts.join(template, "host", "left").select("page_id", "url", F.array_join(text, "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -45,3 +45,10 @@ def test_classes_of_occurrence_vectors(spark):
 
 def test_blocks_close_like_browsers():
     assert [t for _, t, *_ in blocks("<ul><li>a<li>b</ul><p>c<div>d</div>e")] == ["a", "b", "c", "d", "e"]
+
+
+def test_rows_without_an_article_stay_apart(spark):
+    rows = [(1, "http://e.org/1", "<p>one</p><p>two</p>", "x")] * 6 + [(None, None, f"<p>null {i}</p><p>more {i}</p>", "x") for i in range(5)] + [(2, "http://e.org/2", f"<p>same key {i}</p>", "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
+    want = ["one\ntwo"] * 6 + [f"null {i}\nmore {i}" for i in range(5)] + [f"same key {i}" for i in range(3)]
+    assert sorted(x["text"] for x in extract_main(df).collect()) == sorted(want)
