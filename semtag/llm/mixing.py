@@ -6,7 +6,8 @@ document, with power-of-two many leaves, so that one holds few documents. A pass
 binary tree: at each node the left half gets a hypergeometric draw (as many as would fall there if that
 many words were drawn from the node without replacement) and the right half the rest, so the leaves'
 quotas add up exactly. In a leaf, documents are permuted by a second hash and taken until the quota is
-used up; the last one is taken in part. Each leaf is an output shard, of bounded size, shuffled inside.
+used up; the last one is taken in part. Each leaf is an output shard, of bounded size, shuffled inside by a
+third hash, which takes in the pass and knows nothing of the draw.
 
 Everything is built-in expressions. Draws come from hashes of seed, source and node: reruns agree.
 """
@@ -85,8 +86,14 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return found.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def pass_order(mix_order: Column, again: Column) -> Column:
+    """Where a document's pass lies in its shard: ``mix_order`` for the first time that it is taken, a new hash of it when again."""
+    return F.when(again == 0, mix_order).otherwise(F.xxhash64(mix_order, again))
+
+
 def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, least_depth: int = 4) -> DataFrame:
-    """doc columns with size, source_size, target, taken, ``mix_shard`` int and ``mix_order`` long (a sort key).
+    """doc columns with size, source_size, target, taken, ``mix_shard`` int and ``mix_order`` long: a sort key
+    of its shard, independent of the draw. A document's second pass lies at ``pass_order(mix_order, 1)``.
 
     One row for each input row, also where nothing is taken. Null text: size 0, nothing taken. Null
     sources are one source, the last. Rows alike in doc_id, source and text are told apart by nothing,
@@ -100,7 +107,7 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, least_depth
     depth = max(math.ceil(math.log2(max(1, df.count() / leaf_rows))), least_depth)
     leaves = 1 << depth
     tie = F.xxhash64("doc_id", "text", F.lit(seed))
-    slim = sized.withColumn("mix_order", tie).withColumn("__leaf", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(leaves)).cast("int"))
+    slim = sized.withColumn("__draw", tie).withColumn("mix_order", F.xxhash64(tie, F.lit(seed + 3))).withColumn("__leaf", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(leaves)).cast("int"))
 
     counts = slim.groupBy("source", "__leaf").agg(F.sum("size").alias("words"))
     by_leaf = F.map_from_entries(F.collect_list(F.struct("__leaf", "words")))
@@ -123,7 +130,7 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, least_depth
     quotas = tree.select(F.col("source").alias("__s"), F.col("node").alias("__n"), "source_size", "target", "whole", "quota")
 
     joined = slim.join(quotas, slim["source"].eqNullSafe(F.col("__s")) & (F.col("__leaf") == F.col("__n")))
-    before = Window.partitionBy("source", "__leaf").orderBy("mix_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "__leaf").orderBy("__draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("quota") - F.coalesce(F.sum("size").over(before), F.lit(0))
     again = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), room))
     return joined.withColumn("__again", again).select(
@@ -154,7 +161,8 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs.withColumnsRenamed(names))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     copies = F.transform(F.sequence(F.lit(0), whole), lambda i: F.when(i < whole, F.col("size")).otherwise(F.col("taken") - whole * F.col("size")))
-    rows = mixed.withColumn("__words", F.explode(F.filter(copies, lambda n: n > 0)))
+    rows = mixed.select("*", F.posexplode(copies).alias("__pass", "__words")).where("__words > 0")
+    rows = rows.withColumn("mix_order", pass_order(F.col("mix_order"), F.col("__pass")))
     text = F.when(F.col("__words") == F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__words")))
     values = {"text": text}
     if "n_chars" in names:

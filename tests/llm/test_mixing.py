@@ -74,3 +74,21 @@ def test_draws_follow_the_distribution(spark):
         assert abs(got[x] - 4000 * p) < 5 * math.sqrt(4000 * p) + 3
     edges = spark.sql("select * from values (0L, 5L, 9L), (9L, 5L, 9L), (4L, 0L, 9L), (4L, 9L, 9L), (0L, 0L, 0L) as t(n, k, m)")
     assert sorted(tuple(x) for x in hypergeometric(edges, "x", "n", "k", "m", "n, k").collect()) == [(0, 0, 0, 0), (0, 5, 9, 0), (4, 0, 9, 0), (4, 9, 9, 4), (9, 5, 9, 5)]
+
+
+def test_a_shard_is_the_mixture_all_along(spark):
+    texts = [(i, f"word{i} " * 5, "a" if i % 2 else "b") for i in range(1600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    docs = docs.unionAll(docs.where("source = 'b'").selectExpr("doc_id + 5000", "concat(text, 'more')", "'c'"))
+    taken = [x for x in mix_sources(docs).orderBy("mix_shard", "mix_order").collect()]
+    shards = defaultdict(list)
+    for x in taken:
+        shards[x["mix_shard"]].append(x)
+    part = [x for s in shards.values() for x in s[len(s) // 2 :]]
+    for source in "abc":
+        share = lambda rows: sum(x["taken"] for x in rows if x["source"] == source) / sum(x["taken"] for x in rows)  # noqa: B023, E731
+        assert abs(share(part) - share(taken)) < 0.05
+    made = mixing_stage(spark, docs, "").select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    beside = sum(x == y for x, y in zip(made, made[1:]))
+    twice = sum(n == 2 for n in Counter(x["doc_id"] for x in made).values())
+    assert twice > 300 and beside < 0.1 * twice
