@@ -26,32 +26,43 @@ from ._common import prepare, table, utf8
 #: HTML elements by what they mean for the text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "xmp"}
-BOILERPLATE = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "audio", "video", "object", "figure"} | RAW
+BOILERPLATE = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "audio", "video", "object"} | RAW
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 MAIN = {"article", "main"}
-#: Words of a class, id or role that mark an element as boilerplate.
+#: Whole tokens of a class, id or role that mark an element as boilerplate.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "recommended", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _OPENS = re.compile(r"</?[A-Za-z]")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Characters of a place or text above which a token holds its digest; tokens of all templates above which they are not broadcast.
 LONG, BROADCAST_TOKENS = 48, 500_000
 SEEN = pa.list_(pa.struct([("token", pa.string()), ("text", pa.bool_()), ("times", pa.int32())]))
 
 
+def attributes(source: str) -> dict[str, str]:
+    """A tag's attributes by lower-case name; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for a in _ATTRIBUTE.finditer(source):
+        out.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
+    return out
+
+
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(place, text, in main content, in boilerplate) of a page's text blocks, in page order; place is the path of tags."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, in main content, in boilerplate
+    """(place, text, in main content, in boilerplate) of a page's text blocks, in page order; place is the path of tags.
+
+    Tags and hiding make boilerplate anywhere. Marks do so outside main content for what holds no main
+    content, and inside it for the marked part; the main element itself is not judged by them.
+    """
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in main content, in boilerplate by tag or hidden, by mark
     words: list[str] = []
     at = ("", False, False)
 
     def place() -> tuple[str, bool, bool]:
-        _, main, bad = stack[-1] if stack else ("", False, False)
-        return "/".join(t for t, *_ in stack if t not in INLINE), main, bad
+        _, main, bad, marked = stack[-1] if stack else ("", False, False, False)
+        return "/".join(t for t, *_ in stack if t not in INLINE), main, bad or marked
 
     def flush() -> Iterator[tuple[str, str, bool, bool]]:
         text = " ".join(html.unescape("".join(words)).split())
@@ -95,10 +106,13 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             stack.pop()
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        _, main, bad = stack[-1] if stack else ("", False, False)
-        marks = {w for a in _ATTRIBUTE.finditer(m[3]) for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())}
-        bad = bad or tag in BOILERPLATE or bool(marks & MARKS) and tag not in ("html", "body") or bool(_HIDDEN.search(m[3]))
-        stack.append((tag, main or tag in MAIN or "role" in m[3].lower() and "main" in marks, bad))
+        _, main, bad, marked = stack[-1] if stack else ("", False, False, False)
+        has = attributes(m[3]) if m[3] else {}
+        marks = {w for k in ("class", "id", "role") for w in has.get(k, "").lower().split()}
+        bad = bad or tag in BOILERPLATE or "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(has.get("style", "")))
+        opens = tag in MAIN or "main" in has.get("role", "").lower().split()
+        marked = (main or not opens) and (marked or not marks.isdisjoint(MARKS) and tag not in ("html", "body"))
+        stack.append((tag, main or opens, bad, marked))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n

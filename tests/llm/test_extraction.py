@@ -52,3 +52,21 @@ def test_rows_without_an_article_stay_apart(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, kind string")
     want = ["one\ntwo"] * 6 + [f"null {i}\nmore {i}" for i in range(5)] + [f"same key {i}" for i in range(3)]
     assert sorted(x["text"] for x in extract_main(df).collect()) == sorted(want)
+
+
+def test_marks_are_whole_tokens_and_spare_the_main_element():
+    kept = [
+        "<div class='content has-sidebar'><article>x</article></div>",
+        "<div class='sidebar'><article>x</article></div>",
+        "<main class='with-comments'>x</main>",
+        "<article id='notice-12'>x</article>",
+        "<article class='sponsored-none share'>x</article>",
+        "<article><section class='related-work'>x</section></article>",
+        "<article><div class='article-header'>x</div></article>",
+        "<article><p title='the hidden cost'>x</p></article>",
+        "<article><p title=\"a class='ad'\">x</p></article>",
+        "<article><figure><img src=a><figcaption>x</figcaption></figure></article>",
+    ]
+    dropped = ["<article><div class='big Ad'>x</div></article>", "<article><p hidden>x</p></article>", "<article><p style='display: none'>x</p></article>", "<p aria-hidden=true>x</p>", "<nav class='a'><article>x</article></nav>"]
+    assert [[(t, bad) for _, t, _, bad in blocks(h)] for h in kept] == [[("x", False)]] * len(kept)
+    assert [[(t, bad) for _, t, _, bad in blocks(h)] for h in dropped] == [[("x", True)]] * len(dropped)
