@@ -1,12 +1,13 @@
 """Main-text extraction by equivalence classes of template tokens.
 
 The pages of a host are made by few templates. A page is cut into tokens: tags at their place in the
-element tree, and whole text blocks there. Tokens with the same occurrence vector over the host's
-pages (how often each page has them) form an equivalence class; a vector is held as a sum of hashes
-of page and count, so that a host of any size is grouped by plain aggregation. A class is valid if
-enough pages support it. The valid classes nest by their tokens' places in the tree: together they are
-the host's template, and what lies between their tokens are its slots. The main text is the text of
-the slots inside the main-content element; pages without one give the slots outside boilerplate.
+element tree, and whole text blocks there. Tokens with the same occurrence vector over some pages (how
+often each has them) form an equivalence class; a vector is held as a sum of hashes of page and count, so
+that a host of any size is grouped by plain aggregation. Classes are formed on two levels, one inside the
+other: over all pages of a host, and over its pages of one layout (the set of places near the root), which
+stand for one template. A class is valid if enough pages of its level support it. A page's template is the
+valid classes of both levels, and what lies between their tokens are its slots. The main text is the text
+of the slots inside the main-content element; pages without one give the slots outside boilerplate.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -39,6 +40,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Characters of a place or text above which a token holds its digest; tokens of all templates above which they are not broadcast.
 LONG, BROADCAST_TOKENS = 48, 500_000
+#: Tags of a place that its page's layout takes in; a token that every page has once.
+SHALLOW, EVERY_PAGE = 3, "\n"
 SEEN = pa.list_(pa.struct([("token", pa.string()), ("text", pa.bool_()), ("times", pa.int32())]))
 
 
@@ -126,68 +129,92 @@ def token(place: str, text: str | None = None) -> str:
     return "\n".join(p if len(p) <= LONG else p[:8] + blake2b(p.encode("utf-8", "replace"), digest_size=12).hexdigest() for p in parts)
 
 
+def layout(places: Iterable[str]) -> int:
+    """A number for the set of places near the root."""
+    near = sorted({"/".join(p.split("/", SHALLOW)[:SHALLOW]) for p in places})
+    return int.from_bytes(blake2b("\n".join(near).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few ``rows``."""
+    return F.broadcast(df) if rows <= BROADCAST_TOKENS else df
+
+
 def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 4, least_tokens: int = 2) -> DataFrame:
-    """(host, token) of the text blocks in valid equivalence classes.
+    """(host, layout, token) of the text blocks in valid equivalence classes; layout null: of the whole host.
 
-    A class (tokens of a host with one occurrence vector) is valid if at least ``least_pages`` pages and
-    a ``support`` share of the host's have it and it has ``least_tokens`` tokens, tags included. Tokens
-    inside main content take no part: repeated articles are not template. Equal pages of a host count once.
+    A class (tokens with one occurrence vector over a host's pages, or those of one layout) is valid if at
+    least ``least_pages`` of these pages and a ``support`` share have it and it has ``least_tokens`` tokens, tags
+    included. Equal pages of a host count once.
     """
     prepare(pages.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = []
+            seen, layouts = [], []
             for source in utf8(batch, "html"):
-                times = Counter()
-                for place, text, main, _ in blocks((source or b"").decode()):
-                    if not main:
-                        times.update(((token(place), False), (token(place, text), True)))
+                times, places = Counter({(EVERY_PAGE, False): 1}), set()
+                for place, text, *_ in blocks((source or b"").decode()):
+                    places.add(place)
+                    times.update(((token(place), False), (token(place, text), True)))
                 seen.append([{"token": t, "text": is_text, "times": n} for (t, is_text), n in times.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, SEEN)], names=["host", "page", "seen"])
+                layouts.append(layout(places))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(layouts, pa.int64()), pa.array(seen, SEEN)], names=["host", "page", "layout", "seen"])
 
     keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    one = keyed.mapInArrow(cut, "host string, page long, seen array<struct<token string, text boolean, times int>>").dropDuplicates(["host", "page"])
-    seen = one.select("host", "page", F.inline("seen"))
+    one = keyed.mapInArrow(cut, "host string, page long, layout long, seen array<struct<token string, text boolean, times int>>").dropDuplicates(["host", "page"])
+    levels = F.explode(F.array(F.lit(None).cast("long"), F.col("layout")))
+    seen = one.select("host", "page", levels.alias("layout"), "seen").select("host", "page", "layout", F.inline("seen"))
     vector = F.sum(F.xxhash64("page", "times").cast("decimal(38,0)"))
-    tokens = seen.groupBy("host", "token", "text").agg(vector.alias("vector"), F.count("*").alias("pages"))
-    hosts = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
-    classes = tokens.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"))
-    valid = classes.join(hosts, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= support * F.col("all_pages")) & (F.col("tokens") >= least_tokens))
-    return tokens.where("text").join(valid.select("host", "vector", "pages"), ["host", "vector", "pages"], "left_semi").select("host", "token")
+    counted = seen.groupBy("host", "layout", "token", "text").agg(vector.alias("vector"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages).checkpoint()
+    groups = counted.where(F.col("token") == EVERY_PAGE).select(F.col("host").alias("__h"), F.col("layout").alias("__l"), F.col("pages").alias("all_pages"))
+    tokens = counted.where(F.col("token") != EVERY_PAGE).join(bounded(groups, groups.count()), (F.col("host") == F.col("__h")) & F.col("layout").eqNullSafe(F.col("__l")))
+    tokens = tokens.where(F.col("pages") >= support * F.col("all_pages"))
+    classes = tokens.groupBy("host", F.col("layout").alias("__l"), "vector", "pages").agg(F.count("*").alias("tokens"), F.collect_set(F.when(F.col("text"), F.col("token"))).alias("texts"))
+    return classes.where(F.col("tokens") >= least_tokens).select("host", F.col("__l").alias("layout"), F.explode("texts").alias("token"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row's whole html (null: empty); text is empty if there is none.
 
-    Blocks in page order, one line each, white space inside a block as one space. A page with a
-    main-content element outside boilerplate gives that element's blocks; any other page gives its blocks outside
-    boilerplate that its host's template doesn't hold. Null urls share a host; repeated rows are kept, as a
-    page stays one row all the way.
+    Blocks in page order, one line each, white space inside a block as one space: those in the slots of the
+    page's template, deduced from all pages of the host, that lie outside boilerplate. A page with a
+    main-content element outside boilerplate gives that element's slots only, and the element whole if the
+    template holds more than half of its characters: then it is a repeated article, not furniture. Null urls
+    share a host; repeated rows are kept, as a page stays one row all the way.
     """
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A page's blocks that may be its text, with their tokens; none for what its main content holds."""
+        """A page's blocks that may be its text, with their tokens."""
         for batch in batches:
-            tokens, texts = [], []
+            out = {"layout": [], "main": [], "tokens": [], "texts": []}
             for source in utf8(batch, "html"):
-                found = [b for b in blocks((source or b"").decode()) if not b[3]]
-                main = [text for _, text, inside, _ in found if inside]
-                texts.append(main or [text for _, text, *_ in found])
-                tokens.append([] if main else [token(place, text) for place, text, *_ in found])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(tokens, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "tokens", "texts"])
-
-    template = deduce_templates(keyed).groupBy("host").agg(F.collect_set("token").alias("template")).checkpoint()
+                every = list(blocks((source or b"").decode()))
+                found = [b for b in every if not b[3]]
+                main = [b for b in found if b[2]]
+                chosen = main or found
+                out["layout"].append(layout(b[0] for b in every))
+                out["main"].append(bool(main))
+                out["tokens"].append([token(place, text) for place, text, *_ in chosen])
+                out["texts"].append([text for _, text, *_ in chosen])
+            types = (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["page_id", "url", "host", *out])
+
+    template = deduce_templates(keyed).groupBy("host", "layout").agg(F.collect_set("token").alias("template")).checkpoint()
     size = template.select(F.sum(F.size("template"))).first()[0] or 0
-    template = F.broadcast(template) if size <= BROADCAST_TOKENS else template
-    cuts = keyed.mapInArrow(cut, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, tokens array<string>, texts array<string>")
-    kept = F.filter("texts", lambda _, i: ~F.array_contains("template", F.get("tokens", i)))
-    text = F.when(F.col("template").isNull() | (F.size("tokens") == 0), F.col("texts")).otherwise(kept)
-    out = cuts.join(template, "host", "left").select("page_id", "url", F.array_join(text, "\n").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    whole = bounded(template.where("layout is null").select("host", F.col("template").alias("of_host")), size)
+    own = bounded(template.where("layout is not null").withColumnRenamed("template", "of_layout"), size)
+    cuts = keyed.mapInArrow(cut, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, layout long, main boolean, tokens array<string>, texts array<string>")
+    none = F.array().cast("array<string>")
+    known = F.concat(F.coalesce("of_host", none), F.coalesce("of_layout", none))
+    out = cuts.join(whole, "host", "left").join(own, ["host", "layout"], "left").withColumn("known", known)
+    out = out.withColumn("slots", F.when(F.size("known") == 0, F.col("texts")).otherwise(F.filter("texts", lambda _, i: ~F.array_contains("known", F.get("tokens", i)))))
+    chars = lambda a: F.length(F.array_join(a, ""))
+    text = F.when(F.col("main") & (chars("slots") * 2 < chars("texts")), F.col("texts")).otherwise(F.col("slots"))
+    return out.select("page_id", "url", F.array_join(text, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_extract(spark, sf_dir: str) -> DataFrame:

@@ -70,3 +70,19 @@ def test_marks_are_whole_tokens_and_spare_the_main_element():
     dropped = ["<article><div class='big Ad'>x</div></article>", "<article><p hidden>x</p></article>", "<article><p style='display: none'>x</p></article>", "<p aria-hidden=true>x</p>", "<nav class='a'><article>x</article></nav>"]
     assert [[(t, bad) for _, t, _, bad in blocks(h)] for h in kept] == [[("x", False)]] * len(kept)
     assert [[(t, bad) for _, t, _, bad in blocks(h)] for h in dropped] == [[("x", True)]] * len(dropped)
+
+
+def test_templates_of_pages_with_an_article(spark):
+    a = "<html><body><article><p>Read our other stories</p><p>story {0} is told here at length, and not briefly</p><p>Thank you</p></article></body></html>"
+    b = "<html><body><main><div>Join us now</div><p>another text, number {0}, of a certain length</p></main><section>x</section></body></html>"
+    c = "<html><body><table><tr><td>Old shell</td><td>cell {0}</td><td>Old end</td></tr></table></body></html>"
+    rows = [(100 * k + i, f"http://f.org/{k}/{i}", shell.format(i)) for k, shell in enumerate((a, b, c)) for i in range(5)]
+    again = "<article><p>the same article, again and again</p><p>{0}</p></article>"
+    rows += [(900 + i, f"http://g.org/{i}", again.format(i)) for i in range(5)]
+    got, n = run(spark, rows)
+    assert n == 20
+    for i in range(5):
+        assert got[i]["text"] == f"story {i} is told here at length, and not briefly"
+        assert got[100 + i]["text"] == f"another text, number {i}, of a certain length"
+        assert got[200 + i]["text"] == f"cell {i}"
+        assert got[900 + i]["text"] == f"the same article, again and again\n{i}"
