@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +24,81 @@ def greedy_batches(sizes: np.ndarray, max_tasks: int, max_chars: int) -> np.ndar
     return out
 
 
+def entries(runs: list[dict], max_tasks: int, max_chars: int) -> dict[int, tuple[int, int]]:
+    """From the summaries of first and last runs, in order: part -> (tasks of its first run that go on with a batch begun before, that run's first own batch)."""
+    out: dict[int, tuple[int, int]] = {}
+    key, count, chars, batches = None, 0, 0, 0
+    for run in runs:
+        if (run["job_id"], run["shard"]) != key:
+            key, count, chars, batches = (run["job_id"], run["shard"]), 0, 0, 0
+        taken = 0
+        while count and taken < len(run["head"]) and count < max_tasks and chars + run["head"][taken] <= max_chars:
+            count, chars, taken = count + 1, chars + run["head"][taken], taken + 1
+        if run["first"]:
+            out[run["part"]] = (taken, batches)
+        if taken < run["tasks"]:
+            batches, count, chars = batches + run["batches"][taken], run["last_tasks"][taken], run["last_chars"][taken]
+    return out
+
+
 def pack_batches(tasks: DataFrame, max_tasks: int = 10, max_chars: int = 12_000, shard_tasks: int | None = None) -> DataFrame:
     """job_id, ord, shard, batch from tasks with job_id, ord, size, greedily in order of ord.
 
-    ``shard_tasks`` cuts a long job into runs of that many tasks, packed side by side, at the price of
-    one short batch for each; None packs each job exactly as one run. Carry no text: sizes are enough.
+    A job of any size is packed in parallel and exactly: tasks are dealt by ranges of (job, ord). A batch that
+    goes on into the next range takes fewer than ``max_tasks`` tasks there, so each range tells for each such
+    entry how many batches follow and how full the last is; these few figures of the runs at a range's ends
+    are put together, and then each range numbers its batches. ``shard_tasks`` cuts a long job into runs of
+    that many tasks, each with batches of its own. Carry no text: sizes are enough.
     """
+    spark = tasks.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semtag-checkpoint-"))
     shard = (F.col("ord") / shard_tasks).cast("long") if shard_tasks else F.lit(0).cast("long")
     slim = tasks.select("job_id", F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"), shard.alias("shard"))
+    keys = ["job_id", "shard", "ord", "size"]
+    dealt = slim.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()).checkpoint()
+    job = slim.schema["job_id"]
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A part's runs: the tasks of one job and shard, which lie together."""
+        parts = [b for b in batches if len(b)]
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            ids = pd.factorize(rows["job_id"], use_na_sentinel=False)[0]
+            starts = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(rows["shard"].to_numpy()) != 0)])
+            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+                yield rows.iloc[a:b]
+
+    def summary(run: pd.DataFrame, first: bool) -> dict:
+        sizes = run["size"].to_numpy()
+        n, ends = len(sizes), np.r_[0, np.cumsum(sizes)]
+        at = np.arange(n)
+        stops = np.maximum(at + 1, np.minimum(at + max_tasks, np.searchsorted(ends, ends[:-1] + max_chars, side="right") - 1))
+        count, last = np.ones(n, np.int64), at.copy()
+        for i in range(n - 1, -1, -1):
+            if stops[i] < n:
+                count[i], last[i] = count[stops[i]] + 1, last[stops[i]]
+        head = slice(0, max_tasks)
+        return {"job_id": run["job_id"].iloc[0], "shard": run["shard"].iloc[0], "part": run["part"].iloc[0], "first": first, "tasks": n, "head": sizes[head].tolist(), "batches": count[head].tolist(), "last_tasks": (n - last)[head].tolist(), "last_chars": (ends[n] - ends[last])[head].tolist()}
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        for run in runs(batches):
+            first, last = (run if first is None else first), run
+        if first is not None:
+            yield pd.DataFrame([summary(first, True)] + ([] if last is first else [summary(last, False)]))
+
+    fields = T.StructType([job, *T.StructType.fromDDL("shard long, part int, first boolean, tasks long, head array<long>, batches array<long>, last_tasks array<long>, last_chars array<long>").fields])
+    found = dealt.mapInPandas(summarise, fields).collect()
+    entry = entries([r.asDict() for r in sorted(found, key=lambda r: (r["part"], not r["first"]))], max_tasks, max_chars)
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable")
-        return rows.assign(batch=greedy_batches(rows["size"].to_numpy(), max_tasks, max_chars))
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, run in enumerate(runs(batches)):
+            taken, base = entry[int(run["part"].iloc[0])] if k == 0 else (0, 0)
+            own = greedy_batches(run["size"].to_numpy()[taken:], max_tasks, max_chars) + base
+            yield run.drop(columns="part").assign(batch=np.r_[np.full(taken, base - 1, np.int64), own])
 
-    return slim.groupBy("job_id", "shard").applyInPandas(pack, T.StructType([*slim.schema.fields, T.StructField("batch", T.LongType())]))
+    return dealt.mapInPandas(pack, T.StructType([*slim.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def table_task_sizes(tasks: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -175,3 +176,23 @@ def test_gazetteer(spark):
     for most in (0, 10):
         got = sorted(tuple(x) for x in rules.match_gazetteer(docs, terms, broadcast_terms=most).collect())
         assert got == [(1, 3, 7, "Rome", "CITY", 1.0), (1, 9, 11, "is", "VERB", 1.0)]
+
+
+def test_a_hot_job_is_packed_in_parts(spark):
+    r = random.Random(3)
+    jobs = {"hot": [r.choice([0, 5, 40, 900, 4000, 13_000]) for _ in range(4000)], None: [r.randint(1, 3000) for _ in range(700)], **{f"j{i}": [10] * (i % 7 + 1) for i in range(60)}}
+    rows = [(j, 3 * i, n) for j, sizes in jobs.items() for i, n in enumerate(sizes)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = pack_batches(spark.createDataFrame(rows, "job_id string, ord long, size long").repartition(5))
+        parts = got.rdd.mapPartitions(lambda p: [sum(x["job_id"] == "hot" for x in p)]).collect()
+        found = {}
+        for x in got.collect():
+            found.setdefault(x["job_id"], {})[x["ord"]] = x["batch"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for j, sizes in jobs.items():
+        assert [found[j][3 * i] for i in range(len(sizes))] == greedy_batches(np.array(sizes), 10, 12_000).tolist(), j
+    assert max(parts) < 1000
