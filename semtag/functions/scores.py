@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Pairs = list[tuple[str, str]]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it, also inside higher-order functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fill_dense(scores: Column, types: Column) -> Column:
-    """Scores of ``types``, in their order, 0 where a map has none."""
-    return F.transform(types, lambda t: F.coalesce(F.try_element_at(scores, t), F.lit(0.0)))
+    """Scores of the distinct ``types``, in their order, 0 where a map has none; null for a null map.
+
+    Scores and types are sorted together, so that a type follows its score: no look-up goes through a map.
+    """
+    none, row = F.lit(None).cast("int"), lambda key, place, score: F.struct(key.alias("key"), place.alias("place"), score.alias("score"))
+    told = F.transform(F.map_entries(scores), lambda e: row(e["key"], none, e["value"].cast("double")))
+    asked = F.transform(types, lambda t, i: row(t, i, F.lit(None).cast("double")))
+    found = lambda both, e, i: F.when((i > 0) & (F.get(both, i - 1)["key"] == e["key"]), F.get(both, i - 1)["score"])
+    placed = let(F.array_sort(F.concat(told, asked)), lambda both: F.filter(F.transform(both, lambda e, i: F.struct(e["place"].alias("place"), F.coalesce(found(both, e, i), F.lit(0.0)).alias("score"))), lambda e: e["place"].isNotNull()))
+    return F.transform(F.array_sort(placed), lambda e: e["score"])
 
 
 def normalize(values: Column) -> Column:
     """Values over their sum; uniform if the sum isn't positive; null values count as 0."""
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return F.transform(values, lambda v: F.when(total > 0, F.coalesce(v, F.lit(0.0)) / total).otherwise(F.lit(1.0) / F.size(values)))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    share = lambda s: F.transform(s["v"], lambda x: F.when(s["total"] > 0, F.coalesce(x, F.lit(0.0)) / s["total"]).otherwise(F.lit(1.0) / F.size(s["v"])))
+    return let(values, lambda v: let(F.struct(v.alias("v"), total(v).alias("total")), share))
 
 
 def argmax(types: Column, posterior: Column) -> Column:
     """struct(type_id, confidence) of the greatest posterior, ties to the earlier type; null for no types."""
     ranked = F.transform(F.arrays_zip(types.alias("t"), posterior.alias("p")), lambda e, i: F.struct(e["p"].alias("p"), (-i).alias("i"), e["t"].alias("t")))
-    best = F.array_max(ranked)
-    return F.when(F.size(types) > 0, F.struct(best["t"].alias("type_id"), best["p"].alias("confidence")))
+    return let(F.array_max(ranked), lambda best: F.when(best.isNotNull(), F.struct(best["t"].alias("type_id"), best["p"].alias("confidence"))))
 
 
 def distribution(types: Column, posterior: Column) -> Column:
@@ -36,7 +51,7 @@ def canonical_key(key: Column, types: Column, aliases: Pairs, prefixes: Pairs) -
         key = F.when((key == alias) & F.array_contains(types, F.lit(canonical)), F.lit(canonical)).otherwise(key)
     for old, new in prefixes:
         rewritten = F.concat(F.lit(new), F.substr(key, F.lit(len(old) + 1)))
-        key = F.when(~F.array_contains(types, key) & key.startswith(old) & F.array_contains(types, rewritten), rewritten).otherwise(key)
+        key = F.when(key.startswith(old) & ~F.array_contains(types, key) & F.array_contains(types, rewritten), rewritten).otherwise(key)
     return key
 
 
@@ -45,8 +60,8 @@ def canonical_scores(scores: Column, types: Column, aliases: Pairs, prefixes: Pa
     if not aliases and not prefixes:
         return scores
     entries = F.transform(F.map_entries(scores), lambda e: F.struct(canonical_key(e["key"], types, aliases, prefixes).alias("key"), e["value"].alias("value")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]))))
+    greatest = lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["key"] != e["key"], F.lit(True)))
+    return F.map_from_entries(let(F.array_sort(entries), greatest))
 
 
 def score_errors(scores: Column, types: Column, dense: bool | Column) -> Column:

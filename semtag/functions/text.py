@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,11 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def strings(values: Iterable[str]) -> Column:
+    """A constant array of texts, as one literal however long it is."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import use_shared_folder
+
 
 def greedy_batches(sizes: np.ndarray, max_tasks: int, max_chars: int) -> np.ndarray:
     """Batch numbers of sizes in order: a batch closes when one more would break a limit; an oversized task is alone."""
@@ -51,8 +52,7 @@ def pack_batches(tasks: DataFrame, max_tasks: int = 10, max_chars: int = 12_000,
     that many tasks, each with batches of its own. Carry no text: sizes are enough.
     """
     spark = tasks.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semtag-checkpoint-"))
+    use_shared_folder(spark)
     shard = (F.col("ord") / shard_tasks).cast("long") if shard_tasks else F.lit(0).cast("long")
     slim = tasks.select("job_id", F.col("ord").cast("long").alias("ord"), F.col("size").cast("long").alias("size"), shard.alias("shard"))
     keys = ["job_id", "shard", "ord", "size"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import use_shared_folder
+
 STATUSES = ("queued", "processing", "completed", "failed")
 
 
@@ -31,20 +33,23 @@ def queue_depth(state: DataFrame) -> DataFrame:
 
 
 def fifo_order(jobs: DataFrame, k: int | None = None) -> DataFrame:
-    """Waiting jobs, oldest first, ties by job_id, with ``position`` from 1.
+    """Waiting jobs, oldest first, ties by job_id, nulls last, with ``position`` from 1.
 
-    Ranks are counts of earlier days' jobs plus a rank inside the day, so that no task holds all jobs.
-    ``k`` gives only the first k, by a bounded top-k.
+    Jobs are dealt by ranges and sorted there; a position is the number of jobs in earlier ranges plus the
+    place inside its own, so that no task holds all jobs. ``k`` gives only the first k, by a bounded top-k.
     """
+    use_shared_folder(jobs.sparkSession)
+    order = [F.col("created_at").asc_nulls_last(), F.col("job_id").asc_nulls_last()]
     if k is not None:
-        jobs = jobs.orderBy("created_at", "job_id").limit(k)
-    day = F.to_date("created_at")
-    dated = jobs.withColumn("__day", day)
-    per_day = dated.groupBy("__day").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_day.select("__day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("__day").orderBy("created_at", "job_id"))
-    return dated.withColumn("__r", inside).join(F.broadcast(starts), "__day").withColumn("position", (F.col("start") + F.col("__r")).cast("long")).drop("__day", "__r", "start")
+        jobs = jobs.orderBy(*order).limit(k)
+    placed = jobs.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")).checkpoint()
+    counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    starts, before = [], 0
+    for part in range(max(counts, default=0) + 1):
+        starts.append(before)
+        before += counts.get(part, 0)
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("position", F.get(F.lit(starts).cast("array<long>"), F.col("__part")) + inside + 1).drop("__part", "__id")
 
 
 def admit(arrivals: DataFrame, depth: int, maxsize: int = 1000) -> DataFrame:
@@ -58,6 +63,22 @@ def dedupe_submissions(submissions: DataFrame) -> DataFrame:
     return submissions.groupBy("job_id").agg(F.min_by(F.struct(*rest), F.struct("created_at", "seq")).alias("s")).select("job_id", "s.*")
 
 
+def job_outcomes(jobs: DataFrame, settled: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """job_id, status (``completed`` or ``failed``), error of every job, and result if ``results`` (job_id, result) are given.
+
+    ``settled``: what model.settle_attempts makes of all attempts. A failed job tells the code of its first
+    failed batch. A job without batches completes, with nothing.
+    """
+    failed = settled.where("attempt is null").groupBy("job_id").agg(F.min_by("error_code", "batch_id").alias("error"), F.first(F.lit(True)).alias("__bad"))
+    broken = settled.where("job_failed").select("job_id").distinct()
+    bad = F.col("__bad").isNotNull()
+    out = jobs.select("job_id").join(failed.join(broken, "job_id"), "job_id", "left")
+    out = out.select("job_id", F.when(bad, "failed").otherwise("completed").alias("status"), F.when(bad, F.coalesce("error", F.lit("no reply"))).alias("error"))
+    if results is None:
+        return out
+    return out.join(results.select("job_id", "result"), "job_id", "left").withColumn("result", F.when(F.col("status") == "completed", F.col("result")))
+
+
 def dispatch(jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Text jobs, table jobs, and jobs of no known endpoint with an error."""
     other = ~F.coalesce(F.col("endpoint_type").isin("ner", "tabular"), F.lit(False))

@@ -9,22 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import use_shared_folder
 from .prompts import retry_prompt
 
 
 def annotate_with(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], concurrency: int | None = None) -> DataFrame:
-    """prompts (with ``prompt``) plus ``raw_text``. ``make()`` builds a client once in a task; ``concurrency`` is the number of tasks."""
+    """prompts (with ``prompt``) plus ``raw_text`` and ``call_error``. ``make()`` builds a client once in a task; ``concurrency`` is the number of tasks.
+
+    A call that raises is made again prompt by prompt, so that only the prompts that raise alone have no reply, but the error's text.
+    """
     spread = prompts.repartition(concurrency) if concurrency else prompts
 
     at = spread.columns.index("prompt")
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generate = make()
+
+        def ask(asked: list[str]) -> list[tuple[str | None, str | None]]:
+            try:
+                return [(reply, None) for reply in generate(asked)]
+            except Exception as e:  # the user's client may raise anything
+                if len(asked) > 1:
+                    return [one for prompt in asked for one in ask([prompt])]
+                return [(None, f"{type(e).__name__}: {e}")]
+
         for batch in batches:
-            replies = pa.array(list(generate(batch.column(at).to_pylist())), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, replies], names=[*batch.schema.names, "raw_text"])
+            told = ask(batch.column(at).to_pylist()) if len(batch) else []
+            added = [pa.array([x[i] for x in told], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "raw_text", "call_error"])
 
-    return spread.mapInArrow(call, T.StructType([*spread.schema.fields, T.StructField("raw_text", T.StringType())]))
+    added = [T.StructField(name, T.StringType()) for name in ("raw_text", "call_error")]
+    return spread.mapInArrow(call, T.StructType([*spread.schema.fields, *added]))
 
 
 def replay(batches: DataFrame, replies: DataFrame) -> DataFrame:
@@ -35,18 +50,23 @@ def replay(batches: DataFrame, replies: DataFrame) -> DataFrame:
 def run_attempts(batches: DataFrame, make, validate: Callable[[DataFrame], DataFrame], max_retries: int = 2, concurrency: int | None = None) -> DataFrame:
     """All attempts of all batches: call, validate, and call again, with the error, for those not yet valid.
 
-    ``validate`` adds is_valid, error_code. Each round is checkpointed, so that no prompt is sent again
-    when something later is recomputed. A failure of the call itself fails the job.
+    ``validate`` adds is_valid, error_code and error_detail. Each round is checkpointed, so that no prompt is sent
+    again when something later is recomputed. A failure of the call itself (error_code ``call_failed``) is not
+    tried again and so fails its job, and no other.
     """
+    use_shared_folder(batches.sparkSession)
     todo, rounds = batches, []
     for attempt in range(max_retries + 1):
-        done = validate(annotate_with(todo, make, concurrency)).withColumn("attempt", F.lit(attempt)).checkpoint()
+        done = validate(annotate_with(todo, make, concurrency)).withColumn("attempt", F.lit(attempt))
+        done = done.withColumn("error_code", F.when(F.col("call_error").isNotNull(), "call_failed").otherwise(F.col("error_code")))
+        done = done.withColumn("error_detail", F.coalesce("call_error", "error_detail")).withColumn("is_valid", F.col("is_valid") & F.col("call_error").isNull()).drop("call_error").checkpoint()
         rounds.append(done)
-        failed = done.where("not is_valid")
+        failed = done.where("not is_valid and error_code != 'call_failed'")
         if attempt == max_retries or failed.isEmpty():
             break
-        todo = batches.join(failed.select("job_id", "batch_id", "error_code"), ["job_id", "batch_id"])
-        todo = todo.withColumn("prompt", retry_prompt(F.col("prompt"), F.col("error_code"))).select(*batches.columns)
+        told = F.concat_ws(": ", "error_code", "error_detail").alias("__told")
+        todo = batches.join(failed.select("job_id", "batch_id", told), ["job_id", "batch_id"])
+        todo = todo.withColumn("prompt", retry_prompt(F.col("prompt"), F.col("__told"))).select(*batches.columns)
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

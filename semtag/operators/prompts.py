@@ -27,7 +27,7 @@ def ascii_json(rows: Column) -> Column:
 
 def _render(parts: list[str], types: Column, payload: Column) -> Column:
     head, tail = F.lit("\n".join(parts) + "\nAllowed types: "), F.lit("\nTasks:\n")
-    return F.concat(head, F.array_join(types, ", "), tail, ascii_json(payload))
+    return F.concat(head, F.array_join(types, ", "), tail, payload)
 
 
 def text_prompt(v: Vocabulary, types: Column, tasks: Column) -> Column:
@@ -41,11 +41,11 @@ def text_prompt(v: Vocabulary, types: Column, tasks: Column) -> Column:
         _DENSE if v.dense else _SPARSE,
         "At least one score of an entity is above 0.",
     ]
-    return _render(parts, types, F.to_json(tasks, {"ignoreNullFields": "false"}))
+    return _render(parts, types, ascii_json(F.to_json(tasks, {"ignoreNullFields": "false"})))
 
 
 def table_prompt(v: Vocabulary, types: Column, tasks_json: Column) -> Column:
-    """tasks_json: JSON array of {task_id, table_id, sampled_rows}."""
+    """tasks_json: JSON array of {task_id, table_id, sampled_rows}, as ascii_json gives it."""
     parts = [
         v.table_intro,
         f"Vocabulary: {v.name}",
@@ -59,6 +59,7 @@ def table_prompt(v: Vocabulary, types: Column, tasks_json: Column) -> Column:
 
 
 def selection_prompt(v: Vocabulary, types: Column, tasks_json: Column, mode: str) -> Column:
+    """tasks_json: JSON array of the tasks, as ascii_json gives it."""
     if mode not in ("text", "table"):
         raise ValueError(f"mode must be text or table, not {mode}")
     parts = [

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
 from .vocab import STI_TO_COARSE
@@ -61,14 +65,36 @@ def unpivot_cells(df: DataFrame, table_id: str, columns: list[str]) -> DataFrame
     return df.select(F.lit(table_id).alias("table_id"), cells.alias("c")).select("table_id", "c.column", "c.value")
 
 
-def match_gazetteer(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = 100_000) -> DataFrame:
+def token_spans(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] | None = None) -> DataFrame:
+    """id, start, end, text of every space-separated token, or of those ``wanted``, in one pass over each text. Offsets are code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, found = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                at = 0
+                for token in text.split(" ") if text is not None else ():
+                    if wanted is None or token in wanted:
+                        rows.append(i)
+                        starts.append(at)
+                        found.append(token)
+                    at += len(token) + 1
+            ends = [s + len(t) for s, t in zip(starts, found, strict=True)]
+            ids = batch.column(0).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())], names=[id_col, "start", "end", "text"])
+
+    schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("start int, end int, text string").fields])
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def match_gazetteer(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = 100_000, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """id, start, end, text, type_id, score of every space-separated token that is a term. Offsets are code points.
 
-    The terms are broadcast while there are at most ``broadcast_terms``; more are joined by shuffling.
+    While there are at most ``broadcast_terms`` of at most ``broadcast_bytes``, the terms go to every task, and only
+    hits leave it; more are met in a join of all tokens. A term with several types gives a row for each.
     """
-    tokens = F.split(F.col(text_col), " ", -1)
-    ends = F.aggregate(tokens, F.array().cast("array<int>"), lambda a, t: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1 + F.length(t))))
-    rows = docs.select(F.col(id_col), F.explode(F.arrays_zip(tokens.alias("token"), ends.alias("end"))).alias("z"))
-    spans = rows.select(id_col, (F.col("z.end") - F.length("z.token")).alias("start"), F.col("z.end").alias("end"), F.col("z.token").alias("text"))
-    small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
+    held = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    small = held["n"] <= broadcast_terms and held["bytes"] <= broadcast_bytes
+    wanted = frozenset(r["term"] for r in terms.select("term").distinct().collect()) if small else None
+    spans = token_spans(docs, id_col, text_col, wanted)
     return spans.join(F.broadcast(terms) if small else terms, spans["text"] == terms["term"]).select(id_col, "start", "end", "text", "type_id", F.lit(1.0).alias("score"))

@@ -35,16 +35,16 @@ def jobs_without_tasks(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def require_schema(jobs: DataFrame, config: DataFrame) -> DataFrame:
-    """Jobs that name an unknown vocabulary, with an error that lists the known ones, sorted."""
-    known = config.agg(F.array_join(F.array_sort(F.collect_set("schema")), ", ").alias("known"))
-    unknown = jobs.join(F.broadcast(config.select("schema")), "schema", "left_anti")
-    return unknown.join(F.broadcast(known)).withColumn("error", F.concat(F.lit("unknown schema "), "schema", F.lit("; known: "), "known")).drop("known")
+    """Jobs that name an unknown vocabulary or none (null), with an error that lists the known ones, sorted: one name a vocabulary."""
+    known = config.agg(F.array_join(F.array_sort(F.collect_set("schema")), ", ")).first()[0]
+    unknown = jobs.join(config.select("schema"), "schema", "left_anti")
+    return unknown.withColumn("error", F.concat(F.lit("unknown schema "), F.coalesce("schema", F.lit("null")), F.lit(f"; known: {known}")))
 
 
 def gate_capability(jobs: DataFrame, config: DataFrame) -> DataFrame:
     """Jobs of known vocabularies with ``supported``: whether the vocabulary does their endpoint's kind of task."""
     fit = F.when(F.col("endpoint_type") == "ner", F.col("supports_text")).when(F.col("endpoint_type") == "tabular", F.col("supports_table")).otherwise(False)
-    return jobs.join(F.broadcast(config), "schema").withColumn("supported", fit).select(*jobs.columns, "supported")
+    return jobs.join(config, "schema").withColumn("supported", fit).select(*jobs.columns, "supported")
 
 
 def column_union(tasks: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ WITH x AS (SELECT doc_id, i, CASE WHEN i = 3 THEN 'NER:PERSON' WHEN (doc_id + i)
   f AS (SELECT doc_id, type_id, min(i) AS i FROM x WHERE type_id IS NOT NULL GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, type_id FROM f""",
     "prefilter": f"""
-WITH b AS (SELECT source AS job_id, doc_id // 20 AS batch_id, doc_id FROM documents WHERE doc_id % 10 < 8),
+WITH b AS (SELECT source AS job_id, doc_id // 20 AS batch_id, doc_id FROM documents),
   s AS (SELECT DISTINCT job_id, batch_id, doc_id * 5 % 12 AS i FROM b WHERE batch_id % 3 <> 0 AND doc_id % 5 <> 0),
   p AS (SELECT job_id, batch_id, i FROM s UNION ALL SELECT job_id, batch_id, i FROM (SELECT DISTINCT job_id, batch_id FROM b) g, range(12) t(i) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.job_id = g.job_id AND s.batch_id = g.batch_id))
 SELECT job_id, batch_id, CAST(row_number() OVER (PARTITION BY job_id, batch_id ORDER BY i) - 1 AS INTEGER) AS idx, ({_list(COARSE)})[i + 1] AS type_id FROM p""",
@@ -180,6 +180,8 @@ FROM customer LEFT JOIN ({STATE}) s ON s.job_id = c_custkey""",
     "next_jobs": "SELECT event_id AS job_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events QUALIFY position <= 100",
     "admit": "SELECT event_id AS job_id, row_number() OVER (ORDER BY ts, event_id) + 250 <= 1000 AS admitted FROM events",
     "dedupe_submissions": "SELECT user_id AS job_id, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
+    "job_outcomes": f"""
+SELECT job_id, CASE WHEN count(*) FILTER (attempt IS NULL) > 0 THEN 'failed' ELSE 'completed' END AS status, arg_min(error_code, batch_id) FILTER (attempt IS NULL) AS error FROM ({SETTLED}) GROUP BY job_id""",
     "dispatch": f"SELECT job_id, CASE endpoint_type WHEN 'ner' THEN 'text' WHEN 'tabular' THEN 'table' ELSE 'failed' END AS lane, CASE WHEN endpoint_type = 'other' THEN 'unknown endpoint other' END AS error FROM ({JOBS})",
     "profile_columns": f"""
 WITH t AS (SELECT table_id, "column", regexp_replace(value, '^{SPACE}+|{SPACE}+$', '', 'g') AS v FROM ({CELLS}) WHERE value IS NOT NULL),

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import parse_selection_replies, parse_table_replies, parse_text_replies
 from ..functions.scores import select_types
-from ..functions.text import text_task_size
+from ..functions.text import strings, text_task_size
 from ..operators.batching import pack_batches, shard_types
 from ..operators.model import run_attempts, settle_attempts
-from ..operators.prompts import selection_prompt, table_prompt, text_prompt
+from ..operators.prompts import ascii_json, selection_prompt, table_prompt, text_prompt
 from ..operators.scoring import assemble_results, score_items
 from ..operators.validation import canonical_tasks, table_reply_errors, text_reply_errors
 from ..operators.vocab import Vocabulary
@@ -35,7 +35,7 @@ def table_batches(tasks: DataFrame, max_tasks: int = 10, max_chars: int = 12_000
 
 def _types(batches: DataFrame, v: Vocabulary) -> DataFrame:
     """Batches with their allowed types: their own column, or the vocabulary's."""
-    return batches if "types" in batches.columns else batches.withColumn("types", F.array(*map(F.lit, v.types)))
+    return batches if "types" in batches.columns else batches.withColumn("types", strings(v.types))
 
 
 def validate_text(batches: DataFrame, v: Vocabulary) -> DataFrame:
@@ -53,23 +53,28 @@ def validate_tables(batches: DataFrame, v: Vocabulary) -> DataFrame:
 
 def _verdict(df: DataFrame, errors) -> DataFrame:
     df = df.withColumn("errors", F.when(F.col("reply.error_code").isNull(), errors).otherwise(F.array("reply.error_code")))
-    df = df.withColumn("error_code", F.try_element_at("errors", F.lit(1)))
+    df = df.withColumn("error_code", F.try_element_at("errors", F.lit(1))).withColumn("error_detail", F.col("reply.error_detail"))
     return df.withColumn("is_valid", F.col("error_code").isNull()).drop("reply")
 
 
 def settled(attempts: DataFrame, keep_valid_batches: bool = False) -> DataFrame:
-    """The attempts that count: each batch's first valid one, of jobs that didn't fail."""
+    """The attempts that count: each batch's first valid one, of jobs that didn't fail. Of the others, operators.jobs.job_outcomes tells."""
     verdict = settle_attempts(attempts.select("job_id", "batch_id", "attempt", "is_valid", "error_code"), keep_valid_batches)
     good = verdict.where("not job_failed").select("job_id", "batch_id", "attempt")
     return attempts.join(good, ["job_id", "batch_id", "attempt"], "left_semi")
 
 
+def answered(valid: DataFrame) -> DataFrame:
+    """job_id, types, m (struct t, p) of every task of settled batches that has a reply: its last. A batch row knows all, so nothing is shuffled."""
+    last = lambda t: F.try_element_at(F.filter("parsed", lambda p: p["task_id"] == t["task_id"]), F.lit(-1))
+    matched = F.transform("tasks", lambda t: F.struct(t.alias("t"), last(t).alias("p")))
+    return valid.select("job_id", "types", F.explode(F.filter(matched, lambda m: m["p"].isNotNull())).alias("m"))
+
+
 def text_annotations(valid: DataFrame, v: Vocabulary, include_scores: bool = False) -> DataFrame:
-    """Flat annotations of settled text batches; of a repeated task_id the last reply counts, for every occurrence."""
-    rows = valid.select("job_id", "tasks", "types", F.posexplode("parsed").alias("place", "p"))
-    matched = rows.select("job_id", "types", "place", "p", F.explode(F.filter("tasks", lambda t: t["task_id"] == F.col("p.task_id"))).alias("t"))
-    kept = matched.groupBy("job_id", F.col("t.ord").alias("ord")).agg(F.max_by(F.struct("p", "t", "types"), "place").alias("m"))
-    items = kept.select("job_id", "ord", "m.p.task_id", "m.types", F.col("m.t.text").alias("task_text"), F.posexplode("m.p.items").alias("entity_idx", "i"))
+    """Flat annotations of settled text batches; of a repeated task_id the last reply counts, for every occurrence. Narrow."""
+    kept = answered(valid)
+    items = kept.select("job_id", "m.t.ord", "m.p.task_id", "types", F.col("m.t.text").alias("task_text"), F.posexplode("m.p.items").alias("entity_idx", "i"))
     scored = score_items(items.select("*", "i.start", "i.end", "i.scores"), F.col("types"), coarse=v.coarse, include_scores=include_scores)
     scored = scored.withColumn("text", F.substring("task_text", F.col("start") + 1, F.col("end") - F.col("start")))
     columns = ["job_id", "ord", "task_id", "entity_idx", "start", "end", "text", "type_id", "confidence"]
@@ -77,10 +82,8 @@ def text_annotations(valid: DataFrame, v: Vocabulary, include_scores: bool = Fal
 
 
 def column_annotations(valid: DataFrame, v: Vocabulary, include_scores: bool = False) -> DataFrame:
-    rows = valid.select("job_id", "tasks", "types", F.posexplode("parsed").alias("place", "p"))
-    matched = rows.select("job_id", "types", "place", "p", F.explode(F.filter("tasks", lambda t: t["task_id"] == F.col("p.task_id"))).alias("t"))
-    kept = matched.groupBy("job_id", F.col("t.ord").alias("ord")).agg(F.max_by(F.struct("p", "t", "types"), "place").alias("m"))
-    items = kept.select("job_id", "ord", "m.p.task_id", "m.p.table_id", "m.types", F.posexplode("m.p.items").alias("column_idx", "i"))
+    kept = answered(valid)
+    items = kept.select("job_id", "m.t.ord", "m.p.task_id", "m.p.table_id", "types", F.posexplode("m.p.items").alias("column_idx", "i"))
     scored = score_items(items.select("*", "i.column", "i.scores"), F.col("types"), coarse=v.coarse, include_scores=include_scores)
     columns = ["job_id", "ord", "task_id", "table_id", "column_idx", "column", "type_id", "confidence"]
     return scored.select(*columns, *[c for c in ("coarse_type_id", "distribution") if c in scored.columns])
@@ -105,7 +108,7 @@ def annotate_tables(tasks: DataFrame, v: Vocabulary, make: Callable, include_sco
     batches = _types(table_batches(tasks, **limits), v)
     if v.prefilter:
         batches = prefilter(batches, v, make, "table", max_retries, concurrency)
-    batches = batches.withColumn("prompt", table_prompt(v, F.col("types"), _tables_json(F.col("tasks"))))
+    batches = batches.withColumn("prompt", table_prompt(v, F.col("types"), ascii_json(_tables_json(F.col("tasks")))))
     attempts = run_attempts(batches, make, lambda df: validate_tables(df, v), max_retries, concurrency)
     return column_annotations(settled(attempts, keep_valid_batches), v, include_scores)
 
@@ -125,14 +128,14 @@ def selected_types(selections: DataFrame, types: list[str]) -> DataFrame:
     """job_id, batch_id, types from selections (job_id, batch_id, selected): the union over a batch's shards, in
     vocabulary order; all types if nothing was selected."""
     union = selections.groupBy("job_id", "batch_id").agg(F.array_distinct(F.flatten(F.collect_list("selected"))).alias("u"))
-    every = F.array(*map(F.lit, types))
-    return union.select("job_id", "batch_id", F.when(F.size("u") == 0, every).otherwise(F.filter(every, lambda t: F.array_contains("u", t))).alias("types"))
+    every = strings(types)
+    return union.select("job_id", "batch_id", F.when(F.size("u") == 0, every).otherwise(F.array_intersect(every, F.col("u"))).alias("types"))
 
 
 def prefilter(batches: DataFrame, v: Vocabulary, make: Callable, mode: str, max_retries: int = 2, concurrency: int | None = None, max_chars: int = 12_000) -> DataFrame:
     """Batches with ``types`` narrowed by a first call for each shard of the vocabulary; a shard that stays invalid fails its job."""
     payload = F.to_json(F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))) if mode == "text" else _tables_json(F.col("tasks"))
-    asked = batches.withColumn("payload", payload)
+    asked = batches.withColumn("payload", ascii_json(payload))
     asked = asked.withColumn("overhead", F.length(selection_prompt(v, F.array().cast("array<string>"), F.col("payload"), mode)).cast("long"))
     shards = shard_types(asked.select("overhead"), list(v.types), max_chars).select("overhead", "shard", F.col("type_ids").alias("shard_types"))
     calls = asked.join(shards, "overhead").select("job_id", F.col("batch_id").alias("of_batch"), (F.col("batch_id") * 65536 + F.col("shard")).alias("batch_id"), "shard_types", selection_prompt(v, F.col("shard_types"), F.col("payload"), mode).alias("prompt"))
@@ -140,7 +143,8 @@ def prefilter(batches: DataFrame, v: Vocabulary, make: Callable, mode: str, max_
     def validate(df: DataFrame) -> DataFrame:
         out = parse_selection_replies(df)
         out = out.withColumn("selected", select_types(F.col("reply.items"), F.col("shard_types"), list(v.aliases), list(v.prefixes)))
-        return out.withColumn("error_code", F.col("reply.error_code")).withColumn("is_valid", F.col("reply.error_code").isNull()).drop("reply")
+        out = out.select("*", "reply.error_code", "reply.error_detail")
+        return out.withColumn("is_valid", F.col("error_code").isNull()).drop("reply")
 
     attempts = run_attempts(calls, make, validate, max_retries, concurrency)
     good = settled(attempts).select("job_id", F.col("of_batch").alias("batch_id"), "selected")

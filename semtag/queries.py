@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,8 @@ from .functions.text import text_task_size
 from .operators import batching, jobs, model, prompts, rules, scoring, tasks, validation, vocab
 from .operators.vocab import BUILT_IN, COARSE, FINE_TO_COARSE, Vocabulary
 from .plans import workloads
+from .sources import io
+from .sources.shared import shared_folder
 from .streaming.annotate import dedupe_stream, stream_annotate
 
 
@@ -146,7 +146,7 @@ def select_reply_types(spark: SparkSession, d: str) -> DataFrame:
 
 def prefilter(spark: SparkSession, d: str) -> DataFrame:
     chosen = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.element_at(_coarse(), (F.col("doc_id") * 5 % 12 + 1).cast("int"))))
-    made = fx.table(spark, d, "documents").where("doc_id % 10 < 8").selectExpr("source as job_id", "doc_id div 20 as batch_id", "doc_id").withColumn("selected", F.when(F.col("batch_id") % 3 == 0, F.array().cast("array<string>")).otherwise(chosen))
+    made = fx.table(spark, d, "documents").selectExpr("source as job_id", "doc_id div 20 as batch_id", "doc_id").withColumn("selected", F.when(F.col("batch_id") % 3 == 0, F.array().cast("array<string>")).otherwise(chosen))
     return workloads.selected_types(made, COARSE).select("job_id", "batch_id", F.posexplode("types").alias("idx", "type_id"))
 
 
@@ -286,6 +286,11 @@ def dedupe_submissions(spark: SparkSession, d: str) -> DataFrame:
     return jobs.dedupe_submissions(made).select("job_id", "seq", "event_type")
 
 
+def job_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    every = fx.reply_batches(spark, d).select("job_id").distinct()
+    return jobs.job_outcomes(every, settle_attempts(spark, d))
+
+
 def dispatch(spark: SparkSession, d: str) -> DataFrame:
     text, tables, failed = jobs.dispatch(fx.jobs(spark, d))
     lane = lambda df, name, error: df.select("job_id", F.lit(name).alias("lane"), error.alias("error"))
@@ -334,7 +339,7 @@ def text_prompts(spark: SparkSession, d: str) -> DataFrame:
     v = BUILT_IN["coarse"]
     slim = F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))
     batches = workloads.text_batches(fx.text_tasks(spark, d))
-    chosen = prompts.selection_prompt(v, _coarse(), F.to_json(slim), "text")
+    chosen = prompts.selection_prompt(v, _coarse(), prompts.ascii_json(F.to_json(slim)), "text")
     return batches.select("job_id", "batch_id", prompts.text_prompt(v, _coarse(), slim).alias("prompt"), chosen.alias("selection_prompt"))
 
 
@@ -342,18 +347,16 @@ def table_prompts(spark: SparkSession, d: str) -> DataFrame:
     sampled = tasks.column_union(tasks.sample_table_rows(fx.customer_rows(spark, d), 5, order="row_id")).withColumn("sampled_rows_json", F.to_json("sampled_rows"))
     sized = batching.table_task_sizes(sampled).withColumn("job_id", F.lit("nations")).withColumn("ord", F.expr("cast(substring(table_id, 7) as long)"))
     batches = workloads.table_batches(sized)
-    return batches.select("job_id", "batch_id", prompts.table_prompt(BUILT_IN["sti"], F.array(*map(F.lit, BUILT_IN["sti"].types)), workloads._tables_json(F.col("tasks"))).alias("prompt"))
+    return batches.select("job_id", "batch_id", prompts.table_prompt(BUILT_IN["sti"], F.array(*map(F.lit, BUILT_IN["sti"].types)), prompts.ascii_json(workloads._tables_json(F.col("tasks")))).alias("prompt"))
 
 
 def annotate_texts(spark: SparkSession, d: str) -> DataFrame:
-    _checkpoints(spark)
     return workloads.annotate_texts(fx.text_tasks(spark, d), BUILT_IN["fine"], _echo_model(list(FINE_TO_COARSE)), include_scores=True)
 
 
 def stream_texts(spark: SparkSession, d: str) -> DataFrame:
     """Turns as a stream of tasks, annotated by term look-up, read back when the stream has ended."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semtag-stream-")
-    at = f"{base}/stream-{_token()}"
+    at = f"{shared_folder(spark)}/stream-{_token()}"
     source = fx.table(spark, d, "conversations")
     stamped = source.selectExpr("concat_ws('-', conv_id, turn) as job_id", "text", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, turn) as created_at")
     stamped.write.parquet(f"{at}/in")
@@ -375,11 +378,6 @@ def _token() -> str:
     return uuid.uuid4().hex
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semtag-checkpoint-"))
-
-
 QUERIES = {
     "text_ner_replay": text_ner_replay,
     "column_typing_replay": column_typing_replay,
@@ -425,6 +423,7 @@ QUERIES = {
     "next_jobs": next_jobs,
     "admit": admit,
     "dedupe_submissions": dedupe_submissions,
+    "job_outcomes": job_outcomes,
     "dispatch": dispatch,
     "profile_columns": profile_columns,
     "gazetteer": gazetteer,

@@ -196,3 +196,16 @@ def test_a_hot_job_is_packed_in_parts(spark):
     for j, sizes in jobs.items():
         assert [found[j][3 * i] for i in range(len(sizes))] == greedy_batches(np.array(sizes), 10, 12_000).tolist(), j
     assert max(parts) < 1000
+
+
+def test_undated_jobs_come_last_and_unnamed_schemas_are_unknown(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(3, None), (1, None), (2, "2024-01-02 00:00:00"), (5, "2024-01-01 00:00:00"), (4, "2024-01-02 00:00:00"), (None, None)]
+    made = spark.createDataFrame(rows, "job_id long, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert {x["job_id"]: x["position"] for x in jobs.fifo_order(made).collect()} == {5: 1, 2: 2, 4: 3, 1: 4, 3: 5, None: 6}
+    assert {x["job_id"]: x["position"] for x in jobs.fifo_order(made, k=2).collect()} == {5: 1, 2: 2}
+    assert {x["job_id"] for x in jobs.admit(made, depth=7, maxsize=10).where("admitted").collect()} == {5, 2, 4}
+    assert jobs.fifo_order(made.where("false")).count() == 0
+    asked = spark.createDataFrame([(1, "a"), (2, None), (3, "x")], "job_id int, schema string")
+    config = spark.createDataFrame([("b",), ("a",)], "schema string")
+    assert {(x["job_id"], x["error"]) for x in tasks.require_schema(asked, config).collect()} == {(2, "unknown schema null; known: a, b"), (3, "unknown schema x; known: a, b")}

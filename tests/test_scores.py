@@ -70,3 +70,25 @@ def test_results_in_input_order(spark):
     items = spark.createDataFrame([("j", "a", 1, "second"), ("j", "a", 0, "first")], "job_id string, task_id string, idx int, text string")
     got = sorted((x["ord"], [e["text"] for e in x["entities"]]) for x in assemble_results(tasks, items, ["text"]).collect())
     assert got == [(0, ["first", "second"]), (1, []), (2, ["first", "second"])]
+
+
+def test_a_thousand_types_cost_ten_times_a_hundred(spark):
+    import time
+
+    took = {}
+    for n in (100, 1000):
+        types = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("T"), i))
+        df = spark.range(400).withColumn("types", types).withColumn("scores", F.map_from_arrays("types", F.transform("types", lambda t, i: (i * 7 % 11).cast("double")))).repartition(4).cache()
+        df.count()
+        score_items(df, F.col("types")).select("type_id", "confidence").write.format("noop").mode("overwrite").save()
+        began = time.time()
+        got = score_items(df, F.col("types")).select("type_id", "confidence").distinct().collect()
+        took[n] = time.time() - began
+        assert len(got) == 1 and got[0]["type_id"] == "T3"
+    assert took[1000] < 60 * max(took[100], 0.05)
+
+
+def test_missing_scores_and_null_maps(spark):
+    rows = [(0, {"B": 2.0}), (1, {"Z": 1.0}), (2, {}), (3, None), (4, {"A": None, "B": 3.0})]
+    df = spark.createDataFrame(rows, SCORES).select("i", fill_dense(F.col("scores"), arr("C", "A", "B")).alias("v"))
+    assert {x["i"]: x["v"] for x in df.collect()} == {0: [0.0, 0.0, 2.0], 1: [0.0] * 3, 2: [0.0] * 3, 3: None, 4: [0.0, 0.0, 3.0]}

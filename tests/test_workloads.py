@@ -39,6 +39,33 @@ def test_a_job_whose_model_never_answers_well_has_no_results(spark, tmp_path):
     assert {x["job_id"] for x in workloads.annotate_texts(tasks, BUILT_IN["coarse"], make).collect()} == {"good"}
 
 
+def test_a_call_that_raises_fails_its_job_only(spark, tmp_path):
+    from semtag.operators import jobs, model
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    tasks = spark.createDataFrame([("bad", 0, "a", "no"), ("good", 0, "a", "yes it is"), ("late", 0, "a", "yes")], "job_id string, ord long, task_id string, text string").coalesce(1)
+
+    def make():
+        def one(p):
+            if payload(p)[0]["text"] == "no":
+                raise TimeoutError("too slow")
+            assert "not valid" not in p or "Your last answer was not valid: bad_shape: " in p
+            if payload(p)[0]["text"] == "yes" and "not valid" not in p:
+                return "{}"
+            return json.dumps([{"task_id": "a", "entities": [{"start": 0, "end": 3, "text": "yes", "scores": {t: 1 for t in allowed(p)}}]}])
+
+        return lambda prompts: [one(p) for p in prompts]
+
+    v = BUILT_IN["coarse"]
+    assert {x["job_id"] for x in workloads.annotate_texts(tasks, v, make).collect()} == {"good", "late"}
+    batches = workloads.text_batches(tasks).withColumn("prompt", workloads.text_prompt(v, workloads.strings(v.types), F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))))
+    attempts = model.run_attempts(batches, make, lambda df: workloads.validate_text(df, v))
+    bad = attempts.where("job_id = 'bad'").collect()
+    assert [(x["attempt"], x["error_code"], x["error_detail"]) for x in bad] == [(0, "call_failed", "TimeoutError: too slow")]
+    got = jobs.job_outcomes(tasks.select("job_id").union(spark.createDataFrame([("none",)], "job_id string")), model.settle_attempts(attempts))
+    assert {tuple(x) for x in got.collect()} == {("bad", "failed", "call_failed"), ("good", "completed", None), ("late", "completed", None), ("none", "completed", None)}
+
+
 def test_two_steps_with_a_large_vocabulary(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     types = tuple(f"dpv:T{i}" for i in range(3000))
