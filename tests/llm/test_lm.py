@@ -1,5 +1,4 @@
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -35,17 +34,58 @@ def test_classes_agree_with_sql(spark):
     df = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
     from pyspark.sql import functions as F
 
-    got = df.select("word", (lm.SHORTLIST + F.crc32(F.substring("word", -2, 2)) % lm.CLASSES).alias("e")).collect()
+    got = df.select("word", (F.crc32(F.substring("word", -2, 2)) % lm.CLASSES).alias("e")).collect()
     assert {bytes(x["word"]): x["e"] for x in got} == {w: lm.class_of(w) for w in words}
 
 
-def test_probabilities_add_up():
-    model = lm.LogBilinear.start(np.arange(lm.ENTRIES), 1)
-    last, before, norm = model.tables()
-    for a, b in ((0, 1), (5, 7)):
-        p = np.exp(last[b] + before[a] - norm[a, b])
-        assert abs(p.sum() - 1) < 1e-4
-    assert zlib.crc32(b"") == 0
+def plain(model, before, last):
+    """Probabilities of all entries after two, by the definition."""
+    q = model.vectors[last, :-1] * model.near[:-1] + model.vectors[before, :-1] * model.far[:-1]
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    of_group = softmax(model.groups[:, :-1] @ q + model.groups[:, -1])
+    parts = []
+    for g, p in enumerate(of_group):
+        own = model.vectors[g * model.size : (g + 1) * model.size]
+        parts.append(p * softmax(own[:, :-1] @ q + own[:, -1]))
+    return np.concatenate(parts)
+
+
+def test_probabilities_are_normalised_over_all_entries():
+    r = np.random.default_rng(0)
+    p = r.random(1000)
+    model = lm.LogBilinear.start(p / p.sum(), 1)
+    for scale in (1.0, 12.0):  # the second needs guarded sums
+        model.vectors[:, :-1] *= scale
+        for a, b in ((0, 1), (999, 7)):
+            found = model.scorer()(np.full(1000, a), np.full(1000, b), np.arange(1000))
+            want = plain(model, a, b)
+            assert abs(want.sum() - 1) < 1e-5 and np.abs(found - np.log(want)).max() < 1e-3
+
+
+def test_scores_are_those_of_the_definition(docs, rows):
+    fitted = lm.fit(docs)
+    assert fitted.model.vectors.shape[0] == len(fitted.shortlist) + lm.CLASSES > 300
+    entries, count = lm.Entries(fitted.shortlist), dict(zip(fitted.known, fitted.counts.tolist(), strict=True))
+    got = {}
+    for x in lm.score_texts(docs, fitted).collect():
+        got.setdefault(x["doc_id"], x["score"])
+    for d, t, *_ in rows[::9]:
+        total, before, last = 0.0, 0, 0
+        for w in tokens(t):
+            w = w if len(w) <= lm.LONG else lm.tokens(w + b" " * lm.LONG)[0]
+            e = entries[w]
+            p = plain(fitted.model, before, last)[e]
+            if e >= len(fitted.shortlist):
+                p *= (count.get(w, 0) + 1) / fitted.class_sizes[e - len(fitted.shortlist)]
+            total += math.log10(p)
+            before, last = last, e
+        assert abs(got[d] - total) < 1e-3 * max(1, len(tokens(t)) / 100)
+
+
+def test_the_fit_does_not_depend_on_how_the_table_is_split(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 10_000)
+    a, b = lm.fit(docs).model, lm.fit(docs.repartition(7)).model
+    assert np.array_equal(a.pack(), b.pack())
 
 
 def test_rare_words_use_the_join(docs, monkeypatch):
