@@ -4,9 +4,9 @@ Vectors are product-quantised with four bits a subspace under a score-aware, ani
 part of the residual parallel to the vector, which shifts large inner products, weighs more than the
 rest. Codes are chosen by coordinate descent over the subspaces, centres by weighted least squares.
 
-A search scans four-bit codes by look-up tables, two subspaces to a byte, in blocks of vectors against
-blocks of queries, and reranks exactly what scans best. Every block keeps only its best, and blocks are merged by a
-bounded top-k.
+Equal vectors are one. Codes are stored two subspaces to a byte. A search scans the codes of blocks of vectors
+for blocks of queries, by look-up tables; only codes and queries travel. Every block tells each query's best scans,
+the best of all blocks are taken, and one join brings their original vectors, for exact scores.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,11 @@ class Quantiser:
                 total = others + along[rows, m, codes[:, m]]
         return codes.astype(np.uint8)
 
+    def pack(self, codes: np.ndarray) -> np.ndarray:
+        """Two codes to a byte; an odd last one is alone."""
+        even = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
+        return even[:, ::2] << 4 | even[:, 1::2]
+
 
 def parallel_weight(dims: int, threshold: float) -> float:
     """Weight of the parallel residual for inner products above ``threshold`` of the vector's length."""
@@ -88,95 +94,132 @@ def fit_quantiser(x: np.ndarray, subspace: int = 2, rounds: int = 8, threshold:
     return book, ratio
 
 
-def scan(codes: np.ndarray, queries: np.ndarray, book: Quantiser, together: int = 32) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the first query, scores (row, query)) for a few queries at a time, by tables of two subspaces."""
-    m = codes.shape[1]
-    pairs = [codes[:, i].astype(np.intp) * CENTRES + (codes[:, i + 1] if i + 1 < m else 0) for i in range(0, m, 2)]
+def scan(packed: np.ndarray, queries: np.ndarray, book: Quantiser, together: int = 32, rows: int = 8192) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first query, scores (query, row)) for a few queries at a time, by one table look-up a byte."""
     for start in range(0, len(queries), together):
         q = book.split(queries[start : start + together])
         luts = np.einsum("qmd,mcd->mcq", q, book.books)
-        scores = np.zeros((len(codes), len(q)), np.float32)
-        for i, at in zip(range(0, m, 2), pairs, strict=True):
-            second = luts[i + 1] if i + 1 < m else np.zeros_like(luts[0])
-            scores += np.take((luts[i][:, None] + second[None]).reshape(CENTRES * CENTRES, -1), at, axis=0)
+        if len(luts) % 2:
+            luts = np.concatenate([luts, np.zeros_like(luts[:1])])
+        tables = [(luts[i][:, None] + luts[i + 1][None]).reshape(CENTRES * CENTRES, -1) for i in range(0, len(luts), 2)]
+        scores = np.empty((len(q), len(packed)), np.float32)
+        for at in range(0, len(packed), rows):
+            part = packed[at : at + rows]
+            total = tables[0][part[:, 0]]
+            for i, t in enumerate(tables[1:], 1):
+                total += t[part[:, i]]
+            scores[:, at : at + rows] = total.T
         yield start, scores
 
 
+def best_scans(scores: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` greatest scores; of those that tie with the last, the ones with the least keys."""
+    if len(scores) <= most:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - most)[len(scores) - most]
+    above, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    return np.concatenate([above, ties[np.argsort(keys[ties], kind="stable")[: most - len(above)]]])
+
+
+def usable(df: DataFrame, key: str) -> DataFrame:
+    """id, v of the rows that take part, once each, with ``copies``; vk and vk2 stand for the vector."""
+    number = F.transform("embedding", lambda x: x.cast("double"))
+    fit = F.col("embedding").isNotNull() & ~F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(number, lambda x: x != 0)
+    found = df.select(F.col(key).cast("long").alias("id"), "embedding").where(F.col("id").isNotNull() & fit)
+    keyed = found.select("id", F.col("embedding").alias("v"), F.xxhash64("embedding").alias("vk"), F.xxhash64("embedding", F.lit(1)).alias("vk2"))
+    return keyed.groupBy("id", "vk", "vk2").agg(F.first("v").alias("v"), F.count("*").alias("copies"))
+
+
+def exact_scores(pairs: DataFrame) -> DataFrame:
+    """query_id, qk, id, copies, score of pairs with vectors v and q of one length: inner products in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, q = (batch.column(i).combine_chunks() if isinstance(batch.column(i), pa.ChunkedArray) else batch.column(i) for i in (4, 5))
+            lengths = np.asarray(v.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            products = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * q.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            sums = np.add.reduceat(products, np.r_[0, np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.float64())], names=["query_id", "qk", "id", "copies", "score"])
+
+    return pairs.select("query_id", "qk", "id", "copies", "v", "q").mapInArrow(run, "query_id long, qk long, id long, copies long, score double")
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
     rerank: int = 400,
-    block: int = 8192,
+    row_block: int = 1 << 18,
+    query_block: int = 1 << 14,
     fit_rows: int = 20_000,
     seed: int = 1,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows but its own, ties to the smaller id.
 
-    vectors: vec_id, embedding; queries: query_id, embedding. Vectors that are null, empty, zero, or hold a null or
-    non-finite component take no part, nor do those of another length than the most usual one. A row
-    whose id is a query's is not its neighbour. Repeated ids count once, with their smallest vector.
-    ``fit_rows`` bounds the sample, chosen by hash, that the quantiser is fitted to; all rows are
-    encoded. In each block the ``rerank`` best scans, and all that tie with the last, are scored exactly.
+    vectors: vec_id, embedding; queries: query_id, embedding; other columns are ignored. Rows with a null id, and vectors
+    that are null, empty, zero, or hold a null or non-finite component take no part. A row whose id is a query's is not
+    its neighbour. Repeated rows are neighbours as often as they occur; ids repeated with other vectors are rows like
+    any other. A query that repeats exactly is one; with another vector it is one more query of that id. A query
+    meets rows of its own length. Of equal vectors only the k + 1 least ids are looked at, as no
+    query can take more. Those of the most usual length are searched by codes: ``fit_rows`` bounds the sample, chosen by hash,
+    that the quantiser is fitted to, all rows are encoded, and each query's ``rerank`` best scans are scored
+    exactly. Vectors of other lengths are joined with the queries of their length and compared exactly.
     """
-    prepare(vectors.sparkSession)
-    number = F.transform("embedding", lambda v: v.cast("double"))
-    clean = F.col("embedding").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
-    usable = lambda df, key: df.select(F.col(key).cast("long").alias("id"), "embedding", number.alias("x")).where(clean & F.col("id").isNotNull()).groupBy("id").agg(F.min("x").alias("x"))
-    rows, asked = usable(vectors, "vec_id"), usable(queries, "query_id")
-    lengths = rows.groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").take(1)
-    schema = "query_id long, rank int, vec_id long, score double"
+    spark = vectors.sparkSession
+    prepare(spark)
+    rows = usable(vectors, "vec_id")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("vk", "vk2").orderBy("id"))).where(F.col("__n") <= k + 1).checkpoint()
+    asked = usable(queries, "query_id").select(F.col("id").alias("query_id"), F.col("vk").alias("qk"), F.col("v").alias("q")).checkpoint()
+    one = rows.where("__n = 1").select("vk", "vk2", "v", F.size("v").alias("dims"))
+    lengths = one.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").take(2)
     if not lengths:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n = lengths[0]["dims"], lengths[0]["n"]
-    rows, asked = rows.where(F.size("x") == dims), asked.where(F.size("x") == dims)
+    own = one.where(F.col("dims") == dims)
     share = int(min(1.0, fit_rows / n) * 1_000_000)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share).toArrow()
-    order = np.argsort(sample["id"].to_numpy())
-    x = np.array(sample["x"].combine_chunks().flatten().to_numpy().reshape(-1, dims), np.float32)[order]
+    sample = own.where(F.pmod(F.xxhash64("vk", F.lit(seed)), F.lit(1_000_000)) < share).select("vk", "v").toArrow()
+    x = np.array(sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims), np.float32)[np.argsort(sample["vk"].to_numpy())]
     book, ratio = fit_quantiser(x if len(x) else np.zeros((1, dims), np.float32), seed=seed)
-    shared = vectors.sparkSession.sparkContext.broadcast((book, ratio))
+    shared = spark.sparkContext.broadcast((book, ratio))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, ratio = shared.value
         for batch in batches:
-            if len(batch):
-                codes = book.encode(np.stack(batch["x"]).astype(np.float32), ratio=ratio)
-                yield batch.assign(codes=[c.tobytes() for c in codes])
-
-    row_blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(asked.count() / block))
-    indexed = rows.mapInPandas(encode, "id long, x array<double>, codes binary")
-    # every block of vectors meets every block of queries once, in a cell of its own
-    grid = lambda df, own, mine, other, theirs: df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
-    left = grid(indexed, "rb", row_blocks, "qb", query_blocks).groupBy("rb", "qb")
-    right = grid(asked, "qb", query_blocks, "rb", row_blocks).groupBy("rb", "qb")
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+            codes = book.pack(book.encode(x, ratio=ratio)) if len(x) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vk", "vk2", "codes"])
+
+    of_length = asked.where(F.size("q") == dims)
+    n_queries, workers = of_length.count(), spark.sparkContext.defaultParallelism
+    row_blocks, query_blocks = max(1, math.ceil(n / row_block)), max(1, math.ceil(n_queries / query_block), min(2 * workers, math.ceil(n_queries / 128)))
+    indexed = own.select("vk", "vk2", "v").mapInArrow(encode, "vk long, vk2 long, codes binary")
+    # every block of codes meets every block of queries once, in a cell of its own
+    grid = lambda df, key, own, mine, other, theirs: df.withColumn(own, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+    left = grid(indexed, ["vk"], "rb", row_blocks, "qb", query_blocks).groupBy("rb", "qb")
+    right = grid(of_length, ["query_id", "qk"], "qb", query_blocks, "rb", row_blocks).groupBy("rb", "qb")
 
     def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        if not len(v) or not len(q):
-            return none
-        book, _ = shared.value
-        v, q = v.sort_values("id"), q.sort_values("id")
-        ids, exact, asked = v["id"].to_numpy(), np.stack(v["x"]), np.stack(q["x"])
-        codes = np.frombuffer(b"".join(v["codes"]), np.uint8).reshape(len(v), -1)
-        out = []
-        for start, scores in scan(codes, asked.astype(np.float32), book):
-            for j in range(scores.shape[1]):
-                qid, query, found = q["id"].iloc[start + j], asked[start + j], scores[:, j]
-                if len(found) > rerank + 1:
-                    least = np.partition(found, len(found) - rerank - 1)[len(found) - rerank - 1]
-                    at = np.flatnonzero(found >= least)
-                else:
-                    at = np.arange(len(found))
-                at = at[ids[at] != qid]
-                true = (exact[at] * query).sum(axis=1)
-                best = np.lexsort((ids[at], -true))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at[best]], "score": true[best]}))
-        return pd.concat(out, ignore_index=True) if out else none
-
-    found = left.cogroup(right).applyInPandas(cell, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = {"query_id": [], "qk": [], "vk": [], "vk2": [], "scan": []}
+        if len(v) and len(q):
+            keys, more = v["vk"].to_numpy(), v["vk2"].to_numpy()
+            packed = np.frombuffer(b"".join(v["codes"]), np.uint8).reshape(len(v), -1)
+            for start, scores in scan(packed, np.stack(q["q"]).astype(np.float32), shared.value[0]):
+                for j, found in enumerate(scores):
+                    at = best_scans(found, keys, rerank)
+                    for name, values in zip(out, (np.full(len(at), q["query_id"].iloc[start + j]), np.full(len(at), q["qk"].iloc[start + j]), keys[at], more[at], found[at]), strict=True):
+                        out[name].append(values)
+        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.float32 if c == "scan" else np.int64) for c, x in out.items()})
+
+    scans = left.cogroup(right).applyInPandas(cell, "query_id long, qk long, vk long, vk2 long, scan float")
+    of_query = Window.partitionBy("query_id", "qk")
+    scans = scans.withColumn("__r", F.row_number().over(of_query.orderBy(F.desc("scan"), "vk", "vk2"))).where(F.col("__r") <= rerank)
+    pairs = scans.select("query_id", "qk", "vk", "vk2").join(rows.select("id", "copies", "vk", "vk2", "v"), ["vk", "vk2"]).join(of_length, ["query_id", "qk"])
+    if len(lengths) > 1:
+        others = rows.where(F.size("v") != dims).withColumn("dims", F.size("v"))
+        pairs = pairs.select("query_id", "qk", "id", "copies", "v", "q").unionByName(others.join(asked.withColumn("dims", F.size("q")), "dims").select("query_id", "qk", "id", "copies", "v", "q"))
+    found = exact_scores(pairs.where("id != query_id")).withColumn("copies", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    rank = F.row_number().over(of_query.orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def op1_search(spark, sf_dir: str) -> DataFrame:

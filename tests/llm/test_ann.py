@@ -23,7 +23,7 @@ def test_recall_scores_and_ties(spark):
     vectors |= {900 + i: vectors[3] for i in range(40)}
     df = spark.createDataFrame(list(vectors.items()), SCHEMA)
     queries = {i: v for i, v in vectors.items() if i % 20 == 0}
-    got = search(df, df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=20, block=256, rerank=60).collect()
+    got = search(df, df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=20, row_block=256, query_block=16, rerank=240).collect()  # of all four blocks together
     want = brute(vectors, queries, 20)
     hits = 0
     for q in queries:
@@ -32,16 +32,17 @@ def test_recall_scores_and_ties(spark):
         assert [(-x["score"], x["vec_id"]) for x in mine] == sorted((-x["score"], x["vec_id"]) for x in mine)
         hits += len({x["vec_id"] for x in mine} & {i for i, _ in want[q]})
         for x in mine:
-            assert x["score"] == float((np.array(vectors[x["vec_id"]], np.float32).astype(float) * np.array(queries[q], np.float32).astype(float)).sum())
+            assert abs(x["score"] - float((np.array(vectors[x["vec_id"]], np.float32).astype(float) * np.array(queries[q], np.float32).astype(float)).sum())) < 1e-12
     assert hits >= 0.95 * 20 * len(queries)
 
 
 def test_unusable_vectors_and_few_candidates(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, []), (20, [1.0, 1.0]), (None, [9.0, 9.0]), (1, [0.5, 0.5])]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (8, [3.0]), (7, []), (20, [1.0, 1.0]), (None, [9.0, 9.0]), (1, [0.5, 0.5])]
     df = spark.createDataFrame(rows, SCHEMA)
     got = search(df, df.withColumnRenamed("vec_id", "query_id"), k=5).collect()
-    assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == 0} == {(0, 1, 20, 1.0), (0, 2, 1, 0.5)}
-    assert {x["query_id"] for x in got} == {0, 1, 20}
+    found = lambda q: sorted((x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == q)
+    assert found(0) == [(1, 20, 1.0), (2, 1, 0.5), (3, 1, 0.5)]  # a repeated row counts as often as it occurs
+    assert found(6) == [(1, 8, 3.0)] and {x["query_id"] for x in got} == {0, 1, 6, 8, 20}
     assert search(df.where("false"), df.withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
@@ -55,3 +56,32 @@ def test_parallel_error_counts_more():
         return (((x - back) * x).sum(axis=1) ** 2 / (x**2).sum(axis=1)).mean()
 
     assert ratio > 1 and parallel(ratio) < parallel(1.0)
+
+
+def test_an_id_with_several_vectors_and_a_very_common_vector(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(7, [3.0, 3.0, 3.0]), (20, [9.0, 0.0, 0.0]), (500, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA + ", score string")
+    got = search(df, df.where("vec_id in (0, 20)").withColumnRenamed("vec_id", "query_id"), k=20, rerank=3).collect()
+    first = sorted((x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == 0)
+    assert first == [(1, 7, 18.0)] + [(r, i, 14.0) for r, i in enumerate(range(1, 20), 2)]
+    both = sorted((x["score"], x["rank"], x["vec_id"]) for x in got if x["query_id"] == 20)
+    assert len(both) == 40 and both[-1] == (27.0, 1, 7) and both[-2] == (18.0, 1, 7)  # two queries of one id
+
+
+def test_recall_where_few_of_many_are_reranked(spark):
+    r = np.random.default_rng(7)
+    centres = r.standard_normal((200, 64))
+    x = (centres[r.integers(0, 200, 50_000)] + 0.6 * r.standard_normal((50_000, 64))).astype(np.float32)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), SCHEMA)
+    got = search(df, df.where("vec_id % 500 = 0").withColumnRenamed("vec_id", "query_id")).collect()
+    mine = {}
+    for row in got:
+        mine.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hits = 0
+    for q, found in mine.items():
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(mine) == 100 and hits >= 0.9 * 20 * 100
