@@ -21,27 +21,32 @@ from pyspark.sql import functions as F
 
 from ._common import prepare, table, without, word_count
 
-#: Candidates of one hypergeometric draw.
-TRIES = 32
+#: Candidates of one hypergeometric draw; levels of the tree that one row holds.
+TRIES, MOST_BITS = 32, 10
 
 
-def log_factorial(x: str) -> str:
-    """SQL for ln x! by Stirling's series at x + 8, led back; absolute error below 1e-9 for x >= 0."""
-    y = f"({x} + 8)"
-    series = f"({y} + 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) + 1 / (1260 * {y} * {y} * {y} * {y} * {y})"
-    down = ", ".join(f"ln(({x} + {i}) * ({x} + {i + 1}) * ({x} + {i + 2}) * ({x} + {i + 3}))" for i in (1, 5))
-    return f"({series} - {down.replace('), ln', ') - ln')})"
+def log_ratio(a: str, b: str) -> str:
+    """SQL for ln(a! / b!) of whole numbers up to 2^52.
+
+    Stirling's series at a + 8 and b + 8, led back, written in the difference: no large terms are subtracted, so
+    the error grows with |a - b| only, about 1e-15 for each.
+    """
+    series = lambda y: f"1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) + 1 / (1260 * {y} * {y} * {y} * {y} * {y})"
+    down = lambda x: " + ".join(f"ln(({x} + {i}) * ({x} + {i + 1}) * ({x} + {i + 2}) * ({x} + {i + 3}))" for i in (1, 5))
+    led = f"({a} - {b}) * ln({a} + 8) - ({a} - {b}) + ({b} + 8.5D) * log1p(({a} - {b}) / ({b} + 8))"
+    return f"({led} + ({series(f'({a} + 8)')}) - ({series(f'({b} + 8)')}) - ({down(a)}) + {down(b)})"
 
 
 def log_chance(x: str) -> str:
-    """SQL for the logarithm of a value's hypergeometric probability, up to a constant."""
-    return "-(" + " + ".join(log_factorial(f"({y})") for y in (x, f"__k - {x}", f"__n - {x}", f"__m - __k - __n + {x}")) + ")"
+    """SQL for the logarithm of a value's hypergeometric probability over that of __mode."""
+    parts = lambda v: (v, f"(__k - {v})", f"(__n - {v})", f"(__m - __k - __n + {v})")
+    return "-(" + " + ".join(log_ratio(a, b) for a, b in zip(parts(x), parts("__mode"), strict=True)) + ")"
 
 
 def hypergeometric(df: DataFrame, name: str, drawn: str, inside: str, total: str, seeds: str) -> DataFrame:
     """df with ``name``: how many of ``drawn`` out of ``total`` fall among ``inside``; all are columns of whole numbers.
 
-    Exact, by ratio of uniforms: candidates centre + scale * v / u, the first with u * u at most its
+    By ratio of uniforms, exact but for rounding (log_ratio): candidates centre + scale * v / u, the first with u * u at most its
     probability relative to the mode's. Of TRIES candidates, each accepted with a probability over 0.6,
     none is with a probability below 1e-12; then it is the mode.
     """
@@ -59,8 +64,8 @@ def hypergeometric(df: DataFrame, name: str, drawn: str, inside: str, total: str
     df = df.selectExpr("*", "least(greatest(__middle, __low), __high) as __mode")
     draws = f"transform(sequence(1, {TRIES}), i -> named_struct('u', {uniform(0)}, 'v', {uniform(1)}))"
     values = f"transform({draws}, t -> named_struct('x', double(floor(__centre + __scale * (t.v - 0.5D) / t.u)), 'l', 2 * ln(t.u)))"
-    df = df.selectExpr("*", f"{log_chance('__mode')} as __top", f"filter({values}, t -> t.x >= __low and t.x <= __high) as __tries")
-    found = f"try_element_at(filter(__tries, t -> t.l <= {log_chance('t.x')} - __top), 1).x"
+    df = df.selectExpr("*", f"filter({values}, t -> t.x >= __low and t.x <= __high) as __tries")
+    found = f"try_element_at(filter(__tries, t -> t.l <= {log_chance('t.x')}), 1).x"
     return df.selectExpr(*keep, f"bigint(coalesce({found}, __mode)) as {name}")
 
 
@@ -86,6 +91,29 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return found.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def descend(tree: DataFrame, below: DataFrame, done: int, bits: int, seed: int) -> DataFrame:
+    """tree (a row for each source and node of level ``done``, with its quota) taken down ``bits`` levels.
+
+    below: source, at, words of the nodes ``bits`` levels further down; those without words may lack. A node's row
+    holds the words of its 2^bits descendants, a bounded number.
+    """
+    plain, width = ["source", "source_size", "target", "whole"], 1 << bits
+    empty = tree.select("source", F.explode(F.sequence(F.col("node") * width, F.col("node") * width + width - 1)).alias("at"), F.lit(0).cast("long").alias("words"))
+    filled = below.select("source", "at", "words").unionAll(empty).groupBy("source", "at").agg(F.sum("words").alias("words"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])
+    arrays = filled.groupBy("source", F.shiftright("at", bits).alias("node")).agg(listed.alias("words")).select(F.col("source").alias("__s"), F.col("node").alias("__n"), "words")
+    tree = tree.join(arrays, tree["source"].eqNullSafe(F.col("__s")) & (F.col("node") == F.col("__n"))).select(*plain, "node", "words", "quota")
+    total = lambda a: f"aggregate({a}, 0L, (x, y) -> x + y)"
+    for level in range(done, done + bits):
+        half = width >> (level - done + 1)
+        parts = tree.selectExpr(*plain, "node", "quota", f"slice(words, 1, {half}) as left", f"slice(words, {half + 1}, {half}) as right")
+        parts = parts.selectExpr("*", f"{total('left')} as k", f"{total('left')} + {total('right')} as m")
+        parts = hypergeometric(parts, "to_left", "quota", "k", "m", f"source, node, {level}, {seed}")
+        sides = "inline(array(struct(node * 2 as node, left as words, to_left as quota), struct(node * 2 + 1 as node, right as words, quota - to_left as quota)))"
+        tree = parts.selectExpr(*plain, sides)
+    return tree.drop("words")
+
+
 def pass_order(mix_order: Column, again: Column) -> Column:
     """Where a document's pass lies in its shard: ``mix_order`` for the first time that it is taken, a new hash of it when again."""
     return F.when(again == 0, mix_order).otherwise(F.xxhash64(mix_order, again))
@@ -110,23 +138,16 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, least_depth
     slim = sized.withColumn("__draw", tie).withColumn("mix_order", F.xxhash64(tie, F.lit(seed + 3))).withColumn("__leaf", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(leaves)).cast("int"))
 
     counts = slim.groupBy("source", "__leaf").agg(F.sum("size").alias("words"))
-    by_leaf = F.map_from_entries(F.collect_list(F.struct("__leaf", "words")))
-    tree = counts.groupBy("source").agg(by_leaf.alias("m"))
-    tree = tree.select("source", F.transform(F.sequence(F.lit(0), F.lit(leaves - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")))
-    tree = tree.join(targets, tree["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     goal = F.round("target").cast("long")
     second = F.when(goal > F.col("source_size"), goal - F.col("source_size")).otherwise(goal)
-    tree = tree.select("source", "source_size", "target", (goal > F.col("source_size")).cast("long").alias("whole"), "words", second.alias("quota"), F.lit(0).alias("node"))
-    plain = ["source", "source_size", "target", "whole"]
-    total = lambda a: f"aggregate({a}, 0L, (x, y) -> x + y)"
-    for level in range(depth):
-        half = leaves >> (level + 1)
-        parts = tree.selectExpr(*plain, "node", "quota", f"slice(words, 1, {half}) as left", f"slice(words, {half + 1}, {half}) as right")
-        parts = parts.selectExpr("*", f"{total('left')} as k", f"{total('left')} + {total('right')} as m")
-        parts = hypergeometric(parts, "to_left", "quota", "k", "m", f"source, node, {level}, {seed + 2}")
-        sides = "inline(array(struct(node * 2 as node, left as words, to_left as quota), struct(node * 2 + 1 as node, right as words, quota - to_left as quota)))"
-        tree = parts.selectExpr(*plain, sides)
+    tree = targets.select("source", "source_size", "target", (goal > F.col("source_size")).cast("long").alias("whole"), F.lit(0).cast("long").alias("node"), second.alias("quota"))
+    rounds = -(-depth // MOST_BITS)
+    bits = [depth * (i + 1) // rounds - depth * i // rounds for i in range(rounds)]
+    for i, more in enumerate(bits):
+        done = sum(bits[:i])
+        below = counts.groupBy("source", F.shiftright(F.col("__leaf").cast("long"), depth - done - more).alias("at")).agg(F.sum("words").alias("words"))
+        tree = descend(tree, below, done, more, seed + 2)
     quotas = tree.select(F.col("source").alias("__s"), F.col("node").alias("__n"), "source_size", "target", "whole", "quota")
 
     joined = slim.join(quotas, slim["source"].eqNullSafe(F.col("__s")) & (F.col("__leaf") == F.col("__n")))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from semtag.llm.mixing import first_words, hypergeometric, log_factorial, mix_sources, mixing_stage
+from semtag.llm.mixing import first_words, hypergeometric, log_ratio, mix_sources, mixing_stage
 
 
 def targets(sizes):
@@ -64,7 +64,7 @@ def test_cut_keeps_white_space(spark):
 
 
 def test_draws_follow_the_distribution(spark):
-    facts = spark.sql(f"select {log_factorial('double(id)')} as f, id from range(200)").collect()
+    facts = spark.sql(f"select {log_ratio('double(id)', '0D')} as f, id from range(200)").collect()
     assert all(abs(x["f"] - math.lgamma(x["id"] + 1)) < 1e-8 for x in facts)
     n, k, m = 12, 20, 50
     df = spark.range(4000).selectExpr("id", f"{n}L as n", f"{k}L as k", f"{m}L as m")
@@ -92,3 +92,18 @@ def test_a_shard_is_the_mixture_all_along(spark):
     beside = sum(x == y for x, y in zip(made, made[1:]))
     twice = sum(n == 2 for n in Counter(x["doc_id"] for x in made).values())
     assert twice > 300 and beside < 0.1 * twice
+
+
+def test_ratios_of_factorials_of_large_numbers(spark):
+    for b, d in ((10**12, 1000), (10**12, -1000), (10**15, 500), (5, 900), (905, -900)):
+        low, high = min(b, b + d), max(b, b + d)
+        want = math.copysign(math.fsum(math.log(i) for i in range(low + 1, high + 1)), d)
+        got = spark.sql(f"select {log_ratio(f'{b + d}D', f'{b}D')} as r").first()["r"]
+        assert abs(got - want) < 1e-9 * max(1, abs(want) / 1000)
+
+
+def test_a_deep_tree_in_steps_is_the_same_tree(docs, monkeypatch):
+    take = lambda: sorted(((x["doc_id"] is None, x["doc_id"] or 0), x["taken"], x["mix_shard"]) for x in mix_sources(docs, leaf_rows=2).collect())
+    whole = take()
+    monkeypatch.setattr("semtag.llm.mixing.MOST_BITS", 3)
+    assert take() == whole
