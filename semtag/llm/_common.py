@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import shared_folder
+
 #: A word, as every operator here understands it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: very long texts must not pile up in one Python worker.
@@ -22,8 +23,8 @@ ARROW_ROWS = 1024
 def prepare(spark: SparkSession) -> None:
     """Let executors import this package, keep Arrow batches small, name a checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local runs and
-    tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, on a local master, a
+    temporary one is made.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
@@ -33,9 +34,7 @@ def prepare(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semtag-checkpoint-")
-        )
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

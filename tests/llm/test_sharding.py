@@ -1,9 +1,10 @@
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from semtag.llm._common import crc32_text
-from semtag.llm.sharding import assign_shards, write_shards
+from semtag.llm.sharding import assign_shards, place, write_shards
 
 
 def sized(docs):
@@ -35,3 +36,20 @@ def test_written_shards_and_empty_table(spark, docs, nothing, tmp_path):
     write_shards(sized(docs), str(tmp_path / "out"), tie="crc", shards=3)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
     assert assign_shards(sized(nothing)).count() == 0
+
+
+def test_a_hot_row_is_split_and_large_ids_stay(spark, tmp_path):
+    rows = [(None, 5)] * 3000 + [(2**60 + i, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, size long").repartition(5)
+    placed = place(df, "doc_id", "size", None, 4, 2000, 1, 100).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in placed) == sorted((d is None, d or 0) for d, _ in rows)
+    hot = [x for x in placed if x["doc_id"] is None]
+    assert len({x["shard"] for x in hot}) == 1
+    sizes = Counter(x["__bucket"] for x in hot)
+    assert len(sizes) > 5 and max(sizes.values()) < 900
+    write_shards(df, str(tmp_path / "out"), shards=4, bucket_bytes=2000, seed=1, copies=100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    slots = {}
+    for x in back.collect():
+        slots.setdefault(x["shard"], []).append(x["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and back.count() == len(rows)
