@@ -7,8 +7,9 @@ which emits the pairs of a bucket:
 1. Star: each bucket's member that shares most buckets leads it; every other member is compared with
    its leader exactly. Links make components.
 2. Rest: where a bucket still holds several components, its members outside the largest are held, in
-   blocks of bounded size, and all its members stream past them; pairs of different components are
-   compared exactly. So every pair that shares a bucket is compared or already connected.
+   blocks of bounded size, and all its members stream past them, in blocks too: a cell of two blocks is one
+   task's work. Pairs of different components are compared exactly. So every pair that shares a bucket is
+   compared or already connected.
 
 Classes are the connected components of all links.
 """
@@ -19,17 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prepare, table, utf8
+from ._common import WORD, prepare, table, utf8
 from .darts import mix, signatures
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
-#: Held members of one block, and members compared with a leader by one task.
-HELD = 1024
+#: Members compared with a leader by one task; members held in one cell of a bucket, and members that stream past them there.
+HELD, BLOCK = 1024, 512
 #: Shingles whose signatures are computed together.
 TOGETHER = 40_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C55)
@@ -80,7 +80,8 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def row_key() -> F.Column:
-    return F.xxhash64("doc_id", "text")
+    """128 bits that stand for a row's doc_id and text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(1)).alias("b"))
 
 
 def sketch(df: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def sketch(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "rid", "node", "n", "bands"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rid"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, rid long, node binary, n int, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, rid struct<a:long,b:long>, node binary, n int, bands array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -160,11 +161,13 @@ def rest_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = mixed.select("key", F.col("top.label").alias("largest"), F.ceil((F.col("m") - F.col("top.n")) / HELD).cast("int").alias("blocks"))
+    mixed = mixed.select("key", F.col("top.label").alias("largest"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("passes"))
     members = labelled.join(mixed, "key")
-    held = members.where("label != largest").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
-    passing = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    names = ["key", "block", "role", "band", "node", "label", "bands"]
+    number = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = members.where("label != largest").withColumn("block", number("blocks", 0)).withColumn("pass", every("passes")).withColumn("role", F.lit(0))
+    passing = members.withColumn("pass", number("passes", 1)).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
+    names = ["key", "block", "pass", "role", "band", "node", "label", "bands"]
     cells = held.select(*names).unionAll(passing.select(*names)).join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +181,9 @@ def rest_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
 
         for batch in batches:
             a, b = [], []
-            for key, block, role, band, node, label, own, raw in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if cell != (key, block):
-                    cell, parents, nodes, label_of, bands, sizes, data, stacked = (key, block), {}, [], [], [], [], [], None
+            for key, block, turn, role, band, node, label, own, raw in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if cell != (key, block, turn):
+                    cell, parents, nodes, label_of, bands, sizes, data, stacked = (key, block, turn), {}, [], [], [], [], [], None
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     nodes.append(node)
@@ -189,6 +192,8 @@ def rest_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
                     sizes.append(len(s))
                     data.append(s)
                     continue
+                if not nodes:
+                    continue
                 if stacked is None:
                     stacked, lengths = np.array(bands), np.array(sizes)
                 # a pair belongs to the first band that it shares
@@ -202,7 +207,7 @@ def rest_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
                         b.append(nodes[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    ordered = cells.repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    ordered = cells.repartition("key", "block", "pass").sortWithinPartitions("key", "block", "pass", "role")
     return ordered.select(*names, "shingles").mapInArrow(run, "a binary, b binary")
 
 
@@ -212,7 +217,7 @@ def near_duplicate_rows(df: DataFrame, threshold: float = 0.8) -> tuple[DataFram
     base = sketch(df).checkpoint()
     first = F.min(F.struct("doc_id", "rid")).alias("first")
     nodes = base.where("node is not null").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = nodes.checkpoint()
     exploded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     members = exploded.groupBy("key", "band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("m > 1")
     # buckets of the same members do once, at the first band
@@ -265,8 +270,10 @@ def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the least doc_id; documents without words all stay."""
+    """One document of each class, the one with the least doc_id; documents without words all stay, repeated ones too."""
     base, classes = near_duplicate_rows(docs)
     keepers = classes.select(F.col("keeper").alias("__rid")).distinct()
     keepers = keepers.unionAll(base.where("node is null").select(F.col("rid").alias("__rid")).distinct())
-    return docs.withColumn("__rid", row_key()).join(keepers, "__rid").dropDuplicates(["__rid"]).select(*docs.columns)
+    alone = F.when(F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    numbered = docs.withColumn("__rid", row_key()).withColumn("__alone", alone)
+    return numbered.join(keepers, "__rid").dropDuplicates(["__rid", "__alone"]).select(*docs.columns)

@@ -65,6 +65,28 @@ def test_stage_keeps_one_of_each(spark, docs, rows):
     assert made.count() == len(multi) + len(distinct)
 
 
+def test_wordless_rows_all_stay(spark):
+    df = spark.createDataFrame([(1, ""), (1, ""), (2, None), (2, None), (None, " \n"), (3, "a b"), (3, "a b"), (4, "a  b")], "doc_id long, text string")
+    got = sorted(((x["doc_id"] is None, x["doc_id"] or 0), x["text"] or "") for x in near_duplicate_stage(spark, df, "").collect())
+    assert got == [((False, 1), ""), ((False, 1), ""), ((False, 2), ""), ((False, 2), ""), ((False, 3), "a b"), ((True, 0), " \n")]
+
+
+def test_large_buckets_are_split_into_cells(docs, rows, monkeypatch):
+    monkeypatch.setattr("semtag.llm.neardup.BLOCK", 2)
+    r = np.random.default_rng(3)
+    made = []
+    for i in range(40):  # copies of one text with edits of their own: some are alike, some are not
+        copy = [f"w{j}" for j in range(120)]
+        for j in r.choice(120, int(r.integers(0, 8)), replace=False):
+            copy[j] = f"e{i}_{j}"
+        made.append((i, " ".join(copy)))
+    df = docs.sparkSession.createDataFrame(made, "doc_id long, text string")
+    got = {}
+    for x in near_duplicates(df).collect():
+        got.setdefault(x["class_id"], []).append((False, x["doc_id"]))
+    assert sorted(sorted(g) for g in got.values()) == classes(made)
+
+
 def test_empty_table(nothing):
     assert near_duplicates(nothing).count() == 0
 
