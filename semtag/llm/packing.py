@@ -22,53 +22,103 @@ from ._common import prepare, table
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean, worker long"
 #: Separates words that are tokenized together.
 MARK = "\x01"
+#: ASCII characters that a tokenizer may cut off the end of a word as a token of its own; no apostrophe.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts that a tokenizer must read word by word as it reads them whole.
+PROBES = ["a b", "A\tb\nC\x0bd\x0ce\rf", "don't, can't. it's, 'tis", "x,%%% y.*** (z) \"q\"", "caf\u00e9, caf\u00e9 e\u0301. a\u0308,b", "1,234.5 a1. b-c-", "\u6587\u5b57. \u0130x \U0001f600!", "</s>. <|endoftext|> [INST],", "...a ,,, a...b, a\u0338= =\u0338"]
+
+
+def ends_in_letter(word: bytes) -> bool:
+    """Whether a word's last character is a letter of an old script, or an ASCII digit."""
+    if word[-1:].isalnum():
+        return True
+    last = word[-3:].decode("utf-8", "ignore")[-1:]
+    return last.isalpha() and last < "\u2000"
 
 
 class WordTokenizer:
-    """Token ids of whole texts, remembered by word.
+    """Token ids of whole texts, put together from remembered words.
 
-    Sound only for tokenizers that drop ASCII white space, with no token across it, and lower-case ASCII
-    letters: words are remembered in lower case.
+    A word is remembered in lower case, and punctuation after its last letter apart from the rest of it. That is sound for
+    tokenizers that drop ASCII white space, with no token across it, lower-case ASCII letters and cut between
+    letter and punctuation. So a tokenizer is tried first, on PROBES and on the first texts; one that reads any of
+    these otherwise encodes whole texts.
     """
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 600_000, tried: int = 8):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.remembered, self.known = remembered, {}
-        self.mark = self._ids(MARK)
+        self.remembered, self.known, self.older = remembered, {b"": b""}, {}
+        self.mark, self.tried, self.by_word = self.encode(MARK), 0, True
+        self.by_word = all(np.array_equal(x, self.encode(t)) for t, x in zip(PROBES, self([t.encode() for t in PROBES]), strict=True))
+        self.tried = tried
 
-    def _ids(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known.clear()
-        mark = np.array(self.mark, "<u4")
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
-            plain = [w for w in some if MARK.encode() not in w]
-            ids = np.array(self._ids(f" {MARK} ".join(w.decode() for w in plain)), "<u4")
-            cut = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.zeros(0, int)
-            if len(cut) == len(plain) - 1:
-                for w, part in zip(plain, np.split(ids, cut), strict=True):
-                    self.known[w] = (part[1:] if len(part) and part[0] == mark[0] else part).tobytes()
+            plain = [w for w in some if MARK.encode() not in w] if len(self.mark) == 1 else []
+            ids = self.encode(f" {MARK} ".join(w.decode() for w in plain))
+            cut = np.flatnonzero(ids == self.mark[0]) if plain else []
+            if plain and len(cut) == len(plain) - 1:
+                data = ids.tobytes()
+                starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(data)]
+                for w, a, b in zip(plain, starts, ends, strict=True):
+                    self.known[w] = data[a:b]
             for w in some:
                 if w not in self.known:
-                    self.known[w] = np.array(self._ids(w.decode()), "<u4").tobytes()
+                    self.known[w] = self.encode(w.decode()).tobytes()
+
+    def _need(self, words: set[bytes]) -> None:
+        """Make all words known: from the older half of the memory, from their parts, or from the tokenizer."""
+        new, parted, known, older = [], [], self.known, self.older
+        for w in words:
+            if w in known:
+                continue
+            if w in older:
+                known[w] = older[w]
+                continue
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and ends_in_letter(core):
+                parted.append((w, core, w[len(core) :]))
+            else:
+                new.append(w)
+        for p in {p for _, *both in parted for p in both}:
+            if p in older and p not in known:
+                known[p] = older[p]
+            elif p not in known:
+                new.append(p)
+        self._learn(list(dict.fromkeys(new)))
+        for w, core, tail in parted:
+            known[w] = known[core] + known[tail]
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        split = [(t or b"").lower().split() for t in texts]
-        for i in range(0, len(split), 64):
-            part = split[i : i + 64]
-            new = list({w for words in part for w in words if w not in self.known})
-            if len(self.known) + len(new) > self.remembered:
-                self.known.clear()
-                new = list({w for words in part for w in words})
-            self._learn(new)
-            for words in part:
-                yield np.frombuffer(b"".join([self.known[w] for w in words]), "<u4")
+        for i in range(0, len(texts), 64):
+            some = [t or b"" for t in texts[i : i + 64]]
+            if self.by_word:
+                split = [t.lower().split() for t in some]
+                if len(self.known) > self.remembered:
+                    self.known, self.older = {b"": b""}, self.known
+                known = self.known
+                self._need({w for words in split for w in words if w not in known})
+            for j, text in enumerate(some):
+                if not self.by_word:
+                    yield self.encode(text.decode())
+                    continue
+                found = np.frombuffer(b"".join([known[w] for w in split[j]]), "<u4")
+                if self.tried > 0 and len(text) < 1 << 16:
+                    self.tried -= 1
+                    whole = self.encode(text.decode())
+                    self.by_word = np.array_equal(found, whole)
+                    found = whole
+                yield found
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -83,15 +133,16 @@ def tokenizer(path: str) -> WordTokenizer:
 class Packer:
     """The open windows of one partition."""
 
-    def __init__(self, width: int, windows: int, max_pad: int, base: int):
+    def __init__(self, width: int, windows: int, max_pad: int, base: int, keep_ids: bool = False):
         self.width, self.windows, self.max_pad, self.next_id = width, windows, max_pad, base
         self.open: list[list] = []  # [room, pieces]
         self.done: list[tuple] = []
+        self.keep_ids = keep_ids
 
     def emit(self, pieces: list[tuple]) -> None:
         at = 0
         for doc_id, start, ids, total in pieces:
-            self.done.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at, ids.tobytes(), False))
+            self.done.append((doc_id, start, len(ids), zlib.crc32(ids), total, self.next_id, at, ids.tobytes() if self.keep_ids else None, False))
             at += len(ids)
         self.next_id += 1
 
@@ -140,12 +191,9 @@ class Packer:
             self.emit(pieces)
 
 
-def _batch(rows: list[tuple], worker: int, keep_ids: bool, schema: pa.Schema) -> pa.RecordBatch:
+def _batch(rows: list[tuple], worker: int, schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-    ids = columns[7] if keep_ids else [x if o else None for x, o in zip(columns[7], columns[8], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip([*columns[:7], ids, columns[8], [worker] * len(rows)], schema.types, strict=True)], schema=schema
-    )
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, [worker] * len(rows)], schema.types, strict=True)], schema=schema)
 
 
 def pack_documents(
@@ -172,31 +220,31 @@ def pack_documents(
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
-        encode, packer, end = tokenizer(tokenizer_path), Packer(width, windows, max_pad, worker << 28), np.array([end_id], "<u4")
+        encode, packer, end = tokenizer(tokenizer_path), Packer(width, windows, max_pad, worker << 28, keep_ids), np.array([end_id], "<u4")
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for doc_id, ids in zip(doc_ids, encode(batch.column(1).to_pylist()), strict=True):
                 packer.place(doc_id, 0, np.concatenate([ids, end]), len(ids) + 1)
-            yield _batch(packer.done, worker, keep_ids, schema)
+            yield _batch(packer.done, worker, schema)
             packer.done = []
-        yield _batch(packer.leftovers(), worker, keep_ids, schema)
+        yield _batch(packer.leftovers(), worker, schema)
 
     def again(step: int, last: bool):
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             worker = TaskContext.get().partitionId()
-            packer = Packer(width, windows, max_pad, (step << 56) | (worker << 28))
+            packer = Packer(width, windows, max_pad, (step << 56) | (worker << 28), keep_ids)
             for batch in batches:
                 for row in batch.select(["doc_id", "start", "ids", "doc_tokens"]).to_pylist():
                     packer.place(row["doc_id"], row["start"], np.frombuffer(row["ids"], "<u4"), row["doc_tokens"])
-                yield _batch(packer.done, worker, keep_ids, schema)
+                yield _batch(packer.done, worker, schema)
                 packer.done = []
             if last:
                 packer.finish()
-                yield _batch(packer.done, worker, keep_ids, schema)
+                yield _batch(packer.done, worker, schema)
             else:
-                yield _batch(packer.leftovers(), worker, keep_ids, schema)
+                yield _batch(packer.leftovers(), worker, schema)
 
         return merge
 

@@ -56,3 +56,20 @@ def test_open_windows_are_bounded():
     for i in range(200):
         p.place(i, 0, np.arange(int(r.integers(1, 250)), dtype="<u4"), 1)
         assert len(p.open) <= 3
+
+
+def test_tokenizers_that_read_across_words_encode_whole_texts(rows):
+    other = WordTokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not other.by_word
+    texts = [t for _, t, *_ in rows][:30] + ["don't  stop.\n\nnow"]
+    for text, ids in zip(texts, other([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == other.encode(text).tolist()
+
+
+def test_words_fall_out_of_memory_and_come_back():
+    tokenizer = WordTokenizer(PATH, remembered=20)
+    assert tokenizer.by_word
+    texts = [f"word{i % 7}, same. Łódź! it's {i},%%% 'tis a-b. ..." for i in range(400)]
+    for text, ids in zip(texts, tokenizer([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == tokenizer.encode(text).tolist()
+    assert len(tokenizer.known) < 700
