@@ -35,16 +35,16 @@ from ._common import fold_of, prepare, table, utf8
 #: The end of a text, counted as a token; no word has white space in it.
 END = b"\n"
 #: Most entries of the shortlist, classes of other words, dimensions of a vector; its last place is the bias.
-SHORTLIST, CLASSES, DIMS = 16_384, 128, 32
+SHORTLIST, CLASSES, DIMS = 16_384, 128, 24
 #: Words whose counts every task knows, and the bytes above which a word is named by its digest.
 KNOWN, LONG = 300_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 500_000
-NOISE, BATCH, RATE = 32, 2048, 0.05
+NOISE, BATCH, RUN, RATE = 32, 2048, 64, 0.05
 #: Training tokens of a shard, and most shards; above that many, shards get longer.
 SHARD_TOKENS, SHARDS = 1 << 21, 4096
 #: Parameters of one piece, when shards are averaged; tokens whose group scores are computed together.
-PIECE, TOGETHER = 1 << 15, 8192
+PIECE, TOGETHER = 1 << 12, 1024
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -110,12 +110,11 @@ class LogBilinear:
     def scorer(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         """A function of entries (one before, last, next): ln of the next one's probability, normalised over all entries."""
         one, two, size = self.vectors * self.near, self.vectors * self.far, self.size
-        longest = lambda x: float(np.sqrt((x[:, :-1] ** 2).sum(axis=1)).max())
-        most = (longest(one) + longest(two)) * max(longest(self.vectors), longest(self.groups)) + max(np.abs(self.vectors[:, -1]).max(), np.abs(self.groups[:, -1]).max())
 
         def log_sum(z: np.ndarray) -> np.ndarray:
-            if most < 60:  # no score can leave float32's range
-                return np.log(np.exp(z, out=z).sum(axis=1))
+            out = np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))
+            if (np.abs(out) < 60).all():  # no row left float32's range
+                return out
             top = z.max(axis=1, keepdims=True)
             return top[:, 0] + np.log(np.exp(z - top).sum(axis=1))
 
@@ -141,12 +140,12 @@ class LogBilinear:
             out[order] = found
             return out
 
-        return score
+        return np.errstate(over="ignore", divide="ignore")(score)
 
 
 def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers and the sum of each one's rows."""
-    order = np.argsort(at, kind="stable")
+    """Distinct numbers (of entries: they fit in 16 bits, which sort fastest) and the sum of each one's rows."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
     keys = at[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[starts], np.add.reduceat(rows[order], starts, axis=0)
@@ -161,30 +160,53 @@ class Trainer:
         self.levels = [(np.log(NOISE * p).astype(np.float32), np.cumsum(p)) for p in (noise, by_group)]
         self.squares = [np.ones_like(p) for p in (model.vectors, model.groups, model.near, model.far)]
 
-    def contrast(self, level: int, q: np.ndarray, table: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of one level: the gradient for q, and those of the table's rows, by number."""
+    def contrast(self, level: int, q: np.ndarray, own: np.ndarray, table: np.ndarray, word: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of one level: the gradients for q and for the words' rows (own), and those of the noise drawn, by number."""
         log_noise, cumulative = self.levels[level]
         drawn = np.minimum(np.searchsorted(cumulative, self.r.random(NOISE) * cumulative[-1]), len(table) - 1)
-        own, other = table[word], table[drawn]
-        right = 1 / (1 + np.exp(((q * own).sum(axis=1) - log_noise[word]).clip(-30, 30)))
-        wrong = -1 / (1 + np.exp((log_noise[drawn] - q @ other.T).clip(-30, 30)))
-        return right[:, None] * own + wrong @ other, np.concatenate([word, drawn]), np.concatenate([right[:, None] * q, wrong.T @ q])
-
-    def step(self, before: np.ndarray, last: np.ndarray, word: np.ndarray) -> None:
-        m = self.model
-        v_before, v_last = m.vectors[before], m.vectors[last]
-        q = v_last * m.near + v_before * m.far
+        other = table[drawn]
+        right = real / (1 + np.exp((np.einsum("ij,ij->i", q, own) - log_noise[word]).clip(-30, 30)))
+        wrong = -real[:, None] / (1 + np.exp((log_noise[drawn] - q @ other.T).clip(-30, 30)))
+        return right[:, None] * own + wrong @ other, right[:, None] * q, drawn, wrong.T @ q
+
+    def step(self, ids: np.ndarray, real: np.ndarray) -> None:
+        """Runs of tokens (run, place); the first two of a run are context only, as are those after them where ``real`` is 0.
+
+        A token's vector is met as the next, the last and the one before: its gradients add up before they are scattered.
+        """
+        m, runs, n = self.model, len(ids), ids.shape[1] - 2
+        v = m.vectors[ids]
+        q = (v[:, 1:-1] * m.near + v[:, :-2] * m.far).reshape(runs * n, -1)
         q[:, -1] = 1
-        dq, at, rows = self.contrast(0, q, m.vectors, word)
-        dg, at_group, group_rows = self.contrast(1, q, m.groups, word // m.size)
+        word, real = ids[:, 2:].reshape(-1), real.reshape(-1)
+        group = word // m.size
+        dq, d_own, drawn, d_drawn = self.contrast(0, q, v[:, 2:].reshape(runs * n, -1), m.vectors, word, real)
+        dg, d_group, drawn_group, d_drawn_group = self.contrast(1, q, m.groups[group], m.groups, group, real)
         dq += dg
         dq[:, -1] = 0
-        found = [_sums(np.concatenate([at, last, before]), np.concatenate([rows, dq * m.near, dq * m.far])), _sums(at_group, group_rows)]
-        found += [(slice(None), (v * dq).sum(axis=0) / len(word)) for v in (v_last, v_before)]
+        dq, rows = dq.reshape(runs, n, -1), np.zeros_like(v)
+        rows[:, 2:] = d_own.reshape(runs, n, -1)
+        rows[:, 1:-1] += dq * m.near
+        rows[:, :-2] += dq * m.far
+        found = [_sums(np.append(ids, drawn), np.concatenate([rows.reshape(-1, rows.shape[2]), d_drawn])), _sums(np.append(group, drawn_group), np.concatenate([d_group, d_drawn_group]))]
+        found += [(slice(None), np.einsum("abj,abj->j", x, dq) / max(1, real.sum())) for x in (v[:, 1:-1], v[:, :-2])]
         for p, s, (i, g) in zip((m.vectors, m.groups, m.near, m.far), self.squares, found, strict=True):
             s[i] += g * g
             p[i] += RATE * g / np.sqrt(s[i])
 
+    def learn(self, texts: list[np.ndarray]) -> None:
+        """Go over texts (entries of their tokens) once, in runs in random order."""
+        stream = np.concatenate([x for t in texts for x in ((0, 0), t)])  # every text starts after two ends
+        real = np.ones(len(stream), np.float32)
+        first = np.cumsum([0, *(len(t) + 2 for t in texts)])[:-1]
+        real[first] = real[first + 1] = 0
+        more = -(len(stream) - 2) % RUN
+        stream, real = np.pad(stream, (0, more)), np.pad(real, (0, more))
+        starts = self.r.permutation(np.arange(2, len(stream), RUN))
+        for i in range(0, len(starts), BATCH // RUN):
+            at = starts[i : i + BATCH // RUN, None] + np.arange(-2, RUN)
+            self.step(stream[at], real[at[:, 2:]])
+
 
 @dataclass
 class Fitted:
@@ -247,28 +269,15 @@ def train(dealt: DataFrame, model: LogBilinear, noise: np.ndarray, seed: int) ->
         trainer = Trainer(model.unpack(model.pack().copy()), noise, seed + shard)
         seen, waiting, size = 0, [], 0
 
-        def learn() -> None:
-            word = np.concatenate(waiting)
-            # every text starts after two ends
-            first = np.cumsum([0, *(len(w) for w in waiting)])[:-1]
-            last, before = np.r_[0, word[:-1]], np.r_[0, 0, word[:-2]]
-            last[first], before[first] = 0, 0
-            second = first[[len(w) > 1 for w in waiting]] + 1
-            before[second] = 0
-            order = trainer.r.permutation(len(word))
-            for i in range(0, len(word), BATCH):
-                some = order[i : i + BATCH]
-                trainer.step(before[some], last[some], word[some])
-
         for batch in batches:
             for ids in batch.column(0).to_pylist():
                 waiting.append(np.frombuffer(ids, "<i4"))
                 size += len(waiting[-1])
                 if size >= 32 * BATCH:
-                    learn()
+                    trainer.learn(waiting)
                     waiting, seen, size = [], seen + size, 0
         if waiting:
-            learn()
+            trainer.learn(waiting)
             seen += size
         if seen:
             flat = trainer.model.pack()
@@ -355,8 +364,8 @@ def score_texts(df: DataFrame, fitted: Fitted) -> DataFrame:
         plus = np.log10(np.append(counts, 0) + 1.0)
         inside = np.r_[np.zeros(len(shortlist)), np.log10(class_sizes)]
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), 64):
+                part = batch.slice(start, 64)
                 heads, rest, ends, ats, found = list(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)), [], [0], [], []
                 for head, text in zip(heads, utf8(part), strict=True):
                     words = tokens(text)
