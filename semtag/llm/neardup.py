@@ -28,8 +28,8 @@ from .darts import mix, signatures
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
-#: Members compared with a leader by one task; members held in one cell of a bucket, and members that stream past them there.
-HELD, BLOCK = 1024, 512
+#: Members compared with a leader by one task, or held in one cell of a bucket; members that stream past them there.
+HELD, PASSING = 1024, 8192
 #: Shingles whose signatures are computed together.
 TOGETHER = 40_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C55)
@@ -161,7 +161,7 @@ def rest_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = mixed.select("key", F.col("top.label").alias("largest"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / BLOCK).cast("int").alias("passes"))
+    mixed = mixed.select("key", F.col("top.label").alias("largest"), F.ceil((F.col("m") - F.col("top.n")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("m") / PASSING).cast("int").alias("passes"))
     members = labelled.join(mixed, "key")
     number = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

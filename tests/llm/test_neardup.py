@@ -72,7 +72,8 @@ def test_wordless_rows_all_stay(spark):
 
 
 def test_large_buckets_are_split_into_cells(docs, rows, monkeypatch):
-    monkeypatch.setattr("semtag.llm.neardup.BLOCK", 2)
+    monkeypatch.setattr("semtag.llm.neardup.HELD", 3)
+    monkeypatch.setattr("semtag.llm.neardup.PASSING", 5)
     r = np.random.default_rng(3)
     made = []
     for i in range(40):  # copies of one text with edits of their own: some are alike, some are not
