@@ -7,7 +7,6 @@ packing lays the rest out as token sequences.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -18,6 +17,7 @@ from semtag.llm.mixing import mixing_stage
 from semtag.llm.neardup import near_duplicate_stage
 from semtag.llm.packing import pack_documents
 from semtag.llm.quality import quality_stage
+from semtag.sources.shared import shared_folder
 
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,11 +38,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet in the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    at = f"{base}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents of sf_dir, each written as Parquet in the shared folder and read again; only the last one's stays there."""
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:  # nothing reads what the stage before wrote any more
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{i - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
