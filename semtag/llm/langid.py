@@ -125,38 +125,43 @@ def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = 8, bat
     return net
 
 
-def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documents: int = 4000, windows_each: int = 3) -> ByteCNN | None:
+def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documents: int = 4000, most_windows: int = 8000) -> ByteCNN | None:
     """Train on labelled rows outside the held-out fold; None if there are none.
 
-    ``most_documents`` bounds, about evenly over languages, the documents learnt from (chosen by hash),
-    ``windows_each`` the windows of one document, spread over its whole length.
+    ``most_documents`` bounds, about evenly over languages, the rows learnt from, chosen by a hash of doc_id,
+    text and language, so rows with a null doc_id or with equal ones don't stand or fall together.
+    ``most_windows`` bounds exactly the windows learnt from: each document's windows, from its whole length, are
+    put in an order by hash, and all first ones go before all second ones, and so on. Equal
+    windows count once, so a hot row can't fill the sample.
     """
     prepare(df.sparkSession)
     learn = df.where(fold_of(F.col("doc_id"), folds) != held_out).where("text is not null and lang is not null")
-    counts = sorted((r["lang"], r["n"]) for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    part = F.pmod(F.xxhash64("doc_id", "text", "lang", F.lit(4)), F.lit(1_000_000))
+    counts = sorted((r["lang"], r["n"], r["least"]) for r in learn.groupBy("lang").agg(F.count("*").alias("n"), F.min(part).alias("least")).collect())
     if not counts:
         return None
-    each, part = max(1, most_documents // len(counts)), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, int(min(1.0, each / n) * 1_000_000))])
+    each = max(1, most_documents // len(counts))
+    # a language whose rows are all alike is learnt too
+    share = F.create_map(*[F.lit(x) for lang, n, least in counts for x in (lang, max(least + 1, int(min(1.0, each / n) * 1_000_000)))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            rows = {"doc_id": [], "at": [], "lang": [], "bytes": []}
-            for doc_id, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch), strict=True):
-                found = windows(text.decode().lower().encode())
-                for at in np.unique(np.linspace(0, len(found) - 1, windows_each).round().astype(int)):
-                    for k, v in zip(rows, (doc_id, int(at), lang, found[at].tobytes()), strict=True):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in (("doc_id", pa.int64()), ("at", pa.int64()), ("lang", pa.string()), ("bytes", pa.binary()))], names=list(rows))
-
-    sample = learn.where(part < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    found = sample.mapInArrow(cut, "doc_id long, at long, lang string, bytes binary").collect()
-    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["at"], r["lang"], bytes(r["bytes"])) for r in found)
+            for i, text in enumerate(utf8(batch)):
+                found = sorted((xxhash.xxh3_64_intdigest(w), w) for w in map(bytes, windows(text.decode().lower().encode())))
+                lang = [batch.column(0)[i].as_py()] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(lang, pa.string()), pa.array([w for _, w in found], pa.binary())], names=["turn", "lang", "bytes"])
+
+    sample = learn.where(part < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
+    cuts = sample.mapInArrow(cut, "turn long, lang string, bytes binary").distinct()
+    found = cuts.orderBy("turn", F.xxhash64("bytes", "lang"), "bytes", "lang").limit(most_windows).collect()
+    rows = sorted((r["turn"], r["lang"], bytes(r["bytes"])) for r in found)
     if not rows:
         return None
-    classes = [lang for lang, _ in counts]
+    classes = sorted({lang for _, lang, _ in rows})
     x = np.stack([np.frombuffer(b, np.uint8) for *_, b in rows])
-    return train(x, np.array([classes.index(lang) for *_, lang, _ in rows]), classes)
+    return train(x, np.array([classes.index(lang) for _, lang, _ in rows]), classes)
 
 
 def predict_languages(df: DataFrame, net: ByteCNN | None) -> DataFrame:

@@ -18,6 +18,19 @@ def test_nothing_to_learn_from(docs, nothing):
     assert predict_languages(nothing, None).count() == 0
 
 
+def test_the_sample_is_bounded_where_rows_and_ids_repeat(spark, docs):
+    text = "case id % 3 when 0 then 'ein und das selbe' when 1 then concat('the number ', id, ' of them') else concat('die Nummer ', id, ' von jenen') end"
+    hot = spark.range(3000).selectExpr("cast(null as long) as doc_id", f"{text} as text", "if(id % 3 = 1, 'en', 'de') as lang")
+    net = fit_languages(hot, most_documents=1000, most_windows=600)
+    assert net.classes == ["de", "en"]
+    found = predict_languages(hot, net)
+    assert found.where("text not like 'ein%' and lang_pred != lang").count() < 20
+    alone = fit_languages(hot.where("text like 'ein%'").limit(50).unionAll(hot.where("lang = 'en'")), most_documents=100, most_windows=60)
+    assert alone.classes == ["de", "en"]
+    again = fit_languages(hot.repartition(7), most_documents=1000, most_windows=600)
+    assert all(np.array_equal(a, b) for a, b in zip(net.parameters(), again.parameters(), strict=True))
+
+
 def test_windows_cover_every_run():
     for n in (0, 1, 255, 256, 257, 600, 1013):
         text = bytes(np.random.default_rng(n).integers(1, 255, n, dtype=np.uint8))
