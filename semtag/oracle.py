@@ -188,6 +188,14 @@ WITH t AS (SELECT table_id, "column", regexp_replace(value, '^{SPACE}+|{SPACE}+$
   c AS (SELECT table_id, "column", {_cell_type('"column"', "v")} AS t, count(*) AS n FROM t GROUP BY ALL),
   r AS (SELECT *, sum(n) OVER (PARTITION BY table_id, "column") AS total, row_number() OVER (PARTITION BY table_id, "column" ORDER BY n DESC, list_position({_list(STI_TO_COARSE)}, t)) AS r FROM c)
 SELECT table_id, "column", t AS type_id, round(n / CAST(total AS DOUBLE), 9) AS confidence, {_map_case("t", STI_TO_COARSE.items())} AS coarse_type_id FROM r WHERE r = 1""",
+    "read_tasks": """
+SELECT CAST(doc_id AS VARCHAR) AS job_id, 'coarse' AS schema, doc_id % 2 = 0 AS include_scores, o AS ord, CASE o WHEN 0 THEN 'text' ELSE 'source' END AS task_id, CASE o WHEN 0 THEN text ELSE source END AS text
+FROM documents, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS o)""",
+    "read_replies": "SELECT source AS job_id, doc_id AS batch_id, CAST(doc_id % 3 AS INTEGER) AS attempt, text AS raw_text FROM documents",
+    "write_annotations": "SELECT doc_id, n_chars, coalesce(lang, 'none') AS schema FROM documents",
+    "write_vocabulary": "SELECT concat('part:', p_partkey) AS id, p_name AS label, CAST(NULL AS VARCHAR) AS iri FROM part",
+    "read_vocabulary": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, n_name AS type_id FROM nation",
+    "write_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
     "gazetteer": f"""
 WITH k AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
   s AS (SELECT doc_id, token, sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS stop FROM k)

@@ -311,6 +311,54 @@ def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return rules.match_gazetteer(fx.table(spark, d, "documents"), gazetteer_terms(spark, d))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{_token()}"
+
+
+def read_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of two tasks each, written as JSON lines and read as tasks."""
+    at = _folder(spark, "requests")
+    made = fx.table(spark, d, "documents").selectExpr("cast(doc_id as string) as job_id", "'coarse' as schema", "doc_id % 2 = 0 as include_scores", "array(named_struct('task_id', 'text', 'text', text), named_struct('task_id', 'source', 'text', source)) as tasks")
+    io.write_annotations_json(made, at)
+    return io.read_text_tasks(spark, at)
+
+
+def read_replies(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "replies")
+    made = fx.table(spark, d, "documents").selectExpr("source as job_id", "doc_id as batch_id", "cast(doc_id % 3 as int) as attempt", "text as raw_text")
+    made.write.parquet(at)
+    return io.read_replies(spark, at)
+
+
+def write_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written by schema, read back."""
+    at = _folder(spark, "annotations")
+    io.write_annotations(fx.table(spark, d, "documents").selectExpr("doc_id", "n_chars", "coalesce(lang, 'none') as schema"), at)
+    return spark.read.parquet(at).select("doc_id", "n_chars", F.col("schema").cast("string").alias("schema"))
+
+
+def write_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark, "vocabulary")
+    io.write_vocabulary(fx.table(spark, d, "part").selectExpr("concat('part:', p_partkey) as id", "p_name as label", "cast(null as string) as iri"), at)
+    return spark.read.schema("id string, label string, iri string").json(at)
+
+
+def read_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 nations as one wrapped list."""
+    at = _folder(spark, "types")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
+    fx.table(spark, d, "nation").agg(F.to_json(F.struct(names.alias("types"))).alias("value")).coalesce(1).write.text(at)
+    return io.read_vocabulary(spark, f"{at}/*.txt").select(F.col("ord").cast("long").alias("ord"), "type_id")
+
+
+def write_job_state(spark: SparkSession, d: str) -> DataFrame:
+    """Status events appended in two writes; each job's last one."""
+    at, events = _folder(spark, "events"), fx.job_events(spark, d)
+    io.write_job_state(events.where("seq % 2 = 0"), at)
+    io.write_job_state(events.where("seq % 2 != 0"), at)
+    return jobs.job_state(spark.read.parquet(at)).select("job_id", "seq", "status")
+
+
 # Without SQL: prompts, the model call, streaming.
 
 
@@ -356,7 +404,7 @@ def annotate_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_texts(spark: SparkSession, d: str) -> DataFrame:
     """Turns as a stream of tasks, annotated by term look-up, read back when the stream has ended."""
-    at = f"{shared_folder(spark)}/stream-{_token()}"
+    at = _folder(spark, "stream")
     source = fx.table(spark, d, "conversations")
     stamped = source.selectExpr("concat_ws('-', conv_id, turn) as job_id", "text", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, turn) as created_at")
     stamped.write.parquet(f"{at}/in")
@@ -427,6 +475,12 @@ QUERIES = {
     "dispatch": dispatch,
     "profile_columns": profile_columns,
     "gazetteer": gazetteer,
+    "read_tasks": read_tasks,
+    "read_replies": read_replies,
+    "write_annotations": write_annotations,
+    "write_vocabulary": write_vocabulary,
+    "read_vocabulary": read_vocabulary,
+    "write_job_state": write_job_state,
     "text_prompts": text_prompts,
     "table_prompts": table_prompts,
     "annotate_texts": annotate_texts,

@@ -30,10 +30,15 @@ def read_table_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """ord, type_id of a JSON file: a list, or an object that wraps one; items are ids or objects with an id."""
+    """ord, type_id of a JSON file: a list, or an object that wraps one; items are ids or objects with an id.
+
+    The first of the wrapping keys that is there counts, whatever it holds.
+    """
     root = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    wrapped = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("types", "type_ids", "items", "data")]
-    items = root.select(F.posexplode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *wrapped)).alias("ord", "x"))
+    listed = lambda at: F.try_variant_get("v", at, "array<variant>")
+    there = lambda k: F.try_variant_get("v", f"$.{k}", "variant").isNotNull()
+    wrapped = [F.when(there(k), F.coalesce(listed(f"$.{k}"), F.array().cast("array<variant>"))) for k in ("types", "type_ids", "items", "data")]
+    items = root.select(F.posexplode(F.coalesce(listed("$"), *wrapped)).alias("ord", "x"))
     kind = F.schema_of_variant("x")
     own = F.when(kind == "STRING", F.try_variant_get("x", "$", "string"))
     inner = F.when(F.schema_of_variant(F.try_variant_get("x", "$.id", "variant")) == "STRING", F.try_variant_get("x", "$.id", "string"))
