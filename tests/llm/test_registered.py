@@ -4,10 +4,11 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from semtag.llm.queries import QUERIES
+from semtag.llm.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,13 @@ def test_the_pipeline_runs_through(spark, tables):
     got = corpus_pipeline.run(spark, tables).collect()
     kept = {x["doc_id"] for x in got}
     assert set(range(120)) & kept and not kept & set(range(200, 220)) and not any(d is not None and 400 <= d < 500 for d in kept)
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_query_equals_sql(spark, tables, name):
+    c = duckdb.connect()
+    for t in ("documents", "labels", "embeddings", "conversations", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables}/{t}.parquet/*.parquet')")
+    df = QUERIES[name](spark, tables)
+    want = c.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r[k] for k in sorted(df.columns)) for r in df.collect()))) == sorted(map(repr, want)) and want
