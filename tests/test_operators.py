@@ -112,9 +112,12 @@ def test_vocabulary_from_jsonld(spark, tmp_path):
 def test_read_vocabulary_and_registry(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"items": ["b", {"id": "a"}, {"id": 3}, 4, "b"]}))
     assert [(x["ord"], x["type_id"]) for x in io.read_vocabulary(spark, str(tmp_path / "v.json")).orderBy("ord").collect()] == [(0, "b"), (1, "a")]
-    (tmp_path / "empty.json").write_text("[]")
-    with pytest.raises(ValueError):
-        io.read_vocabulary(spark, str(tmp_path / "empty.json"))
+    (tmp_path / "two.json").write_text(json.dumps({"data": ["z"], "type_ids": ["y"]}))
+    assert [x["type_id"] for x in io.read_vocabulary(spark, str(tmp_path / "two.json")).collect()] == ["y"]
+    for bad in ([], {"types": "a", "items": ["b"]}):
+        (tmp_path / "empty.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            io.read_vocabulary(spark, str(tmp_path / "empty.json"))
     (tmp_path / "r.json").write_text(json.dumps([{"name": " mine ", "path": "v.json", "score_mode": "sparse", "type_alias_prefixes": {"x:": "y:"}}]))
     mine = vocab.read_registry(str(tmp_path / "r.json"))["mine"]
     assert mine.types == ("b", "a") and not mine.dense and mine.prefixes == (("x:", "y:"),) and mine.supports_text
