@@ -14,6 +14,7 @@ from .neardup import op8_near_duplicates
 from .packing import op9_pack
 from .quality import op2_quality
 from .sharding import op10_shard
+from .variants import op11_variants
 
 QUERIES = {
     "op1_search": op1_search,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_pack": op9_pack,
     "op10_shard": op10_shard,
+    "op11_variants": op11_variants,
 }
 #: What the template escapes by one more character: a backslash, or the first character of a control string.
 _ESCAPED = r"\\|" + "|".join(re.escape(c) for c in CONTROL)
