@@ -15,6 +15,7 @@ from .packing import op9_pack
 from .quality import op2_quality
 from .sharding import op10_shard
 from .variants import op11_variants
+from .whitening import op12_whiten
 
 QUERIES = {
     "op1_search": op1_search,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_pack": op9_pack,
     "op10_shard": op10_shard,
     "op11_variants": op11_variants,
+    "op12_whiten": op12_whiten,
 }
 #: What the template escapes by one more character: a backslash, or the first character of a control string.
 _ESCAPED = r"\\|" + "|".join(re.escape(c) for c in CONTROL)
