@@ -5,12 +5,15 @@ them. One edit destroys at most two bigrams, so among a word's three first ones,
 Of two disjoint bigrams one edit destroys at most one: two such, of least total frequency, are chosen from the prefix
 by dynamic programming as the word's pivots. If two words are one edit apart, a pivot of the one whose prefix
 ends earlier lies in the prefix of the other. So pivots are looked up in an index of prefixes. An edit that
-changes the length by d moves a bigram by 0 or d places, so the index is keyed by bigram, place and length,
-and a pivot asks for five keys; what is found is verified there, in the join.
+changes the length by d lies after a spared bigram, which then keeps its place, or before it, which moves it by d: the
+other side of the bigram is the same in both words. So the index has each prefix bigram by the word's length and
+a hash of the text from there to the word's start, which holds its place, and one of that to its end; a pivot
+asks for six such keys, and what is found is verified there, in the join.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -27,8 +30,8 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 HELD_WORDS = 200_000
 #: Bigrams whose counts go to every task: words of count_words have 26 + 64 letters, so more can't be.
 MOST_GRAMS = 90 * 90
-#: (change of the length, change of the place) that one edit brings to a bigram it spares.
-MOVES = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
+#: Changes of the length by one edit; base and modulus of the hashes of a word's two sides.
+CHANGES, BASE, MODULUS = (0, 1, -1), 1_000_003, (1 << 62) - 57
 
 
 def count_words(docs: DataFrame, least_chars: int = 6, least_count: int = 5, damage: int = 199) -> DataFrame:
@@ -104,12 +107,25 @@ def pivots(grams: list[tuple[str, int]], frequency: dict[str, int], number: int
     return [grams[i] for i in chosen[1]]
 
 
+def sides(word: str) -> tuple[list[int], list[int]]:
+    """Hashes of word[:i], and of word[i:], for every i; even for the former, odd for the latter."""
+    codes = [ord(c) + 1 for c in word]
+    ahead = list(itertools.accumulate(codes, lambda h, c: (h * BASE + c) % MODULUS, initial=7))
+    behind = list(itertools.accumulate(reversed(codes), lambda h, c: (h * BASE + c) % MODULUS, initial=7))[::-1]
+    return [2 * h for h in ahead], [2 * h + 1 for h in behind]
+
+
+def keys_of(word: str, grams: list[tuple[str, int]], changes: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(hash of the text on one side of a bigram and itself, length of the word with a change), for each side, bigram and change."""
+    ahead, behind = sides(word)
+    return list({(h, len(word) + d) for _, i in grams for h in (ahead[i + 2], behind[i]) for d in changes})
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: pairs of distinct words (column word, each once) that are one inserted, deleted or replaced code point apart, each pair once, a before b.
 
     Words have at least four code points (then three bigrams hold two disjoint ones) and few distinct bigrams
-    (``MOST_GRAMS``; more raise an error). Ties
-    are all in the prefix, so the order of equal bigrams never matters.
+    (``MOST_GRAMS``; more raise an error). Ties are all in the prefix, so the order of equal bigrams never matters.
     """
     prepare(words.sparkSession)
     each = F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")))
@@ -117,22 +133,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     if len(counted) > MOST_GRAMS:
         raise ValueError(f"more than {MOST_GRAMS} bigrams: too many letters")
     frequency = {r["gram"]: r["n"] for r in counted}
-    keys = pa.list_(pa.struct([("gram", pa.string()), ("place", pa.int32()), ("chars", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, asked = [], []
+            out = []
             for word in batch.column(0).to_pylist():
-                grams, n = prefix(word, frequency), len(word)
-                held.append([{"gram": g, "place": i, "chars": n} for g, i in grams])
-                asked.append([{"gram": g, "place": i + p, "chars": n + d} for g, i in pivots(grams, frequency) for d, p in MOVES])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, keys), pa.array(asked, keys)], names=["word", "held", "asked"])
-
-    key = "array<struct<gram:string,place:int,chars:int>>"
-    cuts = words.select("word").mapInArrow(cut, f"word string, held {key}, asked {key}").checkpoint()
-    index = cuts.select(F.col("word").alias("other"), F.explode("held").alias("k")).select("other", "k.*")
-    asks = cuts.select("word", F.explode("asked").alias("k")).select("word", "k.*")
-    found = asks.join(index, ["gram", "place", "chars"]).where(F.levenshtein("word", "other", 1) == 1)
+                grams = prefix(word, frequency)
+                out += [(word, False, *k) for k in keys_of(word, grams, (0,))]
+                out += [(word, True, *k) for k in keys_of(word, pivots(grams, frequency), CHANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.string(), pa.bool_(), pa.int64(), pa.int32()), strict=True)], names=["word", "asks", "side", "chars"])
+
+    cuts = words.select("word").mapInArrow(cut, "word string, asks boolean, side long, chars int").checkpoint()
+    asks, index = cuts.where("asks").drop("asks"), cuts.where("not asks").drop("asks").withColumnRenamed("word", "other")
+    found = asks.join(index, ["side", "chars"]).where(F.levenshtein("word", "other", 1) == 1)
     return found.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
 
 
