@@ -12,6 +12,7 @@ from .lm import op3_score
 from .mixing import op5_mix
 from .neardup import op8_near_duplicates
 from .packing import op9_pack
+from .pii import op13_personal_data
 from .quality import op2_quality
 from .sharding import op10_shard
 from .variants import op11_variants
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_shard": op10_shard,
     "op11_variants": op11_variants,
     "op12_whiten": op12_whiten,
+    "op13_personal_data": op13_personal_data,
 }
 #: What the template escapes by one more character: a backslash, or the first character of a control string.
 _ESCAPED = r"\\|" + "|".join(re.escape(c) for c in CONTROL)
