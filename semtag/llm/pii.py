@@ -40,7 +40,7 @@ GENERATORS = [
     (1, r"(?<![0-9.])[0-9]{1,5}(?:(?:\.|\x20?[(\[{]\x20?(?:\.|dot)\x20?[)\]}]\x20?)[0-9]{1,5}){3}(?![0-9])"),
     (2, r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){12,18}(?![0-9])"),
     (2, r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9])"),
-    (3, r"(?<![0-9+])\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){8,14}(?![0-9])"),
+    (3, r"(?<![0-9+])\+?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){8,14}(?![0-9])"),
     (3, r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 ]
 #: Words before a span that speak for its kind, and against any.
@@ -70,7 +70,8 @@ def running_sums(numbers: Column) -> Column:
     of_runs = F.transform(starts, lambda at: add(F.slice(numbers, at, F.lit(STEP))))
     ahead = let(of_runs, lambda b: F.transform(b, lambda _, i: add(F.slice(b, F.lit(1), i))))
     place = lambda i: i - F.pmod(i, F.lit(STEP)) + 1
-    return let(ahead, lambda o: F.transform(numbers, lambda _, i: F.get(o, F.floor(i / STEP).cast("int")) + add(F.slice(numbers, place(i), F.pmod(i, F.lit(STEP)) + 1))))
+    sums = let(ahead, lambda o: F.transform(numbers, lambda _, i: F.get(o, F.floor(i / STEP).cast("int")) + add(F.slice(numbers, place(i), F.pmod(i, F.lit(STEP)) + 1))))
+    return F.when(F.size(numbers) > 0, sums).otherwise(numbers)
 
 
 def located(text: Column, pattern: str, may: Column, tell: Callable[[Column, Column, Column, Column, Column], Column], kind: str) -> Column:
@@ -270,9 +271,9 @@ def find_personal_data(docs: DataFrame, precision: float = 0.98, least: int = 20
 
     def touches(*keys: str) -> Column:
         """Whether a base span of the same keys overlaps this one."""
-        ordered = Window.partitionBy(*keys).orderBy("start")
-        reach = F.max(F.when(F.col("is_base"), F.col("end"))).over(ordered.rangeBetween(Window.unboundedPreceding, 0))
-        ahead = F.min(F.when(F.col("is_base"), F.col("start"))).over(ordered.rangeBetween(0, Window.unboundedFollowing))
+        until, since = (Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in (F.asc("start"), F.desc("start")))
+        reach = F.max(F.when(F.col("is_base"), F.col("end"))).over(until)
+        ahead = F.min(F.when(F.col("is_base"), F.col("start"))).over(since)
         return F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
 
     judged = spans.withColumn("label", touches("rid", "kind").cast("int")).withColumn("touches", touches("rid")).where("not is_base").checkpoint()
