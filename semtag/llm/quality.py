@@ -143,6 +143,9 @@ def op2_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    judged = judge_quality(docs, fit_ratio(docs, table(spark, sf_dir, "labels")))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the rules keep, with all their columns, also those named as a verdict is."""
+    ratio = fit_ratio(docs, table(spark, sf_dir, "labels"))
+    verdict = {f.split(" ")[0] for f in FIELDS.split(", ")}
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c.lower() in verdict}
+    judged = judge_quality(docs.withColumnsRenamed(own), ratio)
+    return judged.where("kept").select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
