@@ -11,11 +11,12 @@ from ..functions.replies import parse_selection_replies, parse_table_replies, pa
 from ..functions.scores import select_types
 from ..functions.text import strings, text_task_size
 from ..operators.batching import pack_batches, shard_types
-from ..operators.model import run_attempts, settle_attempts
+from ..operators.model import Calls, run_attempts, settle_attempts
 from ..operators.prompts import ascii_json, selection_prompt, table_prompt, text_prompt
 from ..operators.scoring import assemble_results, score_items
 from ..operators.validation import canonical_tasks, table_reply_errors, text_reply_errors
 from ..operators.vocab import Vocabulary
+from ..sources.shared import use_shared_folder
 
 
 def text_batches(tasks: DataFrame, max_tasks: int = 10, max_chars: int = 12_000, shard_tasks: int | None = None) -> DataFrame:
@@ -57,8 +58,15 @@ def _verdict(df: DataFrame, errors) -> DataFrame:
     return df.withColumn("is_valid", F.col("error_code").isNull()).drop("reply")
 
 
-def settled(attempts: DataFrame, keep_valid_batches: bool = False) -> DataFrame:
-    """The attempts that count: each batch's first valid one, of jobs that didn't fail. Of the others, operators.jobs.job_outcomes tells."""
+def settled(attempts: DataFrame, keep_valid_batches: bool = False, held: bool = False) -> DataFrame:
+    """The attempts that count: each batch's first valid one, of jobs that didn't fail. Of the others, operators.jobs.job_outcomes tells.
+
+    The verdict on a job and the rows it picks both read the attempts, so these are checkpointed once parsed, unless
+    they are ``held`` already.
+    """
+    if not held:
+        use_shared_folder(attempts.sparkSession)
+        attempts = attempts.checkpoint()
     verdict = settle_attempts(attempts.select("job_id", "batch_id", "attempt", "is_valid", "error_code"), keep_valid_batches)
     good = verdict.where("not job_failed").select("job_id", "batch_id", "attempt")
     return attempts.join(good, ["job_id", "batch_id", "attempt"], "left_semi")
@@ -89,28 +97,28 @@ def column_annotations(valid: DataFrame, v: Vocabulary, include_scores: bool = F
     return scored.select(*columns, *[c for c in ("coarse_type_id", "distribution") if c in scored.columns])
 
 
-def annotate_texts(tasks: DataFrame, v: Vocabulary, make: Callable, include_scores: bool = False, max_retries: int = 2, concurrency: int | None = None, keep_valid_batches: bool = False, **limits) -> DataFrame:
+def annotate_texts(tasks: DataFrame, v: Vocabulary, make: Callable, include_scores: bool = False, max_retries: int = 2, concurrency: int | None = None, keep_valid_batches: bool = False, calls: Calls = Calls(), **limits) -> DataFrame:
     """Tasks to flat annotations with a model function; in two steps if the vocabulary asks for a prefilter."""
     if not v.supports_text:
         raise ValueError(f"vocabulary {v.name} does not do texts")
     batches = _types(text_batches(tasks, **limits), v)
     if v.prefilter:
-        batches = prefilter(batches, v, make, "text", max_retries, concurrency)
+        batches = prefilter(batches, v, make, "text", max_retries, concurrency, calls=calls)
     slim = F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))
     batches = batches.withColumn("prompt", text_prompt(v, F.col("types"), slim))
-    attempts = run_attempts(batches, make, lambda df: validate_text(df, v), max_retries, concurrency)
-    return text_annotations(settled(attempts, keep_valid_batches), v, include_scores)
+    attempts = run_attempts(batches, make, lambda df: validate_text(df, v), max_retries, concurrency, calls)
+    return text_annotations(settled(attempts, keep_valid_batches, held=True), v, include_scores)
 
 
-def annotate_tables(tasks: DataFrame, v: Vocabulary, make: Callable, include_scores: bool = False, max_retries: int = 2, concurrency: int | None = None, keep_valid_batches: bool = False, **limits) -> DataFrame:
+def annotate_tables(tasks: DataFrame, v: Vocabulary, make: Callable, include_scores: bool = False, max_retries: int = 2, concurrency: int | None = None, keep_valid_batches: bool = False, calls: Calls = Calls(), **limits) -> DataFrame:
     if not v.supports_table:
         raise ValueError(f"vocabulary {v.name} does not do tables")
     batches = _types(table_batches(tasks, **limits), v)
     if v.prefilter:
-        batches = prefilter(batches, v, make, "table", max_retries, concurrency)
+        batches = prefilter(batches, v, make, "table", max_retries, concurrency, calls=calls)
     batches = batches.withColumn("prompt", table_prompt(v, F.col("types"), ascii_json(_tables_json(F.col("tasks")))))
-    attempts = run_attempts(batches, make, lambda df: validate_tables(df, v), max_retries, concurrency)
-    return column_annotations(settled(attempts, keep_valid_batches), v, include_scores)
+    attempts = run_attempts(batches, make, lambda df: validate_tables(df, v), max_retries, concurrency, calls)
+    return column_annotations(settled(attempts, keep_valid_batches, held=True), v, include_scores)
 
 
 def _tables_json(tasks):
@@ -132,13 +140,14 @@ def selected_types(selections: DataFrame, types: list[str]) -> DataFrame:
     return union.select("job_id", "batch_id", F.when(F.size("u") == 0, every).otherwise(F.array_intersect(every, F.col("u"))).alias("types"))
 
 
-def prefilter(batches: DataFrame, v: Vocabulary, make: Callable, mode: str, max_retries: int = 2, concurrency: int | None = None, max_chars: int = 12_000) -> DataFrame:
+def prefilter(batches: DataFrame, v: Vocabulary, make: Callable, mode: str, max_retries: int = 2, concurrency: int | None = None, max_chars: int = 12_000, calls: Calls = Calls()) -> DataFrame:
     """Batches with ``types`` narrowed by a first call for each shard of the vocabulary; a shard that stays invalid fails its job."""
     payload = F.to_json(F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))) if mode == "text" else _tables_json(F.col("tasks"))
-    asked = batches.withColumn("payload", ascii_json(payload))
+    use_shared_folder(batches.sparkSession)
+    asked = batches.withColumn("payload", ascii_json(payload)).checkpoint()  # feeds the shards and the calls
     asked = asked.withColumn("overhead", F.length(selection_prompt(v, F.array().cast("array<string>"), F.col("payload"), mode)).cast("long"))
     shards = shard_types(asked.select("overhead"), list(v.types), max_chars).select("overhead", "shard", F.col("type_ids").alias("shard_types"))
-    calls = asked.join(shards, "overhead").select("job_id", F.col("batch_id").alias("of_batch"), (F.col("batch_id") * 65536 + F.col("shard")).alias("batch_id"), "shard_types", selection_prompt(v, F.col("shard_types"), F.col("payload"), mode).alias("prompt"))
+    prompts = asked.join(shards, "overhead").select("job_id", F.col("batch_id").alias("of_batch"), (F.col("batch_id") * 65536 + F.col("shard")).alias("batch_id"), "shard_types", selection_prompt(v, F.col("shard_types"), F.col("payload"), mode).alias("prompt"))
 
     def validate(df: DataFrame) -> DataFrame:
         out = parse_selection_replies(df)
@@ -146,8 +155,8 @@ def prefilter(batches: DataFrame, v: Vocabulary, make: Callable, mode: str, max_
         out = out.select("*", "reply.error_code", "reply.error_detail")
         return out.withColumn("is_valid", F.col("error_code").isNull()).drop("reply")
 
-    attempts = run_attempts(calls, make, validate, max_retries, concurrency)
-    good = settled(attempts).select("job_id", F.col("of_batch").alias("batch_id"), "selected")
+    attempts = run_attempts(prompts, make, validate, max_retries, concurrency, calls)
+    good = settled(attempts, held=True).select("job_id", F.col("of_batch").alias("batch_id"), "selected")
     return batches.drop("types").join(selected_types(good, list(v.types)), ["job_id", "batch_id"])
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from semtag.functions.replies import Invalid, first_json, parse_selection_replies, parse_table_replies, parse_tasks, parse_text_replies
+from semtag.functions.replies import Invalid, first_json, parse_selection_replies, parse_table_replies, parse_tasks, parse_text_replies, proven_selection, proven_tasks
 from semtag.operators.validation import column_errors, span_errors, table_reply_errors, task_set_errors, text_reply_errors
 
 GOOD = '[{"task_id": "t1", "entities": [{"start": 0, "end": 7, "text": "Roberto", "scores": {"P": 1.0, "O": 0.1}}], "more": 1}]'
@@ -83,3 +83,50 @@ def test_whole_replies(spark):
     df = spark.createDataFrame([(table % "b", []), (table % "z", ["table_mismatch"])], "raw_text string, codes array<string>")
     df = parse_table_replies(df).withColumn("tasks", F.expr("array(struct('t' as task_id, 'b' as table_id, array('c') as columns))"))
     assert all(x["e"] == x["codes"] for x in df.withColumn("e", table_reply_errors(F.col("tasks"), F.col("reply.tasks"), F.array(F.lit("x")), False)).collect())
+
+
+def strict(text, tables):
+    try:
+        return parse_tasks(text, tables)
+    except Invalid:
+        return None
+
+
+def test_what_is_proven_equals_the_strict_parser(spark, capsys):
+    """Every proven row has the strict parser's value; faulty and lax ones aren't proven, and fare as before."""
+    import json
+
+    entity = {"start": 0, "end": 7, "text": "Roberto", "scores": {"P": 1.0, "O": 1, "Q": 0.1, "R": 1e3, "S": -2}}
+    changes = [{}, {"start": "0"}, {"start": True}, {"end": 7.0}, {"end": 7.5}, {"text": 5}, {"scores": []}, {"scores": {"P": "1"}}, {"scores": {"P": None}}, {"scores": {"P": float("nan")}}, {"start": None}, {"end": 2**31}, {"end": -(2**31)}, {"scores": {}}, {"text": "a\u00e9\U0001f600\n\"b"}, {"more": [1]}]
+    texts = [text_reply(entity | c) for c in changes] + [f"Sure [: {GOOD}", f"Sure: {GOOD} and [more", GOOD[:-1], GOOD.replace('"P": 1.0', '"P": 1.0, "P": 2.0'), GOOD.replace("1.0", "1e400"), GOOD.replace("1.0", "01"), GOOD.replace("Roberto", r"\ud83d\ude00"), GOOD.replace("Roberto", r"\ud83d"), "[]", "[null]", '[{"task_id": "t", "entities": null}]', '[{"task_id": "t", "entities": [null]}]', '{"a": 1}', None, "", "no"]
+    texts += [json.dumps([{"task_id": "t", "table_id": "b", "columns": [{"column": c, "scores": {"x": 1}}]}]) for c in ("c", 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw_text string")
+    for tables, parse in ((False, parse_text_replies), (True, parse_table_replies)):
+        rows = parse(df.withColumn("proven", proven_tasks(F.col("raw_text"), tables))).collect()
+        proven = [x for x in rows if x["proven"] is not None]
+        for x in rows:
+            want = strict(x["raw_text"], tables)
+            got = None if x["reply"]["tasks"] is None else [t.asDict(recursive=True) | {"items": [i.asDict(recursive=True) | {"scores": sorted(i["scores"].items())} for i in t["items"]]} for t in x["reply"]["tasks"]]
+            assert got == (want and [t | {"items": [i | {"scores": sorted(i["scores"])} for i in t["items"]]} for t in want]), x["raw_text"]
+            assert (x["reply"]["error_code"] is None) == (want is not None) and (x["proven"] is None or want is not None)
+        with capsys.disabled():
+            print(f"\n{len(rows) - len(proven)} of {len(rows)} made-up replies (tables: {tables}) went to Python")
+        assert len(proven) >= (2 if tables else 7)
+    chosen = spark.createDataFrame([('["a", "b"]',), ('["a", 1]',), ("{}",), ("[]",)], "raw_text string").select(proven_selection(F.col("raw_text")).alias("p"))
+    assert [x["p"] for x in chosen.collect()] == [["a", "b"], None, None, []]
+
+
+def test_share_of_collected_replies_that_leave_the_jvm(spark, capsys):
+    import os
+
+    from semtag import fixtures
+
+    tables = os.environ.get("SEMTAG_TEST_TABLES", "/root/testdata/sf0.001")
+    if not os.path.isdir(tables):
+        pytest.skip("no tables")
+    replies = fixtures.replies(spark, tables)
+    n, proven = replies.agg(F.count("*"), F.count(proven_tasks(F.col("raw_text"), False))).first()
+    with capsys.disabled():
+        print(f"\n{n - proven} of {n} collected replies went to Python")
+    unparsed = replies.where("raw_text like 'Sorry%'").count()
+    assert n - proven == unparsed  # only those without JSON

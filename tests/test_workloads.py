@@ -109,3 +109,44 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = sorted((x["job_id"], x["text"]) for x in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(str(i), f"W{i}") for i in range(5)]
+
+
+def test_every_prompt_is_sent_once(spark, tmp_path):
+    """A bad, a late and a short call among a hundred prompts: each prompt goes out once, and only what has no reply fails."""
+    import time as _time
+
+    from semtag.operators.model import Calls, annotate_with
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(100)] + [(100, None)], "i int, prompt string").repartition(2)
+
+    def make(group):
+        def start():
+            from pathlib import Path
+
+            def generate(asked):
+                for p in asked:
+                    with Path(f"{tmp_path}/{group}-{p}").open("a") as f:
+                        f.write("sent\n")
+                if "p7" in asked:
+                    raise RuntimeError("bad prompt")
+                if "p33" in asked:
+                    _time.sleep(30)
+                if "p50" in asked:
+                    return [f"re {p}" for p in asked[:-1]]
+                if "p60" in asked:
+                    return [*asked, "more"]
+                return [5 if p == "p70" else f"re {p}" for p in asked]
+
+            return generate
+
+        return start
+
+    for group in (1, 10):
+        rows = {x["i"]: x for x in annotate_with(prompts, make(group), calls=Calls(group, 4, 3.0)).collect()}
+        sent = {f.name.split("-")[1]: f.read_text().count("sent") for f in tmp_path.glob(f"{group}-*")}
+        assert sent == {f"p{i}": 1 for i in range(100)} and len(rows) == 101
+        for i, x in rows.items():
+            assert (x["raw_text"] is None) == (x["call_error"] is not None) and x["raw_text"] in (None, f"re p{i}")
+        failed = {i for i, x in rows.items() if x["call_error"]}
+        assert failed >= {7, 33, 60, 70, 100} and (failed == {7, 33, 50, 60, 70, 100} if group == 1 else len(failed) <= 3 * 10 + 3)
+        assert "RuntimeError: bad prompt" in rows[7]["call_error"] and "TimeoutError" in rows[33]["call_error"]
