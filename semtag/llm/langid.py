@@ -125,14 +125,13 @@ def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = 8, bat
     return net
 
 
-def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documents: int = 4000, most_windows: int = 8000) -> ByteCNN | None:
+def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documents: int = 800, most_windows: int | None = None) -> ByteCNN | None:
     """Train on labelled rows outside the held-out fold; None if there are none.
 
     ``most_documents`` bounds, about evenly over languages, the rows learnt from, chosen by a hash of doc_id,
     text and language, so rows with a null doc_id or with equal ones don't stand or fall together.
-    ``most_windows`` bounds exactly the windows learnt from: each document's windows, from its whole length, are
-    put in an order by hash, and all first ones go before all second ones, and so on. Equal
-    windows count once, so a hot row can't fill the sample.
+    Of these rows every window of the whole text is learnt from, equal windows once, so a hot row can't fill the sample.
+    ``most_windows`` (none by default) bounds the windows too: all documents' first ones by hash, then all second ones.
     """
     prepare(df.sparkSession)
     learn = df.where(fold_of(F.col("doc_id"), folds) != held_out).where("text is not null and lang is not null")
@@ -155,7 +154,9 @@ def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documen
 
     sample = learn.where(part < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
     cuts = sample.mapInArrow(cut, "turn long, lang string, bytes binary").distinct()
-    found = cuts.orderBy("turn", F.xxhash64("bytes", "lang"), "bytes", "lang").limit(most_windows).collect()
+    if most_windows is not None:
+        cuts = cuts.orderBy("turn", F.xxhash64("bytes", "lang"), "bytes", "lang").limit(most_windows)
+    found = cuts.collect()
     rows = sorted((r["turn"], r["lang"], bytes(r["bytes"])) for r in found)
     if not rows:
         return None
