@@ -137,7 +137,7 @@ def mix_sources(df: DataFrame, seed: int = 5, leaf_rows: int = 1024, least_depth
     tie = F.xxhash64("doc_id", "text", F.lit(seed))
     slim = sized.withColumn("__draw", tie).withColumn("mix_order", F.xxhash64(tie, F.lit(seed + 3))).withColumn("__leaf", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(leaves)).cast("int"))
 
-    counts = slim.groupBy("source", "__leaf").agg(F.sum("size").alias("words"))
+    counts = slim.groupBy("source", "__leaf").agg(F.sum("size").alias("words")).checkpoint()  # targets and every level of the tree read it
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = F.round("target").cast("long")
     second = F.when(goal > F.col("source_size"), goal - F.col("source_size")).otherwise(goal)
