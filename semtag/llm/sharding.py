@@ -45,7 +45,8 @@ def place(df: DataFrame, key: str, size: str, tie: str | None, shards: int, buck
         renamed = alike.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], "__copies")
         same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(order)])
         salt = F.when(F.col("__copies").isNotNull(), F.col("__salt")).otherwise(0)
-        dealt = dealt.withColumn("__salt", F.floor(F.rand(seed) * 1_000_000)).join(renamed, same, "left")
+        # held before it is read twice: a task done again would deal its rows anew
+        dealt = dealt.withColumn("__salt", F.floor(F.rand(seed) * 1_000_000)).checkpoint().join(renamed, same, "left")
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit(seed + 1), salt), F.get(F.lit(buckets), F.col("shard"))).cast("int")
     dealt = dealt.select(*[F.col(f"`{c}`") for c in df.columns], "shard", "grown_shard", bucket.alias("__bucket"))
     out = T.StructType([*dealt.schema.fields, T.StructField("__pos", T.LongType())])
