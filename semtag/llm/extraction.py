@@ -1,13 +1,15 @@
 """Main-text extraction by equivalence classes of template tokens.
 
-The pages of a host are made by few templates. A page is cut into tokens: tags at their place in the
-element tree, and whole text blocks there. Tokens with the same occurrence vector over some pages (how
-often each has them) form an equivalence class; a vector is held as a sum of hashes of page and count, so
-that a host of any size is grouped by plain aggregation. Classes are formed on two levels, one inside the
-other: over all pages of a host, and over its pages of one layout (the set of places near the root), which
-stand for one template. A class is valid if enough pages of its level support it. A page's template is the
-valid classes of both levels, and what lies between their tokens are its slots. The main text is the text
-of the slots inside the main-content element; pages without one give the slots outside boilerplate.
+The pages of a host are made by few templates; pages of one layout (the set of places near the root) share one.
+A page is a sequence of tokens: elements at their place in the element tree, classes included, and whole text
+blocks there. Tokens with the same occurrence vector over a layout's pages (how often each has them) form an
+equivalence class; a vector is held as a sum of hashes of page and count, so that a host of any size is
+grouped by plain aggregation. A class is valid if it is large and enough pages have it, and a token of it counts only if
+it mostly follows the same once-a-page element: then the once-a-page tokens of a class come in one order, and a repeated
+class nests in one slot between two of them. Pages are cut at the tokens of their template. What remains
+between them are the slots; tags and attributes only label a slot, as main content, furniture or neither.
+The main text is all text of the slots in main content, also what many pages share; a page without any gives
+its unlabelled slots, less texts that are template tokens themselves.
 """
 
 from __future__ import annotations
@@ -31,18 +33,24 @@ BOILERPLATE = {"head", "nav", "header", "footer", "aside", "form", "menu", "dial
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 MAIN = {"article", "main"}
-#: Whole tokens of a class, id or role that mark an element as boilerplate.
+#: Words of a class, id or role that mark an element as boilerplate: as a whole token, and those of STRONG also as a part of one.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "recommended", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
+STRONG = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "nav", "navbar", "newsletter", "pagination", "popup", "promo", "sharing", "sidebar", "sponsor", "sponsored", "subscribe", "subscription"}
+#: Parts that make a class name a state of its element, not its content.
+STATES = {"has", "with", "without", "no", "none", "hide", "is"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _OPENS = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PARTS = re.compile(r"[^a-z0-9]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Characters of a place or text above which a token holds its digest; tokens of all templates above which they are not broadcast.
 LONG, BROADCAST_TOKENS = 48, 500_000
 #: Tags of a place that its page's layout takes in; a token that every page has once.
 SHALLOW, EVERY_PAGE = 3, "\n"
-SEEN = pa.list_(pa.struct([("token", pa.string()), ("text", pa.bool_()), ("times", pa.int32())]))
+SEEN = pa.list_(pa.struct([("token", pa.string()), ("text", pa.bool_()), ("times", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
+#: Labels of slots.
+FURNITURE, MAIN_CONTENT, OPEN = "furniture", "main", "open"
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -53,19 +61,33 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+def marked_by(words: Iterable[str]) -> bool:
+    """Whether class, id or role words mark an element: a mark as a whole, or a strong one as a part, but not of a state (``has-sidebar``)."""
+    for word in words:
+        parts = set(_PARTS.split(word))
+        if word in MARKS or not parts.isdisjoint(STRONG) and parts.isdisjoint(STATES):
+            return True
+    return False
+
+
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(place, text, in main content, in boilerplate) of a page's text blocks, in page order; place is the path of tags.
+    """What events gives of a page's text blocks."""
+    return (e for e in events(page) if e[1] is not None)
+
+
+def events(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
+    """(place, text, in main content, in boilerplate) of a page's elements (text None) and text blocks, in page order; place is the path of tags, with classes.
 
     Tags and hiding make boilerplate anywhere. Marks do so outside main content for what holds no main
     content, and inside it for the marked part; the main element itself is not judged by them.
     """
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in main content, in boilerplate by tag or hidden, by mark
+    stack: list[tuple[str, bool, bool, bool, str]] = []  # tag, in main content, in boilerplate by tag or hidden, by mark, place
     words: list[str] = []
     at = ("", False, False)
 
     def place() -> tuple[str, bool, bool]:
-        _, main, bad, marked = stack[-1] if stack else ("", False, False, False)
-        return "/".join(t for t, *_ in stack if t not in INLINE), main, bad or marked
+        _, main, bad, marked, path = stack[-1] if stack else ("", False, False, False, "")
+        return path, main, bad or marked
 
     def flush() -> Iterator[tuple[str, str, bool, bool]]:
         text = " ".join(html.unescape("".join(words)).split())
@@ -109,13 +131,18 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             stack.pop()
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        _, main, bad, marked = stack[-1] if stack else ("", False, False, False)
+        _, main, bad, marked, path = stack[-1] if stack else ("", False, False, False, "")
         has = attributes(m[3]) if m[3] else {}
         marks = {w for k in ("class", "id", "role") for w in has.get(k, "").lower().split()}
         bad = bad or tag in BOILERPLATE or "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(has.get("style", "")))
         opens = tag in MAIN or "main" in has.get("role", "").lower().split()
-        marked = (main or not opens) and (marked or not marks.isdisjoint(MARKS) and tag not in ("html", "body"))
-        stack.append((tag, main or opens, bad, marked))
+        marked = (main or not opens) and (marked or tag not in ("html", "body") and marked_by(marks))
+        if tag not in INLINE:
+            path += "/" * bool(path) + ".".join([tag, *sorted(set(has.get("class", "").lower().split()))])
+        stack.append((tag, main or opens, bad, marked, path))
+        if tag not in INLINE:
+            at = (path, main or opens, bad or marked)
+            yield path, None, main or opens, bad or marked
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
@@ -140,12 +167,37 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TOKENS else df
 
 
+def digest(token: str | None) -> int:
+    return 0 if token is None else int.from_bytes(blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def page_tokens(page: str) -> tuple[int, list[tuple[str, str | None, bool, bool]]]:
+    """A page's layout and its tokens: (name, text, in main content, in boilerplate)."""
+    found = list(events(page))
+    return layout(place for place, *_ in found), [(token(place, text), text, main, bad) for place, text, main, bad in found]
+
+
+def occurrences(tokens: list[tuple[str, str | None, bool, bool]]) -> list[dict]:
+    """Of each token: whether it is a text, how often it occurs, and the least and greatest digest of the once-a-page element that each occurrence follows."""
+    times = Counter((name, text is not None) for name, text, *_ in tokens)
+    out: dict[tuple[str, bool], dict] = {}
+    follows = 0
+    for name, text, *_ in tokens:
+        key = name, text is not None
+        seen = out.setdefault(key, {"token": name, "text": key[1], "times": times[key], "first": follows, "last": follows})
+        seen["first"], seen["last"] = min(seen["first"], follows), max(seen["last"], follows)
+        if times[key] == 1 and text is None:
+            follows = digest(name)
+    return list(out.values())
+
+
 def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 4, least_tokens: int = 2) -> DataFrame:
-    """(host, layout, token) of the text blocks in valid equivalence classes; layout null: of the whole host.
+    """(host, layout, token, text, once, follows) of the tokens of each layout's template, from pages (host, html).
 
-    A class (tokens with one occurrence vector over a host's pages, or those of one layout) is valid if at
-    least ``least_pages`` of these pages and a ``support`` share have it and it has ``least_tokens`` tokens, tags
-    included. Equal pages of a host count once.
+    A class (tokens with one occurrence vector over the pages of a layout) is valid if at least ``least_pages`` of these
+    and a ``support`` share have it and it has ``least_tokens`` tokens of which each, on that share of its pages, only
+    follows one once-a-page element (``follows``, its digest; 0: none). ``text``: a text, not an element; ``once``: exactly once on every page, so that it
+    belongs to the outermost class; the tokens of other classes nest in the slot after ``follows``. Equal pages of a host count once.
     """
     prepare(pages.sparkSession)
 
@@ -153,68 +205,96 @@ def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int =
         for batch in batches:
             seen, layouts = [], []
             for source in utf8(batch, "html"):
-                times, places = Counter({(EVERY_PAGE, False): 1}), set()
-                for place, text, *_ in blocks((source or b"").decode()):
-                    places.add(place)
-                    times.update(((token(place), False), (token(place, text), True)))
-                seen.append([{"token": t, "text": is_text, "times": n} for (t, is_text), n in times.items()])
-                layouts.append(layout(places))
+                number, tokens = page_tokens((source or b"").decode())
+                seen.append([{"token": EVERY_PAGE, "text": False, "times": 1, "first": 0, "last": 0}, *occurrences(tokens)])
+                layouts.append(number)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(layouts, pa.int64()), pa.array(seen, SEEN)], names=["host", "page", "layout", "seen"])
 
     keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    one = keyed.mapInArrow(cut, "host string, page long, layout long, seen array<struct<token string, text boolean, times int>>").dropDuplicates(["host", "page"])
-    levels = F.explode(F.array(F.lit(None).cast("long"), F.col("layout")))
-    seen = one.select("host", "page", levels.alias("layout"), "seen").select("host", "page", "layout", F.inline("seen"))
+    one = keyed.mapInArrow(cut, "host string, page long, layout long, seen array<struct<token string, text boolean, times int, first long, last long>>").dropDuplicates(["host", "page"])
+    seen = one.select("host", "page", "layout", F.inline("seen"))
     vector = F.sum(F.xxhash64("page", "times").cast("decimal(38,0)"))
-    counted = seen.groupBy("host", "layout", "token", "text").agg(vector.alias("vector"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages).checkpoint()
-    groups = counted.where(F.col("token") == EVERY_PAGE).select(F.col("host").alias("__h"), F.col("layout").alias("__l"), F.col("pages").alias("all_pages"))
-    tokens = counted.where(F.col("token") != EVERY_PAGE).join(bounded(groups, groups.count()), (F.col("host") == F.col("__h")) & F.col("layout").eqNullSafe(F.col("__l")))
+    alike = seen.groupBy("host", "layout", "token", "text", "first", "last").agg(vector.alias("vector"), F.count("*").alias("pages"))
+    usual = F.max(F.when(F.col("first") == F.col("last"), F.struct("pages", F.col("first").alias("follows")))).alias("usual")
+    counted = alike.groupBy("host", "layout", "token", "text").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), usual)
+    counted = counted.where(F.col("pages") >= least_pages).where(F.col("usual.pages") >= support * F.col("pages")).checkpoint()
+    of_group = F.col("token") == EVERY_PAGE
+    groups = counted.where(of_group).select(F.col("host").alias("__h"), F.col("layout").alias("__l"), F.col("pages").alias("all_pages"), F.col("vector").alias("every"))
+    tokens = counted.where(~of_group).join(bounded(groups, groups.count()), (F.col("host") == F.col("__h")) & (F.col("layout") == F.col("__l")))
     tokens = tokens.where(F.col("pages") >= support * F.col("all_pages"))
-    classes = tokens.groupBy("host", F.col("layout").alias("__l"), "vector", "pages").agg(F.count("*").alias("tokens"), F.collect_set(F.when(F.col("text"), F.col("token"))).alias("texts"))
-    return classes.where(F.col("tokens") >= least_tokens).select("host", F.col("__l").alias("layout"), F.explode("texts").alias("token"))
+    classes = tokens.groupBy("host", F.col("layout").alias("__l"), "vector", "pages").agg(F.collect_list(F.struct("token", "text", (F.col("vector") == F.col("every")).alias("once"), F.col("usual.follows").alias("follows"))).alias("members"))
+    return classes.where(F.size("members") >= least_tokens).select("host", F.col("__l").alias("layout"), F.inline("members"))
 
 
-def extract_main(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row's whole html (null: empty); text is empty if there is none.
+def page_slots(tokens: list[tuple[str, str | None, bool, bool]], template: dict[tuple[str, bool], bool]) -> list[tuple[str, bool, str, list[str]]]:
+    """(template element that opens the slot, whether that is once a page, label, texts) of a page's slots, in order; template: once by (token, is text).
+
+    A slot ends at the next template element, and where its label changes. Template texts are no slot's content, unless in main content.
+    """
+    out: list[tuple[str, bool, str, list[str]]] = []
+    after, once = "", True
+    for name, text, main, bad in tokens:
+        if text is None:
+            if (name, False) in template:
+                after, once = name, template[name, False]
+                out.append((after, once, FURNITURE if bad else MAIN_CONTENT if main else OPEN, []))
+            continue
+        label = FURNITURE if bad else MAIN_CONTENT if main else OPEN
+        if label == OPEN and (name, True) in template:
+            continue
+        if not out or out[-1][2] != label:
+            out.append((after, once, label, []))
+        out[-1][3].append(text)
+    return out
 
-    Blocks in page order, one line each, white space inside a block as one space: those in the slots of the
-    page's template, deduced from all pages of the host, that lie outside boilerplate. A page with a
-    main-content element outside boilerplate gives that element's slots only, and the element whole if the
-    template holds more than half of its characters: then it is a repeated article, not furniture. Null urls
-    share a host; repeated rows are kept, as a page stays one row all the way.
+
+def cut_slots(pages: DataFrame) -> DataFrame:
+    """page_id, url, slots (after, once, label, text) of every row's whole html (null: empty), cut at its template, which all pages of its host and layout tell.
+
+    Null urls share a host; repeated rows are kept, as a page stays one row all the way.
     """
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
+    parsed = pa.list_(pa.struct([("name", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("bad", pa.bool_())]))
+    cuts = pa.list_(pa.struct([("after", pa.string()), ("once", pa.bool_()), ("label", pa.string()), ("text", pa.string())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [page_tokens((source or b"").decode()) for source in utf8(batch, "html")]
+            tokens = [[dict(zip(("name", "text", "main", "bad"), t, strict=True)) for t in own] for _, own in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array([n for n, _ in found], pa.int64()), pa.array(tokens, parsed)], names=["page_id", "url", "host", "layout", "tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A page's blocks that may be its text, with their tokens."""
         for batch in batches:
-            out = {"layout": [], "main": [], "tokens": [], "texts": []}
-            for source in utf8(batch, "html"):
-                every = list(blocks((source or b"").decode()))
-                found = [b for b in every if not b[3]]
-                main = [b for b in found if b[2]]
-                chosen = main or found
-                out["layout"].append(layout(b[0] for b in every))
-                out["main"].append(bool(main))
-                out["tokens"].append([token(place, text) for place, text, *_ in chosen])
-                out["texts"].append([text for _, text, *_ in chosen])
-            types = (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["page_id", "url", "host", *out])
-
-    template = deduce_templates(keyed).groupBy("host", "layout").agg(F.collect_set("token").alias("template")).checkpoint()
+            out, templates = [], {}
+            for i in range(len(batch)):
+                key = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                if key not in templates:
+                    templates[key] = {(t["token"], t["text"]): t["once"] for t in batch.column(5)[i].as_py() or ()}
+                tokens = [(t["name"], t["text"], t["main"], t["bad"]) for t in batch.column(4)[i].as_py()]
+                slots = page_slots(tokens, templates[key])
+                out.append([{"after": after, "once": once, "label": label, "text": "\n".join(texts)} for after, once, label, texts in slots])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, cuts)], names=["page_id", "url", "slots"])
+
+    template = deduce_templates(keyed).groupBy("host", "layout").agg(F.collect_list(F.struct("token", "text", "once")).alias("template")).checkpoint()
     size = template.select(F.sum(F.size("template"))).first()[0] or 0
-    whole = bounded(template.where("layout is null").select("host", F.col("template").alias("of_host")), size)
-    own = bounded(template.where("layout is not null").withColumnRenamed("template", "of_layout"), size)
-    cuts = keyed.mapInArrow(cut, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, layout long, main boolean, tokens array<string>, texts array<string>")
-    none = F.array().cast("array<string>")
-    known = F.concat(F.coalesce("of_host", none), F.coalesce("of_layout", none))
-    out = cuts.join(whole, "host", "left").join(own, ["host", "layout"], "left").withColumn("known", known)
-    out = out.withColumn("slots", F.when(F.size("known") == 0, F.col("texts")).otherwise(F.filter("texts", lambda _, i: ~F.array_contains("known", F.get("tokens", i)))))
-    chars = lambda a: F.length(F.array_join(a, ""))
-    text = F.when(F.col("main") & (chars("slots") * 2 < chars("texts")), F.col("texts")).otherwise(F.col("slots"))
-    return out.select("page_id", "url", F.array_join(text, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    ids = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
+    rows = keyed.mapInArrow(read, f"{ids}, host string, layout long, tokens array<struct<name string, text string, main boolean, bad boolean>>")
+    told = rows.join(bounded(template, size), ["host", "layout"], "left").select("page_id", "url", "host", "layout", "tokens", "template")
+    return told.mapInArrow(cut, f"{ids}, slots array<struct<after string, once boolean, label string, text string>>")
+
+
+def extract_main(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row's whole html (null: empty); text is empty if there is none.
+
+    Blocks in page order, one line each, white space inside a block as one space: those of the page's slots (see
+    cut_slots) in main content, or, on a page without, of its slots that nothing labels.
+    """
+    texts = lambda label: F.transform(F.filter("slots", lambda s: (s["label"] == label) & (s["text"] != "")), lambda s: s["text"])
+    main = texts(MAIN_CONTENT)
+    text = F.array_join(F.when(F.size(main) > 0, main).otherwise(texts(OPEN)), "\n")
+    return cut_slots(pages).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_extract(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-from semtag.llm.extraction import blocks, deduce_templates, extract_main
+from collections import Counter, defaultdict
+
+from semtag.llm.extraction import blocks, cut_slots, deduce_templates, extract_main, occurrences, page_tokens
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href="/x">Menu</a></nav><div class="ad">Buy</div>'
@@ -72,17 +74,71 @@ def test_marks_are_whole_tokens_and_spare_the_main_element():
     assert [[(t, bad) for _, t, _, bad in blocks(h)] for h in dropped] == [[("x", True)]] * len(dropped)
 
 
-def test_templates_of_pages_with_an_article(spark):
-    a = "<html><body><article><p>Read our other stories</p><p>story {0} is told here at length, and not briefly</p><p>Thank you</p></article></body></html>"
-    b = "<html><body><main><div>Join us now</div><p>another text, number {0}, of a certain length</p></main><section>x</section></body></html>"
+def test_lines_that_articles_share_stay(spark):
+    a = "<html><body><nav>Menu</nav><article><p>Licensed under some terms.</p><p>story {0} is told here at length, and not briefly</p><p>All figures are in euros.</p></article></body></html>"
     c = "<html><body><table><tr><td>Old shell</td><td>cell {0}</td><td>Old end</td></tr></table></body></html>"
-    rows = [(100 * k + i, f"http://f.org/{k}/{i}", shell.format(i)) for k, shell in enumerate((a, b, c)) for i in range(5)]
-    again = "<article><p>the same article, again and again</p><p>{0}</p></article>"
-    rows += [(900 + i, f"http://g.org/{i}", again.format(i)) for i in range(5)]
+    rows = [(100 * k + i, f"http://f.org/{k}/{i}", shell.format(i)) for k, shell in enumerate((a, c)) for i in range(8)]
     got, n = run(spark, rows)
-    assert n == 20
-    for i in range(5):
-        assert got[i]["text"] == f"story {i} is told here at length, and not briefly"
-        assert got[100 + i]["text"] == f"another text, number {i}, of a certain length"
-        assert got[200 + i]["text"] == f"cell {i}"
-        assert got[900 + i]["text"] == f"the same article, again and again\n{i}"
+    assert n == 16
+    for i in range(8):
+        assert got[i]["text"] == f"Licensed under some terms.\nstory {i} is told here at length, and not briefly\nAll figures are in euros."
+        assert got[100 + i]["text"] == f"cell {i}"
+
+
+def test_furniture_inside_articles_goes():
+    for name in ("comment-list", "reader-comments", "newsletter-signup", "ad-slot", "comments", "post_ads", "sponsored-box"):
+        assert [(t, bad) for _, t, _, bad in blocks(f"<article><p>x</p><div class='{name}'><p>y</p></div></article>")] == [("x", False), ("y", True)], name
+
+
+def plain_template(pages, support=0.5, least_pages=4, least_tokens=2):
+    """Classes of one host by their whole vectors, page by page."""
+    out = set()
+    layouts = defaultdict(list)
+    for page in dict.fromkeys(pages):
+        number, tokens = page_tokens(page)
+        layouts[number].append(occurrences(tokens))
+    for number, own in layouts.items():
+        vectors, follows = defaultdict(dict), defaultdict(Counter)
+        for i, seen in enumerate(own):
+            for t in seen:
+                vectors[t["token"], t["text"]][i] = t["times"]
+                follows[t["token"], t["text"]][t["first"]] += t["first"] == t["last"]
+        usual = {k: max((n, f) for f, n in c.items()) for k, c in follows.items()}
+        fit = {k: v for k, v in vectors.items() if len(v) >= max(least_pages, support * len(own)) and usual[k][0] >= support * len(v)}
+        sizes = Counter(tuple(sorted(v.items())) for v in fit.values())
+        for k, v in fit.items():
+            if sizes[tuple(sorted(v.items()))] >= least_tokens:
+                out.add((number, *k, v == dict.fromkeys(range(len(own)), 1), usual[k][1]))
+    return out
+
+
+def test_classes_equal_a_plain_deduction_and_nest(spark):
+    pages = []
+    for i in range(9):
+        items = "".join(f"<li><b>n{i}{j}</b><p>says {j}</p></li>" for j in range(1 + i % 4))
+        more = "<aside>now and then</aside>" if i % 3 == 0 else ""
+        pages.append(f"<body><nav>Menu</nav>{more}<main><h1>T{i}</h1><p>text {i}</p></main><ul class='talk'>{items}</ul><footer>End</footer></body>")
+    pages += [pages[0], "<table><tr><td>other</td></tr></table>"]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    got = {(x["layout"], x["token"], x["text"], x["once"], x["follows"]) for x in deduce_templates(df).collect()}
+    assert got == plain_template(pages)
+    nested = [x for x in got if not x[3] and not x[2]]
+    assert {x[1] for x in nested} >= {"body/ul.talk/li", "body/ul.talk/li/p"} and len({x[4] for x in nested if "li" in x[1]}) == 1
+
+
+def test_pages_are_cut_at_their_template(spark):
+    """On the given pages, every host and layout with enough pages has a template, and its pages' slots come from it."""
+    import os
+
+    import pytest
+
+    tables = os.environ.get("SEMTAG_TEST_TABLES", "/root/testdata/sf0.001")
+    if not os.path.isdir(tables):
+        pytest.skip("no tables")
+    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    hosts, cut = Counter(), Counter()
+    for x in pages.collect():
+        hosts[x["url"].split("/")[2], page_tokens(x["html"])[0]] += 1
+    for x in cut_slots(pages).collect():
+        cut[sum(s["once"] and s["after"] != "" for s in x["slots"]) > 0] += 1
+    assert cut[True] >= sum(n for n in hosts.values() if n >= 4) and (cut[True] or max(hosts.values()) < 4)
