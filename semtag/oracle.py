@@ -180,6 +180,18 @@ FROM customer LEFT JOIN ({STATE}) s ON s.job_id = c_custkey""",
     "next_jobs": "SELECT event_id AS job_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events QUALIFY position <= 100",
     "admit": "SELECT event_id AS job_id, row_number() OVER (ORDER BY ts, event_id) + 250 <= 1000 AS admitted FROM events",
     "dedupe_submissions": "SELECT user_id AS job_id, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
+    "accept_submissions": """
+SELECT job_id, seq, accepted FROM (
+  SELECT user_id AS job_id, event_id AS seq, event_type, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'purchase', true) AS accepted FROM events
+) WHERE event_type <> 'purchase'""",
+    "admit_with_departures": """
+WITH RECURSIVE e AS (SELECT CAST(ts AS DATE) AS q, event_id AS seq, event_type IN ('view', 'click') AS arrives, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT q, i, seq, arrives, CAST(0 AS BIGINT) AS depth FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.q, e.i, e.seq, e.arrives, CAST(CASE WHEN r.arrives THEN least(r.depth + 1, 5) ELSE greatest(r.depth - 1, 0) END AS BIGINT) FROM r JOIN e ON e.q = r.q AND e.i = r.i + 1
+)
+SELECT seq, depth AS depth_before, depth < 5 AS admitted FROM r WHERE arrives""",
     "job_outcomes": f"""
 SELECT job_id, CASE WHEN count(*) FILTER (attempt IS NULL) > 0 THEN 'failed' ELSE 'completed' END AS status, arg_min(error_code, batch_id) FILTER (attempt IS NULL) AS error FROM ({SETTLED}) GROUP BY job_id""",
     "dispatch": f"SELECT job_id, CASE endpoint_type WHEN 'ner' THEN 'text' WHEN 'tabular' THEN 'table' ELSE 'failed' END AS lane, CASE WHEN endpoint_type = 'other' THEN 'unknown endpoint other' END AS error FROM ({JOBS})",

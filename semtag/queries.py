@@ -286,6 +286,18 @@ def dedupe_submissions(spark: SparkSession, d: str) -> DataFrame:
     return jobs.dedupe_submissions(made).select("job_id", "seq", "event_type")
 
 
+def accept_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """Users as jobs that are sent again and again; a purchase takes the waiting job."""
+    events = fx.table(spark, d, "events").selectExpr("user_id as job_id", "if(event_type = 'purchase', 'take', 'submit') as kind", "ts as at", "event_id as seq")
+    return jobs.accept_submissions(events).select("job_id", "seq", "accepted")
+
+
+def admit_with_departures(spark: SparkSession, d: str) -> DataFrame:
+    """A queue a day of events, of at most five jobs: views and clicks arrive, all others leave."""
+    events = fx.table(spark, d, "events").selectExpr("cast(ts as date) as queue", "if(event_type in ('view', 'click'), 'arrive', 'leave') as kind", "ts as at", "event_id as seq")
+    return jobs.admit_with_departures(events, maxsize=5).select("seq", "depth_before", "admitted")
+
+
 def job_outcomes(spark: SparkSession, d: str) -> DataFrame:
     every = fx.reply_batches(spark, d).select("job_id").distinct()
     return jobs.job_outcomes(every, settle_attempts(spark, d))
@@ -471,6 +483,8 @@ QUERIES = {
     "next_jobs": next_jobs,
     "admit": admit,
     "dedupe_submissions": dedupe_submissions,
+    "accept_submissions": accept_submissions,
+    "admit_with_departures": admit_with_departures,
     "job_outcomes": job_outcomes,
     "dispatch": dispatch,
     "profile_columns": profile_columns,
