@@ -84,7 +84,25 @@ SHORT = """CASE p_partkey % 6 WHEN 0 THEN concat('dpv:T', p_partkey // 2) WHEN 1
   WHEN 3 THEN concat('dpv-legal/eu:T', p_partkey) ELSE concat('https://example.org/x#T', p_partkey) END"""
 LABEL_OF = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat('le ', p_name) WHEN 2 THEN p_name END"
 
+
+
+def _echo(tasks: str) -> str:
+    """What the echo model's answers come to: each task's first word (tasks: job_id, ord, task_id, text)."""
+    return f"""
+WITH w AS (SELECT *, regexp_extract(text, '[A-Za-z]+') AS word FROM ({tasks})),
+s AS (SELECT *, list_transform(range(10), lambda i: length(word) % (i + 2) + 1) AS scores FROM w WHERE word <> ''),
+b AS (SELECT *, list_sum(scores) AS total, list_max(scores) AS best, list_position(scores, list_max(scores)) AS i FROM s)
+SELECT job_id, ord, task_id, 0 AS entity_idx, CAST(strpos(text, word) - 1 AS INTEGER) AS start, CAST(strpos(text, word) - 1 + length(word) AS INTEGER) AS "end", word AS text,
+  ({_list(FINE_TO_COARSE)})[i] AS type_id, round(best / CAST(total AS DOUBLE), 9) AS confidence, ({_list(FINE_TO_COARSE.values())})[i] AS coarse_type_id,
+  array_to_string(list_transform(scores, lambda x: CAST(round(x / CAST(total AS DOUBLE), 6) AS VARCHAR)), ' ') AS distribution FROM b"""
+
+
+TURNS = "SELECT CAST(conv_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, CAST(turn AS VARCHAR) AS task_id, text FROM conversations"
 ORACLE_SQL: dict[str, str] = {
+    "annotate_texts": _echo("SELECT source AS job_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CAST(doc_id AS VARCHAR) AS task_id, text FROM documents"),
+    "stream_annotations": f"SELECT * EXCLUDE (distribution) FROM ({_echo(TURNS)})",
+    "stream_states": """
+SELECT CAST(conv_id AS VARCHAR) AS job_id, CASE WHEN count(*) > 6 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN count(*) > 6 THEN 'no_json' END AS error FROM conversations GROUP BY conv_id""",
     "text_ner_replay": ANNOTATIONS,
     "column_typing_replay": f"""
 WITH t AS (SELECT table_id, k, max(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END) AS has_segment FROM ({CUSTOMERS}) WHERE n <= 5 GROUP BY ALL),

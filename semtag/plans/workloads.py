@@ -97,8 +97,8 @@ def column_annotations(valid: DataFrame, v: Vocabulary, include_scores: bool = F
     return scored.select(*columns, *[c for c in ("coarse_type_id", "distribution") if c in scored.columns])
 
 
-def annotate_texts(tasks: DataFrame, v: Vocabulary, make: Callable, include_scores: bool = False, max_retries: int = 2, concurrency: int | None = None, keep_valid_batches: bool = False, calls: Calls = Calls(), **limits) -> DataFrame:
-    """Tasks to flat annotations with a model function; in two steps if the vocabulary asks for a prefilter."""
+def text_attempts(tasks: DataFrame, v: Vocabulary, make: Callable, max_retries: int = 2, concurrency: int | None = None, calls: Calls = Calls(), **limits) -> DataFrame:
+    """Tasks to all attempts of all their batches, checkpointed: packed, prompted, called and validated; in two steps if the vocabulary asks for a prefilter."""
     if not v.supports_text:
         raise ValueError(f"vocabulary {v.name} does not do texts")
     batches = _types(text_batches(tasks, **limits), v)
@@ -106,7 +106,12 @@ def annotate_texts(tasks: DataFrame, v: Vocabulary, make: Callable, include_scor
         batches = prefilter(batches, v, make, "text", max_retries, concurrency, calls=calls)
     slim = F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))
     batches = batches.withColumn("prompt", text_prompt(v, F.col("types"), slim))
-    attempts = run_attempts(batches, make, lambda df: validate_text(df, v), max_retries, concurrency, calls)
+    return run_attempts(batches, make, lambda df: validate_text(df, v), max_retries, concurrency, calls)
+
+
+def annotate_texts(tasks: DataFrame, v: Vocabulary, make: Callable, include_scores: bool = False, max_retries: int = 2, concurrency: int | None = None, keep_valid_batches: bool = False, calls: Calls = Calls(), **limits) -> DataFrame:
+    """Tasks to flat annotations with a model function."""
+    attempts = text_attempts(tasks, v, make, max_retries, concurrency, calls, **limits)
     return text_annotations(settled(attempts, keep_valid_batches, held=True), v, include_scores)
 
 

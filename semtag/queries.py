@@ -14,7 +14,7 @@ from .operators.vocab import BUILT_IN, COARSE, FINE_TO_COARSE, Vocabulary
 from .plans import workloads
 from .sources import io
 from .sources.shared import shared_folder
-from .streaming.annotate import dedupe_stream, stream_annotate
+from .streaming.annotate import annotate_submissions, committed, dedupe_stream, stream_annotate
 
 
 def _coarse():
@@ -371,11 +371,11 @@ def write_job_state(spark: SparkSession, d: str) -> DataFrame:
     return jobs.job_state(spark.read.parquet(at)).select("job_id", "seq", "status")
 
 
-# Without SQL: prompts, the model call, streaming.
+# Prompts, the model call, streaming.
 
 
-def _echo_model(types: list[str]):
-    """A model that marks each task's first word; it answers badly the first time it sees an odd batch."""
+def _echo_model(types: list[str], fails_at: int = 0):
+    """A model that marks each task's first word; it answers badly the first time it sees an odd batch, or, if ``fails_at`` is set, whenever a batch has more tasks."""
 
     def make():
         import json
@@ -387,7 +387,7 @@ def _echo_model(types: list[str]):
             for t in payload:
                 m = re.search("[A-Za-z]+", t["text"])
                 out.append({"task_id": t["task_id"], "entities": [{"start": m.start(), "end": m.end(), "text": m[0], "scores": {x: len(m[0]) % (i + 2) + 1 for i, x in enumerate(types)}}] if m else []})
-            bad = len(payload) % 2 and "was not valid" not in prompt
+            bad = len(payload) > fails_at if fails_at else len(payload) % 2 and "was not valid" not in prompt
             return "I am not sure" if bad else "Sure: " + json.dumps(out)
 
         return lambda prompts: [answer(p) for p in prompts]
@@ -411,7 +411,36 @@ def table_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotate_texts(spark: SparkSession, d: str) -> DataFrame:
-    return workloads.annotate_texts(fx.text_tasks(spark, d), BUILT_IN["fine"], _echo_model(list(FINE_TO_COARSE)), include_scores=True)
+    found = workloads.annotate_texts(fx.text_tasks(spark, d), BUILT_IN["fine"], _echo_model(list(FINE_TO_COARSE)), include_scores=True)
+    shares = F.array_join(F.transform(F.array(*map(F.lit, FINE_TO_COARSE)), lambda t: F.round(F.col("distribution")[t], 6).cast("string")), " ")
+    return found.withColumn("distribution", shares).withColumn("confidence", F.round("confidence", 9))
+
+
+def _submission_stream(spark: SparkSession, d: str, at: str) -> DataFrame:
+    """Conversations as a stream of jobs whose tasks are their turns, in two files and so two epochs."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.struct(t["turn"].cast("string").alias("task_id"), t["text"].alias("text")))
+    made = fx.table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("job_id")).agg(listed.alias("tasks"))
+    made = made.withColumn("created_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, cast(job_id as int) % 600)"))
+    made.withColumn("half", F.pmod(F.xxhash64("job_id"), F.lit(2))).repartition(2, "half").drop("half").write.parquet(f"{at}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def stream_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """The whole annotation as a stream: conversations are jobs, packed, called, retried, validated and scored; what its epochs have committed."""
+    at = _folder(spark, "jobs")
+    stream = dedupe_stream(_submission_stream(spark, d, at))
+    annotate_submissions(stream, BUILT_IN["fine"], _echo_model(list(FINE_TO_COARSE)), f"{at}/out", f"{at}/state").awaitTermination()
+    found = committed(spark, f"{at}/out", "results")
+    return found.select("job_id", "ord", "task_id", "entity_idx", "start", "end", "text", "type_id", F.round("confidence", 9).alias("confidence"), "coarse_type_id")
+
+
+def stream_states(spark: SparkSession, d: str) -> DataFrame:
+    """Last states of the jobs of a stream whose model never answers for a batch of more than six tasks; every other job completes."""
+    at = _folder(spark, "jobs")
+    stream = dedupe_stream(_submission_stream(spark, d, at))
+    annotate_submissions(stream, BUILT_IN["fine"], _echo_model(list(FINE_TO_COARSE), fails_at=6), f"{at}/out", f"{at}/state", max_retries=0).awaitTermination()
+    log = committed(spark, f"{at}/out", "events").withColumnsRenamed({"created_at": "updated_at", "step": "seq"})
+    return jobs.job_state(log).select("job_id", "status", "error")
 
 
 def stream_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -499,4 +528,6 @@ QUERIES = {
     "table_prompts": table_prompts,
     "annotate_texts": annotate_texts,
     "stream_texts": stream_texts,
+    "stream_annotations": stream_annotations,
+    "stream_states": stream_states,
 }
