@@ -64,6 +64,18 @@ def sample_table_rows(rows: DataFrame, n: int, order: str | None = None) -> Data
     return kept.groupBy("table_id").agg(listed.alias("sampled_rows")).select(F.concat(F.lit("task-"), "table_id").alias("task_id"), "table_id", "sampled_rows")
 
 
+def sample_wide_table(df: DataFrame, table_id: str, n: int, order: list[str] | None = None) -> DataFrame:
+    """One table task from one wide frame: its n first rows by ``order``, else by a hash of the row, as maps of column to text.
+
+    A top-n that is bounded in each partition and merged; only the n rows are turned to maps and meet in one task.
+    """
+    columns = df.columns
+    rank = [F.col(c) for c in order] if order else [F.xxhash64(*columns)]
+    top = df.orderBy(*rank).limit(n).select(F.struct(*[r.alias(f"k{i}") for i, r in enumerate(rank)]).alias("k"), F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]).alias("row"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", F.map_entries("row").alias("row")))), lambda r: F.map_from_entries(r["row"]))
+    return top.agg(listed.alias("sampled_rows")).where(F.size("sampled_rows") > 0).select(F.lit(f"task-{table_id}").alias("task_id"), F.lit(table_id).alias("table_id"), "sampled_rows")
+
+
 def flatten_results(results: DataFrame) -> DataFrame:
     """Nested text results (job_id, ord, task_id, entities) as one row an entity, in order."""
     return results.select("job_id", "ord", "task_id", F.posexplode("entities").alias("entity_idx", "e")).select("job_id", "ord", "task_id", "entity_idx", "e.*")

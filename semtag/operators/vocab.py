@@ -169,6 +169,14 @@ def accept_paths(files: DataFrame, version: str = "2.2/") -> DataFrame:
     return files.where(F.col("path").startswith(version) & F.col("path").endswith(".jsonld") & ~F.col("path").contains("-owl")).dropDuplicates(["path"])
 
 
+def unusable_files(files: DataFrame) -> DataFrame:
+    """path, reason of accepted files that give no entries: ``unparseable``, ``double key`` (valid JSON but for that), or ``no entries`` (neither a list nor a graph)."""
+    root, plain = F.try_parse_json("doc"), F.get_json_object("doc", "$")
+    listed = F.coalesce(F.try_variant_get(root, "$", "array<variant>"), F.try_variant_get(root, "$['@graph']", "array<variant>"))
+    reason = F.when(root.isNull() & plain.isNull(), "unparseable").when(root.isNull(), "double key").when(listed.isNull(), "no entries")
+    return accept_paths(files).select("path", reason.alias("reason")).where("reason is not null")
+
+
 def build_vocabulary(files: DataFrame) -> DataFrame:
     """id, label, iri from JSON-LD files (path, doc); the first entry of an id, by path and place, wins."""
     root = F.try_parse_json("doc")

@@ -101,6 +101,7 @@ TURNS = "SELECT CAST(conv_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION
 ORACLE_SQL: dict[str, str] = {
     "annotate_texts": _echo("SELECT source AS job_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CAST(doc_id AS VARCHAR) AS task_id, text FROM documents"),
     "stream_annotations": f"SELECT * EXCLUDE (distribution) FROM ({_echo(TURNS)})",
+    "stream_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
     "stream_states": """
 SELECT CAST(conv_id AS VARCHAR) AS job_id, CASE WHEN count(*) > 6 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN count(*) > 6 THEN 'no_json' END AS error FROM conversations GROUP BY conv_id""",
     "text_ner_replay": ANNOTATIONS,
@@ -226,6 +227,25 @@ FROM documents, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS o)""",
     "write_vocabulary": "SELECT concat('part:', p_partkey) AS id, p_name AS label, CAST(NULL AS VARCHAR) AS iri FROM part",
     "read_vocabulary": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, n_name AS type_id FROM nation",
     "write_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
+    "gazetteer_phrases": f"""
+WITH b AS (SELECT item_id, string_split(text, ' ') AS t FROM benchmark),
+  x AS (SELECT term, ({_list(COARSE)})[min(item_id) % 12 + 1] AS type_id FROM (SELECT item_id, CASE WHEN len(t) >= n THEN array_to_string(t[1:n], ' ') END AS term FROM b, (SELECT unnest([1, 2, 3]) AS n)) WHERE term <> '' GROUP BY term),
+  k AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+  s AS (SELECT doc_id, token, lead(token) OVER w AS two, lead(token, 2) OVER w AS three, sum(length(token) + 1) OVER w - 1 - length(token) AS start FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  r AS (SELECT doc_id, start, token AS text FROM s UNION ALL SELECT doc_id, start, concat(token, ' ', two) FROM s WHERE two IS NOT NULL UNION ALL SELECT doc_id, start, concat(token, ' ', two, ' ', three) FROM s WHERE three IS NOT NULL)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", text, type_id, CAST(1 AS DOUBLE) AS score FROM r JOIN x ON x.term = r.text""",
+    "profile_wide": f"""
+WITH t AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderdate', 'o_orderpriority']) AS "column", regexp_replace(unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority]), '^{SPACE}+|{SPACE}+$', '', 'g') AS v FROM orders),
+  c AS (SELECT "column", {_cell_type('"column"', "v")} AS t, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY "column") AS total, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, list_position({_list(STI_TO_COARSE)}, t)) AS r FROM c)
+SELECT 'orders' AS table_id, "column", t AS type_id, round(n / CAST(total AS DOUBLE), 9) AS confidence, {_map_case("t", STI_TO_COARSE.items())} AS coarse_type_id FROM r WHERE r = 1""",
+    "sample_wide_table": """
+SELECT 'task-lineitem' AS task_id, 'lineitem' AS table_id, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS idx, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_linestatus, l_returnflag
+FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 5)""",
+    "jsonld_rejects": """
+WITH p AS (SELECT DISTINCT concat((['2.2/a', '2.2/b', '2.2/c-owl', '2.1/d', '2.2/e', '2.2/f', '2.2/g'])[p_partkey % 7 + 1], lpad(CAST(p_partkey // 100 AS VARCHAR), 9, '0'), '.jsonld') AS path, p_partkey // 100 AS n
+  FROM part WHERE p_partkey % 7 NOT IN (2, 3, 5))
+SELECT path, (['unparseable', 'double key', 'no entries'])[n % 4 + 1] AS reason FROM p WHERE n % 4 < 3""",
     "gazetteer": f"""
 WITH k AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
   s AS (SELECT doc_id, token, sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS stop FROM k)

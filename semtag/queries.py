@@ -14,6 +14,7 @@ from .operators.vocab import BUILT_IN, COARSE, FINE_TO_COARSE, Vocabulary
 from .plans import workloads
 from .sources import io
 from .sources.shared import shared_folder
+from .streaming.states import job_state_changes
 from .streaming.annotate import annotate_submissions, committed, dedupe_stream, stream_annotate
 
 
@@ -323,6 +324,34 @@ def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return rules.match_gazetteer(fx.table(spark, d, "documents"), gazetteer_terms(spark, d))
 
 
+def gazetteer_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The first one, two and three tokens of every benchmark item as terms, which overlap."""
+    tokens = fx.table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("t"))
+    terms = tokens.select("item_id", F.explode(F.array(*[F.when(F.size("t") >= n, F.array_join(F.slice("t", 1, n), " ")) for n in (1, 2, 3)])).alias("term")).where("term is not null and term != ''")
+    types = terms.groupBy("term").agg(F.element_at(_coarse(), (F.min("item_id") % 12 + 1).cast("int")).alias("type_id"))
+    return rules.match_gazetteer(fx.table(spark, d, "documents"), types)
+
+
+def profile_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as one wide table, without making cells."""
+    orders = fx.table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "date_format(o_orderdate, 'yyyy-MM-dd') as o_orderdate", "o_orderpriority")
+    return rules.profile_wide(orders, "orders", chunk=3).withColumn("confidence", F.round("confidence", 9))
+
+
+def sample_wide_table(spark: SparkSession, d: str) -> DataFrame:
+    """The first five rows of the line items by key, as one table task."""
+    rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
+    task = tasks.sample_wide_table(rows, "lineitem", 5, ["l_orderkey", "l_linenumber"])
+    return task.select("task_id", "table_id", F.posexplode("sampled_rows").alias("idx", "row")).select("task_id", "table_id", "idx", *[F.col("row")[c].alias(c) for c in rows.columns])
+
+
+def jsonld_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Files of parts of which some are cut off, some have a key twice, some hold a plain object."""
+    number, doc = "substring(path, -16, 9)", "case cast(n % 4 as int) when 0 then substring(doc, 1, length(doc) - 1) when 1 then concat('{\"a\": 1, \"a\": ', doc, '}') when 2 then '{\"a\": 1}' else doc end"
+    files = fx.jsonld_files(spark, d).withColumn("n", F.expr(f"try_cast({number} as int)"))
+    return vocab.unusable_files(files.selectExpr("path", f"{doc} as doc"))
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{_token()}"
 
@@ -443,6 +472,17 @@ def stream_states(spark: SparkSession, d: str) -> DataFrame:
     return jobs.job_state(log).select("job_id", "status", "error")
 
 
+def stream_job_state(spark: SparkSession, d: str) -> DataFrame:
+    """Status events as a stream of three files; each job's last change."""
+    at = _folder(spark, "states")
+    events = fx.job_events(spark, d).select("job_id", "seq", "status", "updated_at")
+    events.repartition(3, "seq").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    query = job_state_changes(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return jobs.job_state(spark.read.parquet(f"{at}/out")).select(F.col("job_id").cast("long").alias("job_id"), "seq", "status")
+
+
 def stream_texts(spark: SparkSession, d: str) -> DataFrame:
     """Turns as a stream of tasks, annotated by term look-up, read back when the stream has ended."""
     at = _folder(spark, "stream")
@@ -518,6 +558,10 @@ QUERIES = {
     "dispatch": dispatch,
     "profile_columns": profile_columns,
     "gazetteer": gazetteer,
+    "gazetteer_phrases": gazetteer_phrases,
+    "profile_wide": profile_wide,
+    "sample_wide_table": sample_wide_table,
+    "jsonld_rejects": jsonld_rejects,
     "read_tasks": read_tasks,
     "read_replies": read_replies,
     "write_annotations": write_annotations,
@@ -530,4 +574,5 @@ QUERIES = {
     "stream_texts": stream_texts,
     "stream_annotations": stream_annotations,
     "stream_states": stream_states,
+    "stream_job_state": stream_job_state,
 }

@@ -46,3 +46,18 @@ def test_a_restart_gives_the_same_rows(spark, tmp_path, monkeypatch):
 
 def submissions_again(spark, at):
     return spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def test_jobs_in_processing_end_when_time_has_passed(spark, tmp_path):
+    from semtag.operators.jobs import job_state
+    from semtag.streaming.states import job_state_changes
+
+    rows = [[("a", 1, "queued", "00:00:00"), ("a", 2, "processing", "00:00:30"), ("b", 3, "processing", "00:00:00"), ("b", 3, "processing", "00:00:00"), ("b", 4, "completed", "00:01:00"), ("b", 2, "failed", "00:00:10")], [("c", 5, "processing", "05:00:00")], [("d", 6, "queued", "05:01:00")]]
+    for part in rows:
+        df = spark.createDataFrame(part, "job_id string, seq long, status string, at string").selectExpr("job_id", "seq", "status", "cast(concat('2024-01-01 ', at) as timestamp) as updated_at")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = job_state_changes(stream, wait=600, delay="1 minute").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = {x["job_id"]: (x["status"], str(x["updated_at"])[11:19]) for x in job_state(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert last == {"a": ("failed", "00:10:30"), "b": ("completed", "00:01:00"), "c": ("processing", "05:00:00"), "d": ("queued", "05:01:00")}
