@@ -30,6 +30,23 @@ def ascii_json_length(text: Column) -> Column:
     return F.length(F.regexp_replace(short, "[^ -~]", "######"))
 
 
+def ascii_json_string(text: Column) -> Column:
+    """A text as a JSON string in ASCII, quotes included; ``null`` for a null. Characters beyond the basic plane become surrogate pairs."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    code = lambda c: F.ascii(c)
+    pair = lambda n: F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+    short = lambda c: F.try_element_at(F.create_map(*[F.lit(x) for kv in _SHORT.items() for x in kv]), c)
+    other = lambda c: F.when(code(c) < 0x10000, unit(code(c))).otherwise(pair(code(c)))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)[ !#-\[\]-~]+|."), F.lit(0))
+    escaped = F.transform(parts, lambda c: F.coalesce(short(c), F.when(code(c).between(32, 126), c), other(c)))
+    plain = F.when(text.rlike(r"^[ !#-\[\]-~]*\z"), text).otherwise(F.array_join(escaped, ""))
+    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), plain, F.lit('"')))
+
+
+#: JSON's short escapes.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def text_task_size(task_id: Column, text: Column) -> Column:
     """Length of {"task_id": ..., "text": ...} as ASCII JSON."""
     return ascii_json_length(task_id) + ascii_json_length(text) + 27

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_json_string
 from .vocab import Vocabulary
 
 _TEXT_SHAPE = '[{"task_id": "<id>", "entities": [{"start": <int>, "end": <int>, "text": "<cut of the text>", "scores": {"<type>": <number>}}]}]'
@@ -25,14 +26,26 @@ def ascii_json(rows: Column) -> Column:
     return F.pandas_udf(_dump, "string")(rows)
 
 
+def tasks_json(tasks: Column) -> Column:
+    """tasks (array<struct<task_id,text>>) as a JSON array in ASCII, by expressions."""
+    one = lambda t: F.concat(F.lit('{"task_id": '), ascii_json_string(t["task_id"]), F.lit(', "text": '), ascii_json_string(t["text"]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(tasks, one), ", "), F.lit("]"))
+
+
 def _render(parts: list[str], types: Column, payload: Column) -> Column:
-    head, tail = F.lit("\n".join(parts) + "\nAllowed types: "), F.lit("\nTasks:\n")
+    head, tail = F.lit("\n".join(parts) + _TYPES), F.lit(_TASKS)
     return F.concat(head, F.array_join(types, ", "), tail, payload)
 
 
-def text_prompt(v: Vocabulary, types: Column, tasks: Column) -> Column:
-    """tasks: array<struct<task_id,text>> in order."""
-    parts = [
+_TYPES, _TASKS = "\nAllowed types: ", "\nTasks:\n"
+
+
+def _frame(parts: list[str], types: tuple[str, ...]) -> str:
+    return "\n".join(parts) + _TYPES + ", ".join(types) + _TASKS
+
+
+def _text_parts(v: Vocabulary) -> list[str]:
+    return [
         v.text_intro,
         f"Vocabulary: {v.name}",
         "Answer with nothing but a JSON array, one object for each task:",
@@ -41,12 +54,10 @@ def text_prompt(v: Vocabulary, types: Column, tasks: Column) -> Column:
         _DENSE if v.dense else _SPARSE,
         "At least one score of an entity is above 0.",
     ]
-    return _render(parts, types, ascii_json(F.to_json(tasks, {"ignoreNullFields": "false"})))
 
 
-def table_prompt(v: Vocabulary, types: Column, tasks_json: Column) -> Column:
-    """tasks_json: JSON array of {task_id, table_id, sampled_rows}, as ascii_json gives it."""
-    parts = [
+def _table_parts(v: Vocabulary) -> list[str]:
+    return [
         v.table_intro,
         f"Vocabulary: {v.name}",
         "Answer with nothing but a JSON array, one object for each task:",
@@ -55,20 +66,45 @@ def table_prompt(v: Vocabulary, types: Column, tasks_json: Column) -> Column:
         _DENSE if v.dense else _SPARSE,
         "At least one score of a column is above 0.",
     ]
-    return _render(parts, types, tasks_json)
 
 
-def selection_prompt(v: Vocabulary, types: Column, tasks_json: Column, mode: str) -> Column:
-    """tasks_json: JSON array of the tasks, as ascii_json gives it."""
+def _selection_parts(v: Vocabulary, mode: str) -> list[str]:
     if mode not in ("text", "table"):
         raise ValueError(f"mode must be text or table, not {mode}")
-    parts = [
+    return [
         v.text_intro if mode == "text" else v.table_intro,
         f"Vocabulary: {v.name}",
         f"Which of the allowed types could occur in these {mode} tasks? When in doubt, include a type.",
         'Answer with nothing but a JSON array of types: ["<type>"]',
     ]
-    return _render(parts, types, tasks_json)
+
+
+def text_frame(v: Vocabulary) -> str:
+    """What a text prompt with all types says before its tasks."""
+    return _frame(_text_parts(v), v.types)
+
+
+def table_frame(v: Vocabulary) -> str:
+    return _frame(_table_parts(v), v.types)
+
+
+def selection_frame(v: Vocabulary, mode: str) -> str:
+    return _frame(_selection_parts(v, mode), v.types)
+
+
+def text_prompt(v: Vocabulary, types: Column, tasks: Column) -> Column:
+    """tasks: array<struct<task_id,text>> in order."""
+    return _render(_text_parts(v), types, tasks_json(tasks))
+
+
+def table_prompt(v: Vocabulary, types: Column, tasks_json: Column) -> Column:
+    """tasks_json: JSON array of {task_id, table_id, sampled_rows}, as ascii_json gives it."""
+    return _render(_table_parts(v), types, tasks_json)
+
+
+def selection_prompt(v: Vocabulary, types: Column, tasks_json: Column, mode: str) -> Column:
+    """tasks_json: JSON array of the tasks, as ascii_json or tasks_json gives it."""
+    return _render(_selection_parts(v, mode), types, tasks_json)
 
 
 def retry_prompt(prompt: Column, error: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .operators.rules import HEADERS, PATTERNS
-from .operators.vocab import COARSE, FINE_TO_COARSE, STI_TO_COARSE
+from .operators.prompts import selection_frame, table_frame, text_frame
+from .operators.vocab import BUILT_IN, COARSE, FINE_TO_COARSE, STI_TO_COARSE
 
 
 def _list(items) -> str:
@@ -97,8 +98,37 @@ SELECT job_id, ord, task_id, 0 AS entity_idx, CAST(strpos(text, word) - 1 AS INT
   array_to_string(list_transform(scores, lambda x: CAST(round(x / CAST(total AS DOUBLE), 6) AS VARCHAR)), ' ') AS distribution FROM b"""
 
 
+def _ascii(text: str) -> str:
+    """A text as a JSON string in ASCII."""
+    unit = lambda n: f"concat('\\u', lpad(lower(to_hex({n})), 4, '0'))"
+    short = "CASE c WHEN '\"' THEN '\\\"' WHEN '\\' THEN '\\\\' WHEN chr(10) THEN '\\n' WHEN chr(13) THEN '\\r' WHEN chr(9) THEN '\\t' WHEN chr(8) THEN '\\b' WHEN chr(12) THEN '\\f' END"
+    other = f"CASE WHEN ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN {unit('ord(c)')} ELSE concat({unit('55296 + (ord(c) - 65536) // 1024')}, {unit('56320 + (ord(c) - 65536) % 1024')}) END"
+    return f"concat(chr(34), array_to_string(list_transform(regexp_extract_all({text}, '(?s)[ !#-\\[\\]-~]+|.'), lambda c: coalesce({short}, {other})), ''), chr(34))"
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompt(text: str, payload: str) -> str:
+    """A prompt made for an empty payload, with the SQL of its payload at the end."""
+    return f"concat({_quote(text)}, {payload})"
+
+
+_TEXT_PAYLOAD = f"concat('[', string_agg(concat('{{\"task_id\": ', {_ascii('task_id')}, ', \"text\": ', {_ascii('text')}, '}}'), ', ' ORDER BY ord), ']')"
+_ROW = f"""concat('{{"c_custkey": ', {_ascii('CAST(c_custkey AS VARCHAR)')}, ', "c_name": ', {_ascii('name')}, CASE WHEN c_custkey % 2 = 0 THEN concat(', "c_mktsegment": ', {_ascii('c_mktsegment')}) ELSE '' END, '}}')"""
+_NATION = f"SELECT table_id, k, concat('{{\"task_id\": \"task-', table_id, '\", \"table_id\": \"', table_id, '\", \"sampled_rows\": [', string_agg({_ROW}, ', ' ORDER BY n), ']}}') AS task FROM (SELECT c.*, x.c_name AS name FROM ({CUSTOMERS}) c JOIN customer x USING (c_custkey)) WHERE n <= 5 GROUP BY table_id, k"
+
+
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, CAST(turn AS VARCHAR) AS task_id, text FROM conversations"
 ORACLE_SQL: dict[str, str] = {
+    "text_prompts": f"""
+SELECT p.job_id, CAST(p.batch AS BIGINT) AS batch_id, {_prompt(text_frame(BUILT_IN["coarse"]), _TEXT_PAYLOAD)} AS prompt, {_prompt(selection_frame(BUILT_IN["coarse"], "text"), _TEXT_PAYLOAD)} AS selection_prompt
+FROM ({_pack(FTEXT)}) p JOIN (SELECT source AS job_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CAST(doc_id AS VARCHAR) AS task_id, text FROM documents) t USING (job_id, ord) GROUP BY p.job_id, p.batch""",
+    "table_prompts": f"""
+WITH n AS ({_NATION}), b AS ({_pack("SELECT 'nations' AS job_id, row_number() OVER (ORDER BY k) AS ord, length(task) AS size FROM (" + _NATION + ")")})
+SELECT job_id, CAST(batch AS BIGINT) AS batch_id, {_prompt(table_frame(BUILT_IN["sti"]), "concat('[', string_agg(task, ', ' ORDER BY k), ']')")} AS prompt
+FROM b JOIN (SELECT *, row_number() OVER (ORDER BY k) AS ord FROM n) USING (ord) GROUP BY job_id, batch""",
     "annotate_texts": _echo("SELECT source AS job_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, CAST(doc_id AS VARCHAR) AS task_id, text FROM documents"),
     "stream_annotations": f"SELECT * EXCLUDE (distribution) FROM ({_echo(TURNS)})",
     "stream_job_state": f"SELECT job_id, seq, status FROM ({STATE})",

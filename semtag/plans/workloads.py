@@ -12,7 +12,7 @@ from ..functions.scores import select_types
 from ..functions.text import strings, text_task_size
 from ..operators.batching import pack_batches, shard_types
 from ..operators.model import Calls, run_attempts, settle_attempts
-from ..operators.prompts import ascii_json, selection_prompt, table_prompt, text_prompt
+from ..operators.prompts import ascii_json, selection_prompt, table_prompt, tasks_json, text_prompt
 from ..operators.scoring import assemble_results, score_items
 from ..operators.validation import canonical_tasks, table_reply_errors, text_reply_errors
 from ..operators.vocab import Vocabulary
@@ -147,9 +147,9 @@ def selected_types(selections: DataFrame, types: list[str]) -> DataFrame:
 
 def prefilter(batches: DataFrame, v: Vocabulary, make: Callable, mode: str, max_retries: int = 2, concurrency: int | None = None, max_chars: int = 12_000, calls: Calls = Calls()) -> DataFrame:
     """Batches with ``types`` narrowed by a first call for each shard of the vocabulary; a shard that stays invalid fails its job."""
-    payload = F.to_json(F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))) if mode == "text" else _tables_json(F.col("tasks"))
+    payload = tasks_json(F.col("tasks")) if mode == "text" else ascii_json(_tables_json(F.col("tasks")))
     use_shared_folder(batches.sparkSession)
-    asked = batches.withColumn("payload", ascii_json(payload)).checkpoint()  # feeds the shards and the calls
+    asked = batches.withColumn("payload", payload).checkpoint()  # feeds the shards and the calls
     asked = asked.withColumn("overhead", F.length(selection_prompt(v, F.array().cast("array<string>"), F.col("payload"), mode)).cast("long"))
     shards = shard_types(asked.select("overhead"), list(v.types), max_chars).select("overhead", "shard", F.col("type_ids").alias("shard_types"))
     prompts = asked.join(shards, "overhead").select("job_id", F.col("batch_id").alias("of_batch"), (F.col("batch_id") * 65536 + F.col("shard")).alias("batch_id"), "shard_types", selection_prompt(v, F.col("shard_types"), F.col("payload"), mode).alias("prompt"))

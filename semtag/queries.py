@@ -428,7 +428,7 @@ def text_prompts(spark: SparkSession, d: str) -> DataFrame:
     v = BUILT_IN["coarse"]
     slim = F.transform("tasks", lambda t: F.struct(t["task_id"].alias("task_id"), t["text"].alias("text")))
     batches = workloads.text_batches(fx.text_tasks(spark, d))
-    chosen = prompts.selection_prompt(v, _coarse(), prompts.ascii_json(F.to_json(slim)), "text")
+    chosen = prompts.selection_prompt(v, _coarse(), prompts.tasks_json(slim), "text")
     return batches.select("job_id", "batch_id", prompts.text_prompt(v, _coarse(), slim).alias("prompt"), chosen.alias("selection_prompt"))
 
 

@@ -212,3 +212,13 @@ def test_undated_jobs_come_last_and_unnamed_schemas_are_unknown(spark, tmp_path)
     asked = spark.createDataFrame([(1, "a"), (2, None), (3, "x")], "job_id int, schema string")
     config = spark.createDataFrame([("b",), ("a",)], "schema string")
     assert {(x["job_id"], x["error"]) for x in tasks.require_schema(asked, config).collect()} == {(2, "unknown schema null; known: a, b"), (3, "unknown schema x; known: a, b")}
+
+
+def test_ascii_json_strings(spark):
+    import json
+
+    from semtag.functions.text import ascii_json_string
+
+    texts = ["", "plain", 'q"b\\s/', "\n\r\t\b\f\x00\x1f\x7f", "é\u2028\uffff", "a😀b𝄞", "line\n", "\n", " ~", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", ascii_json_string(F.col("t")).alias("j"))
+    assert [x["j"] for x in df.orderBy("i").collect()] == [json.dumps(t) for t in texts]
