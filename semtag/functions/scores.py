@@ -45,23 +45,58 @@ def distribution(types: Column, posterior: Column) -> Column:
     return F.map_from_arrays(types, posterior)
 
 
-def canonical_key(key: Column, types: Column, aliases: Pairs, prefixes: Pairs) -> Column:
-    """A score key's canonical id: aliases apply even to allowed keys, prefixes only to others."""
-    for alias, canonical in aliases:
-        key = F.when((key == alias) & F.array_contains(types, F.lit(canonical)), F.lit(canonical)).otherwise(key)
-    for old, new in prefixes:
-        rewritten = F.concat(F.lit(new), F.substr(key, F.lit(len(old) + 1)))
-        key = F.when(key.startswith(old) & ~F.array_contains(types, key) & F.array_contains(types, rewritten), rewritten).otherwise(key)
-    return key
+def _merged(entries: Column) -> Column:
+    """Entries (key, value) with each key once, with its greatest value, sorted by key."""
+    last_of_run = lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["key"] != e["key"], F.lit(True)))
+    return let(F.array_sort(entries), last_of_run)
+
+
+def _known(entries: Column, name: str, types: Column) -> Column:
+    """Entries (key, value, as) with ``known``: whether their text ``name`` is among the types. No two entries share a text but null.
+
+    Texts and types are sorted together, so that a text that is known follows its type: the time grows with their number, but for a sort.
+    """
+    none = F.lit(None)
+    row = lambda text, own, key, value, new: F.struct(text.alias("text"), own.alias("own"), key.cast("string").alias("key"), value.cast("double").alias("value"), new.cast("string").alias("as"))
+    both = F.concat(F.transform(types, lambda t: row(t, F.lit(0), none, none, none)), F.transform(entries, lambda e: row(e[name], F.lit(1), e["key"], e["value"], e["as"])))
+    follows = lambda es, e, i: F.coalesce((i > 0) & (F.get(es, i - 1)["own"] == 0) & (F.get(es, i - 1)["text"] == e["text"]), F.lit(False))
+    told = lambda es: F.transform(es, lambda e, i: F.struct(e["own"].alias("own"), e["key"].alias("key"), e["value"].alias("value"), e["as"].alias("as"), follows(es, e, i).alias("known")))
+    return F.filter(let(F.array_sort(both), told), lambda e: e["own"] == 1)
 
 
 def canonical_scores(scores: Column, types: Column, aliases: Pairs, prefixes: Pairs) -> Column:
-    """A score map under canonical ids; keys that meet keep the greater score; unresolved keys stay."""
+    """A score map under canonical ids; keys that meet keep the greater score; unresolved keys stay.
+
+    Aliases apply first, in order, even to allowed keys; prefixes then, in order, only to others. Equal keys are merged after
+    each step, as they would fare alike.
+    """
     if not aliases and not prefixes:
         return scores
-    entries = F.transform(F.map_entries(scores), lambda e: F.struct(canonical_key(e["key"], types, aliases, prefixes).alias("key"), e["value"].alias("value")))
-    greatest = lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["key"] != e["key"], F.lit(True)))
-    return F.map_from_entries(let(F.array_sort(entries), greatest))
+    entries = F.transform(F.map_entries(scores), lambda e: _pair(e["key"], e))
+    for alias, canonical in aliases:
+        entries = _aliased(entries, types, alias, canonical)
+    entries = _merged(entries)
+    for old, new in prefixes:
+        entries = _merged(_rewritten(entries, types, old, new))
+    return F.map_from_entries(entries)
+
+
+def _pair(key: Column, entry: Column) -> Column:
+    return F.struct(key.alias("key"), entry["value"].cast("double").alias("value"))
+
+
+def _aliased(entries: Column, types: Column, alias: str, canonical: str) -> Column:
+    renamed = lambda es: F.transform(es, lambda e: _pair(F.when(e["key"] == alias, canonical).otherwise(e["key"]), e))
+    return let(entries, lambda es: F.when(F.array_contains(types, F.lit(canonical)), renamed(es)).otherwise(es))
+
+
+def _rewritten(entries: Column, types: Column, old: str, new: str) -> Column:
+    """Entries of which those with the prefix, not allowed as they are but allowed with the new one, have that; as keys differ, so do rewritten ones."""
+    row = lambda e, other: F.struct(e["key"].alias("key"), e["value"].alias("value"), other.alias("as"))
+    plain = F.transform(entries, lambda e: row(e, F.lit(None).cast("string")))
+    asks = lambda e: F.when(~e["known"] & e["key"].startswith(old), F.concat(F.lit(new), F.substr(e["key"], F.lit(len(old) + 1))))
+    asked = F.transform(_known(plain, "key", types), lambda e: row(e, asks(e)))
+    return F.transform(_known(asked, "as", types), lambda e: _pair(F.when(e["known"], e["as"]).otherwise(e["key"]), e))
 
 
 def score_errors(scores: Column, types: Column, dense: bool | Column) -> Column:
