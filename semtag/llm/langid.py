@@ -153,7 +153,7 @@ def fit_languages(df: DataFrame, held_out: int = 2, folds: int = 4, most_documen
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(lang, pa.string()), pa.array([w for _, w in found], pa.binary())], names=["turn", "lang", "bytes"])
 
     sample = learn.where(part < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
-    cuts = sample.mapInArrow(cut, "turn long, lang string, bytes binary").distinct()
+    cuts = sample.mapInArrow(cut, "turn long, lang string, bytes binary").groupBy("lang", "bytes").agg(F.min("turn").alias("turn"))
     if most_windows is not None:
         cuts = cuts.orderBy("turn", F.xxhash64("bytes", "lang"), "bytes", "lang").limit(most_windows)
     found = cuts.collect()

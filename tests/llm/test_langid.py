@@ -53,3 +53,45 @@ def test_gradients_against_differences():
         down = loss()
         p[i] = old
         assert abs((up - down) / (2 * h) - g[i]) < 0.1 * abs(g[i]) + 2e-3
+
+
+def test_scores_equal_a_plain_network(docs):
+    """Every text's windows, byte by byte through embedding, filters, pooling and softmax, in plain loops over windows."""
+    net = fit_languages(docs)
+
+    def plain(text):
+        data = text.lower().encode()
+        step, logs = WINDOW - 3, []
+        for at in range(0, max(1, len(data) - 3), step):
+            seen = np.zeros(WINDOW, int)
+            part = list(data[at : at + WINDOW])
+            seen[: len(part)] = part
+            pooled = []
+            for f, b in zip(net.filters, net.bias, strict=True):
+                w = len(f) // net.embed.shape[1]
+                z = np.array([net.embed[seen[i : i + w]].ravel() @ f + b for i in range(WINDOW - w + 1)])
+                pooled += np.maximum(z.max(axis=0), 0).tolist()
+            z = np.array(pooled) @ net.out + net.out_bias
+            p = np.exp(z - z.max())
+            logs.append(np.log(np.maximum(p / p.sum(), 1e-9)))
+        mean = np.mean(logs, axis=0)
+        p = np.exp(mean - mean.max())
+        return p / p.sum()
+
+    for x in predict_languages(docs.where("doc_id < 12 or doc_id between 503 and 509").where("length(text) < 3000"), net).collect():
+        if x["lang_pred"] != "und":
+            p = plain(x["text"])
+            assert x["lang_pred"] == net.classes[int(p.argmax())] and abs(x["score"] - p.max()) < 1e-3, x["doc_id"]
+
+
+def test_every_window_of_the_chosen_rows_is_learnt_from(docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr("semtag.llm.langid.train", lambda x, y, classes: seen.append((len(x), classes)) or ByteCNN.fresh(classes, 1))
+    fit_languages(docs, most_documents=10**6)
+    import zlib
+
+    want = set()
+    for x in docs.collect():
+        if x["text"] is not None and x["lang"] is not None and zlib.crc32(("" if x["doc_id"] is None else str(x["doc_id"])).encode()) % 4 != 2:
+            want |= {(bytes(w), x["lang"]) for w in windows(x["text"].lower().encode())}
+    assert seen == [(len(want), ["de", "en", "fr"])]
