@@ -176,7 +176,7 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n = lengths[0]["dims"], lengths[0]["n"]
     own = one.where(F.col("dims") == dims)
-    most = int(min(1.0, fit_rows / n) * (2**63 - 1))  # of the hashes from 0: fine enough for any number of rows
+    most = (2**63 - 1) * min(fit_rows, n) // n  # of the hashes from 0: fine enough for any number of rows
     sample = own.where(F.xxhash64("vk", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) <= most).select("vk", "v").toArrow()
     x = np.array(sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims), np.float32)[np.argsort(sample["vk"].to_numpy())]
     book, ratio = fit_quantiser(x if len(x) else np.zeros((1, dims), np.float32), seed=seed)
