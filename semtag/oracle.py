@@ -256,6 +256,7 @@ FROM documents, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS o)""",
     "write_annotations": "SELECT doc_id, n_chars, coalesce(lang, 'none') AS schema FROM documents",
     "write_vocabulary": "SELECT concat('part:', p_partkey) AS id, p_name AS label, CAST(NULL AS VARCHAR) AS iri FROM part",
     "read_vocabulary": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, n_name AS type_id FROM nation",
+    "compacted_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
     "write_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
     "gazetteer_phrases": f"""
 WITH b AS (SELECT item_id, string_split(text, ' ') AS t FROM benchmark),

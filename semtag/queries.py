@@ -400,6 +400,18 @@ def write_job_state(spark: SparkSession, d: str) -> DataFrame:
     return jobs.job_state(spark.read.parquet(at)).select("job_id", "seq", "status")
 
 
+def compacted_job_state(spark: SparkSession, d: str) -> DataFrame:
+    """A bucketed log of the first half of all events, compacted; then one of the second half, merged with these states."""
+    first, second, early, late = (f"{name}_{_token()}" for name in ("log", "log", "states", "states"))
+    events = fx.job_events(spark, d)
+    io.append_job_log(events.where("seq % 2 = 0"), first)
+    io.compact_job_log(spark, first, None, early)
+    io.append_job_log(events.where("seq % 4 = 1"), second)
+    io.append_job_log(events.where("seq % 4 = 3"), second)
+    io.compact_job_log(spark, second, early, late)
+    return spark.table(late).select("job_id", "seq", "status")
+
+
 # Prompts, the model call, streaming.
 
 
@@ -568,6 +580,7 @@ QUERIES = {
     "write_vocabulary": write_vocabulary,
     "read_vocabulary": read_vocabulary,
     "write_job_state": write_job_state,
+    "compacted_job_state": compacted_job_state,
     "text_prompts": text_prompts,
     "table_prompts": table_prompts,
     "annotate_texts": annotate_texts,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.jobs import job_state, merge_states
+
 TEXT_REQUEST = "job_id string, schema string, include_scores boolean, tasks array<struct<task_id:string,text:string>>"
 TABLE_REQUEST = "job_id string, schema string, include_scores boolean, tasks array<struct<task_id:string,table_id:string,sampled_rows:array<map<string,string>>>>"
 REPLIES = "job_id string, batch_id long, attempt int, raw_text string"
@@ -77,3 +79,20 @@ def write_vocabulary(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 def write_job_state(events: DataFrame, path: str) -> None:
     """Append status events; the state of a job is its last event (jobs.job_state)."""
     events.write.mode("append").parquet(path)
+
+
+def append_job_log(events: DataFrame, table: str, buckets: int = 16) -> None:
+    """Append status events to a table bucketed and sorted by job_id: jobs.job_state of it needs no exchange. All appends take one number of buckets."""
+    events.write.bucketBy(buckets, "job_id").sortBy("job_id").format("parquet").mode("append").saveAsTable(table)
+
+
+def compact_job_log(spark: SparkSession, log: str, states: str | None, into: str, buckets: int = 16) -> None:
+    """Write table ``into``, the last state of each job of the log and of an earlier table of states (None: there is none yet), bucketed the same way.
+
+    The log needs to hold the events since that table only; once ``into`` is there, a new log may begin. Nothing is replaced, so
+    a run that fails leaves log and states as they were. Job ids are not null. If both tables have ``buckets`` buckets, no row is exchanged.
+    """
+    newest = job_state(spark.table(log).where("job_id is not null"))
+    if states is not None:
+        newest = merge_states(spark.table(states), newest)
+    newest.write.bucketBy(buckets, "job_id").sortBy("job_id").format("parquet").mode("errorifexists").saveAsTable(into)

@@ -50,3 +50,32 @@ def test_rooms_left_by_departures(spark):
     got = admit_with_departures(df, maxsize=4, depth=2).collect()
     assert {x["seq"]: (x["depth_before"], x["admitted"]) for x in got} == want and len(got) == len(want)
     assert admit_with_departures(df.where("false")).count() == 0
+
+
+def test_states_of_a_bucketed_log_need_no_exchange(spark):
+    import uuid
+
+    from semtag.operators.jobs import job_state, merge_states
+    from semtag.sources.io import append_job_log, compact_job_log
+
+    log, states, after = (f"t{uuid.uuid4().hex}" for _ in range(3))
+    r = random.Random(5)
+    rows = [(f"j{r.randrange(40)}", i, r.choice(["queued", "completed"]), i // 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "job_id string, seq int, status string, updated_at int")
+    for part in (0, 1):
+        append_job_log(df.where(f"seq % 2 = {part} and seq < 300"), log, 4)
+    compact_job_log(spark, log, None, states, 4)
+    rest, again = df.where("seq >= 250"), f"{log}b"
+    append_job_log(rest, again, 4)
+    compact_job_log(spark, again, states, after, 4)
+    told = lambda x: sorted(map(tuple, x.collect()))
+    assert told(spark.table(after)) == told(job_state(df)) and spark.table(states).count() == 40
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan(job_state(spark.table(log))) and "Exchange" not in plan(merge_states(spark.table(states), job_state(spark.table(again))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    for name in (log, again, states, after):
+        spark.sql(f"drop table {name}")
