@@ -258,6 +258,10 @@ FROM documents, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS o)""",
     "read_vocabulary": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, n_name AS type_id FROM nation",
     "compacted_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
     "write_job_state": f"SELECT job_id, seq, status FROM ({STATE})",
+    "stream_texts": f"""
+WITH k AS (SELECT concat(conv_id, '-', turn) AS job_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+  s AS (SELECT job_id, token, sum(length(token) + 1) OVER (PARTITION BY job_id ORDER BY i) - 1 AS stop FROM k)
+SELECT job_id, CAST(stop - length(token) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", token AS text, type_id FROM s JOIN ({TERMS}) t ON t.term = s.token""",
     "gazetteer_phrases": f"""
 WITH b AS (SELECT item_id, string_split(text, ' ') AS t FROM benchmark),
   x AS (SELECT term, ({_list(COARSE)})[min(item_id) % 12 + 1] AS type_id FROM (SELECT item_id, CASE WHEN len(t) >= n THEN array_to_string(t[1:n], ' ') END AS term FROM b, (SELECT unnest([1, 2, 3]) AS n)) WHERE term <> '' GROUP BY term),
