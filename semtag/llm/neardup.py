@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, prepare, table, utf8
+from ._common import WORD, prepare, release, table, utf8
 from .darts import mix, signatures
 
 SHINGLE = 5
@@ -242,7 +242,9 @@ def near_duplicate_rows(df: DataFrame, threshold: float = 0.8) -> tuple[DataFram
     edges = rows.join(led, "key").where((F.col("node") != F.col("leader")) & fits).select("node", "leader").distinct()
     stars = star_links(edges, sets, threshold).checkpoint()
     labels = components(stars)
+    release(df.sparkSession)  # of the stars' shuffles, before the cells'
     rest = rest_links(rows, labels, sets, threshold).checkpoint()
+    release(df.sparkSession)
     if not rest.isEmpty():
         labels = components(stars.unionAll(rest))
     labelled = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"))
