@@ -275,8 +275,8 @@ WITH t AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderda
   r AS (SELECT *, sum(n) OVER (PARTITION BY "column") AS total, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, list_position({_list(STI_TO_COARSE)}, t)) AS r FROM c)
 SELECT 'orders' AS table_id, "column", t AS type_id, round(n / CAST(total AS DOUBLE), 9) AS confidence, {_map_case("t", STI_TO_COARSE.items())} AS coarse_type_id FROM r WHERE r = 1""",
     "sample_wide_table": """
-SELECT 'task-lineitem' AS task_id, 'lineitem' AS table_id, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS idx, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_linestatus, l_returnflag
-FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 5)""",
+SELECT 'task-lineitem' AS task_id, 'lineitem' AS table_id, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_linestatus, l_returnflag) - 1 AS INTEGER) AS idx, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_linestatus, l_returnflag
+FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_linestatus, l_returnflag LIMIT 5)""",
     "jsonld_rejects": """
 WITH p AS (SELECT DISTINCT concat((['2.2/a', '2.2/b', '2.2/c-owl', '2.1/d', '2.2/e', '2.2/f', '2.2/g'])[p_partkey % 7 + 1], lpad(CAST(p_partkey // 100 AS VARCHAR), 9, '0'), '.jsonld') AS path, p_partkey // 100 AS n
   FROM part WHERE p_partkey % 7 NOT IN (2, 3, 5))

@@ -339,9 +339,9 @@ def profile_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_wide_table(spark: SparkSession, d: str) -> DataFrame:
-    """The first five rows of the line items by key, as one table task."""
+    """The first five rows of the line items by all columns sampled, as keys repeat, as one table task."""
     rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
-    task = tasks.sample_wide_table(rows, "lineitem", 5, ["l_orderkey", "l_linenumber"])
+    task = tasks.sample_wide_table(rows, "lineitem", 5, rows.columns)
     return task.select("task_id", "table_id", F.posexplode("sampled_rows").alias("idx", "row")).select("task_id", "table_id", "idx", *[F.col("row")[c].alias(c) for c in rows.columns])
 
 
