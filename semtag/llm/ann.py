@@ -1,12 +1,14 @@
 """Approximate nearest neighbours for the largest inner product.
 
-Vectors are product-quantised with four bits a subspace under a score-aware, anisotropic loss: the
+Directions are product-quantised with four bits a subspace under a score-aware, anisotropic loss: the
 part of the residual parallel to the vector, which shifts large inner products, weighs more than the
-rest. Codes are chosen by coordinate descent over the subspaces, centres by weighted least squares.
+rest. Codes are chosen by coordinate descent over the subspaces, centres by weighted least squares. What the
+centres leave is coded in 16 bits a dimension, the length is kept, and so is how far a decoded direction lies off.
 
-Equal vectors are one. Codes are stored two subspaces to a byte. A search scans the codes of blocks of vectors
-for blocks of queries, by look-up tables; only codes and queries travel. Every block tells each query's best scans,
-the best of all blocks are taken, and one join brings their original vectors, for exact scores.
+Equal vectors are one. A search scans the codes of blocks of vectors for blocks of queries; only codes and queries
+travel. Every block tells the rows that can be among a query's best, by what their products are at least and
+at most; of all blocks' rows those that still can be are taken, and one join brings their original vectors, for exact
+scores. So no fixed number of scans cuts a result off, however lengths, dimensions and clusters lie.
 """
 
 from __future__ import annotations
@@ -62,6 +64,12 @@ class Quantiser:
         even = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
         return even[:, ::2] << 4 | even[:, 1::2]
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors (row, dimension) that packed codes stand for."""
+        m, _, d = self.books.shape
+        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)[:, :m]
+        return self.books[np.arange(m), codes].reshape(len(packed), m * d)[:, : self.dims]
+
 
 def parallel_weight(dims: int, threshold: float) -> float:
     """Weight of the parallel residual for inner products above ``threshold`` of the vector's length."""
@@ -94,31 +102,80 @@ def fit_quantiser(x: np.ndarray, subspace: int = 2, rounds: int = 8, threshold:
     return book, ratio
 
 
-def scan(packed: np.ndarray, queries: np.ndarray, book: Quantiser, together: int = 32, rows: int = 8192) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the first query, scores (query, row)) for a few queries at a time, by one table look-up a byte."""
-    for start in range(0, len(queries), together):
-        q = book.split(queries[start : start + together])
-        luts = np.einsum("qmd,mcd->mcq", q, book.books)
-        if len(luts) % 2:
-            luts = np.concatenate([luts, np.zeros_like(luts[:1])])
-        tables = [(luts[i][:, None] + luts[i + 1][None]).reshape(CENTRES * CENTRES, -1) for i in range(0, len(luts), 2)]
-        scores = np.empty((len(q), len(packed)), np.float32)
-        for at in range(0, len(packed), rows):
-            part = packed[at : at + rows]
-            total = tables[0][part[:, 0]]
-            for i, t in enumerate(tables[1:], 1):
-                total += t[part[:, i]]
-            scores[:, at : at + rows] = total.T
-        yield start, scores
-
-
-def best_scans(scores: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` greatest scores; of those that tie with the last, the ones with the least keys."""
-    if len(scores) <= most:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - most)[len(scores) - most]
-    above, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-    return np.concatenate([above, ties[np.argsort(keys[ties], kind="stable")[: most - len(above)]]])
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and their lengths, in double precision."""
+    x = x.astype(np.float64)
+    greatest = np.maximum(np.abs(x).max(axis=1, initial=0), 5e-324)
+    y = x / greatest[:, None]
+    length = np.maximum(np.sqrt((y**2).sum(axis=1)), 1e-300)
+    return y / length[:, None], np.minimum(greatest * length, 1e308)
+
+
+@dataclass
+class Codes:
+    """Coded vectors: of the direction, packed centres and what they leave in 16 bits a dimension; the length; how far the decoded direction may lie off."""
+
+    packed: np.ndarray
+    fine: np.ndarray
+    scale: np.ndarray
+    error: np.ndarray
+    length: np.ndarray
+
+    def decode(self, book: Quantiser, rows: slice) -> np.ndarray:
+        return book.decode(self.packed[rows]) + self.fine[rows] * self.scale[rows, None]
+
+
+def encode(x: np.ndarray, book: Quantiser, ratio: float) -> Codes:
+    direction, length = units(x)
+    packed = book.pack(book.encode(direction.astype(np.float32), ratio=ratio))
+    left = direction - book.decode(packed)
+    scale = (np.maximum(np.abs(left).max(axis=1, initial=0), 1e-30) / 32767).astype(np.float32)
+    fine = np.clip(np.rint(left / scale[:, None]), -32767, 32767).astype(np.int16)
+    found = Codes(packed, fine, scale, np.zeros(len(x)), length)
+    off = np.sqrt(((direction - found.decode(book, slice(None))) ** 2).sum(axis=1))
+    found.error = (off + (x.shape[1] + 16) * 2.0**-23).astype(np.float32)  # what single precision adds to a product, too
+    return found
+
+
+def best(j: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a few queries' (j) candidates can be among their ``need`` best; and what these are at least."""
+    order = np.lexsort((-low, j))
+    counts = np.bincount(j, minlength=len(need))
+    full = counts >= need
+    least = least.copy()
+    least[full] = np.maximum(least[full], low[order][(np.cumsum(counts) - counts + need - 1)[full]])
+    return high >= least[j], least
+
+
+def scan(codes: Codes, queries: np.ndarray, need: np.ndarray, book: Quantiser, together: int = 128, rows: int = 4096) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, row, least, greatest inner product with the query's direction) of the rows that can be among a query's ``need`` best, all of them.
+
+    A product with a decoded direction is off by its error at most, so that each row has a least and a greatest product. A row
+    goes if ``need`` others have at least more than it can have.
+    """
+    asked = units(queries)[0].astype(np.float32)
+    top = float(codes.length.max(initial=1e-300))
+    weight = (codes.length / top).astype(np.float32)
+    starts = range(0, len(asked), together)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))
+    held, leasts = [none for _ in starts], [np.full(len(need[a : a + together]), -np.inf, np.float32) for a in starts]
+    for at in range(0, len(weight), rows):
+        part = slice(at, at + rows)
+        x = np.ascontiguousarray((codes.decode(book, part) * weight[part, None]).T)
+        slack = codes.error[part] * weight[part] + np.float32(1e-37)
+        for c, a in enumerate(starts):
+            few, least = need[a : a + together], leasts[c]
+            high = asked[a : a + together] @ x
+            high += slack
+            most = int(few.max())
+            if np.isneginf(least).any() and high.shape[1] >= most:
+                least = np.maximum(least, np.partition(high - 2 * slack, high.shape[1] - most, axis=1)[:, high.shape[1] - most])
+            j, i = np.nonzero(high >= least[:, None])
+            j, i, low, high = (np.concatenate(x) for x in zip(held[c], (j, i + at, high[j, i] - 2 * slack[i], high[j, i]), strict=True))
+            kept, leasts[c] = best(j, low, high, few, least)
+            held[c] = (j[kept], i[kept], low[kept], high[kept])
+    for a, (j, i, low, high) in zip(starts, held, strict=True):
+        yield j + a, i, low.astype(np.float64) * top, high.astype(np.float64) * top
 
 
 def usable(df: DataFrame, key: str) -> DataFrame:
@@ -148,7 +205,7 @@ def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    rerank: int = 400,
+    rerank: int = 0,
     row_block: int = 1 << 18,
     query_block: int = 1 << 14,
     fit_rows: int = 20_000,
@@ -162,8 +219,8 @@ def search(
     any other. A query that repeats exactly is one; with another vector it is one more query of that id. A query
     meets rows of its own length. Of equal vectors only the k + 1 least ids are looked at, as no
     query can take more. Those of the most usual length are searched by codes: ``fit_rows`` bounds the sample, chosen by hash,
-    that the quantiser is fitted to, all rows are encoded, and each query's ``rerank`` best scans are scored
-    exactly. Vectors of other lengths are joined with the queries of their length and compared exactly.
+    that the quantiser is fitted to, all rows are encoded, and every row whose scan says that it can be
+    among the query's k best is scored exactly, or among its ``rerank`` best, if these are more. Vectors of other lengths are joined with the queries of their length and compared exactly.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -178,41 +235,43 @@ def search(
     own = one.where(F.col("dims") == dims)
     most = (2**63 - 1) * min(fit_rows, n) // n  # of the hashes from 0: fine enough for any number of rows
     sample = own.where(F.xxhash64("vk", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) <= most).select("vk", "v").toArrow()
-    x = np.array(sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims), np.float32)[np.argsort(sample["vk"].to_numpy())]
-    book, ratio = fit_quantiser(x if len(x) else np.zeros((1, dims), np.float32), seed=seed)
+    x = np.array(sample["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims), np.float64)[np.argsort(sample["vk"].to_numpy())]
+    book, ratio = fit_quantiser(units(x if len(x) else np.ones((1, dims)))[0].astype(np.float32), seed=seed)
     shared = spark.sparkContext.broadcast((book, ratio))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, ratio = shared.value
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
-            codes = book.pack(book.encode(x, ratio=ratio)) if len(x) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vk", "vk2", "codes"])
-
-    of_length = asked.where(F.size("q") == dims)
+            if len(batch):
+                found = encode(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), book, ratio)
+                coded = [pa.array([c.tobytes() for c in x], pa.binary()) for x in (found.packed, found.fine)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *coded, *map(pa.array, (found.scale, found.error, found.length))], names=["vk", "vk2", "packed", "fine", "scale", "error", "length"])
+
+    # rows of a query's own id are no neighbours, so that many more have to be looked at
+    of_id = rows.groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("n_own"))
+    of_length = asked.where(F.size("q") == dims).join(of_id, "query_id", "left").select("query_id", "qk", "q", F.greatest(k + F.coalesce("n_own", F.lit(0)), F.lit(rerank)).alias("need")).checkpoint()
     n_queries, workers = of_length.count(), spark.sparkContext.defaultParallelism
-    row_blocks, query_blocks = max(1, math.ceil(n / row_block)), max(1, math.ceil(n_queries / query_block), min(2 * workers, math.ceil(n_queries / 128)))
-    indexed = own.select("vk", "vk2", "v").mapInArrow(encode, "vk long, vk2 long, codes binary")
+    row_blocks = math.ceil(n / min(row_block, max(4096, 2**26 // (3 * dims))))
+    query_blocks = max(1, math.ceil(n_queries / query_block), min(math.ceil(2 * workers / row_blocks), math.ceil(n_queries / 128)))
+    indexed = own.select("vk", "vk2", "v").mapInArrow(index, "vk long, vk2 long, packed binary, fine binary, scale float, error float, length double")
     # every block of codes meets every block of queries once, in a cell of its own
     grid = lambda df, key, own, mine, other, theirs: df.withColumn(own, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
     left = grid(indexed, ["vk"], "rb", row_blocks, "qb", query_blocks).groupBy("rb", "qb")
     right = grid(of_length, ["query_id", "qk"], "qb", query_blocks, "rb", row_blocks).groupBy("rb", "qb")
 
     def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "qk": [], "vk": [], "vk2": [], "scan": []}
+        parts = []
         if len(v) and len(q):
-            keys, more = v["vk"].to_numpy(), v["vk2"].to_numpy()
-            packed = np.frombuffer(b"".join(v["codes"]), np.uint8).reshape(len(v), -1)
-            for start, scores in scan(packed, np.stack(q["q"]).astype(np.float32), shared.value[0]):
-                for j, found in enumerate(scores):
-                    at = best_scans(found, keys, rerank)
-                    for name, values in zip(out, (np.full(len(at), q["query_id"].iloc[start + j]), np.full(len(at), q["qk"].iloc[start + j]), keys[at], more[at], found[at]), strict=True):
-                        out[name].append(values)
-        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.float32 if c == "scan" else np.int64) for c, x in out.items()})
-
-    scans = left.cogroup(right).applyInPandas(cell, "query_id long, qk long, vk long, vk2 long, scan float")
+            read = lambda name, kind: np.frombuffer(b"".join(v[name]), kind).reshape(len(v), -1)
+            codes = Codes(read("packed", np.uint8), read("fine", np.int16), *(v[c].to_numpy() for c in ("scale", "error", "length")))
+            for j, i, low, high in scan(codes, np.stack(q["q"]), q["need"].to_numpy(), shared.value[0]):
+                parts.append(pd.DataFrame({**{c: q[c].to_numpy()[j] for c in ("query_id", "qk", "need")}, **{c: v[c].to_numpy()[i] for c in ("vk", "vk2")}, "low": low, "high": high}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.float64 if c in ("low", "high") else np.int64) for c in ("query_id", "qk", "need", "vk", "vk2", "low", "high")})
+
+    scans = left.cogroup(right).applyInPandas(cell, "query_id long, qk long, need long, vk long, vk2 long, low double, high double")
     of_query = Window.partitionBy("query_id", "qk")
-    scans = scans.withColumn("__r", F.row_number().over(of_query.orderBy(F.desc("scan"), "vk", "vk2"))).where(F.col("__r") <= rerank)
+    scans = scans.withColumn("__r", F.row_number().over(of_query.orderBy(F.desc("low"))))
+    scans = scans.withColumn("__least", F.max(F.when(F.col("__r") == F.col("need"), F.col("low"))).over(of_query)).where(F.col("__least").isNull() | (F.col("high") >= F.col("__least")))
     pairs = scans.select("query_id", "qk", "vk", "vk2").join(rows.select("id", "copies", "vk", "vk2", "v"), ["vk", "vk2"]).join(of_length, ["query_id", "qk"])
     if len(lengths) > 1:
         others = rows.where(F.size("v") != dims).withColumn("dims", F.size("v"))

@@ -85,3 +85,33 @@ def test_recall_where_few_of_many_are_reranked(spark):
         s[q] = -np.inf
         hits += len(found & set(np.argsort(-s)[:20].tolist()))
     assert len(mine) == 100 and hits >= 0.9 * 20 * 100
+
+
+def test_recall_on_rows_of_other_kinds(spark):
+    """Tight clusters, very unlike lengths, few dimensions that matter, a common offset: every neighbour is found."""
+    r = np.random.default_rng(3)
+    n, dims = 6000, 24
+    clusters = r.standard_normal((4, dims))[r.integers(0, 4, n)] + 0.002 * r.standard_normal((n, dims))
+    lengths = r.standard_normal((n, dims)) * np.exp(2 * r.standard_normal((n, 1)))
+    few = r.standard_normal((n, dims)) * np.r_[np.ones(3), np.full(dims - 3, 0.01)]
+    offset = r.standard_normal((n, dims)) + 50
+    for x in (clusters, lengths, few, offset):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], SCHEMA)
+        got = search(df, df.where("vec_id % 200 = 0").withColumnRenamed("vec_id", "query_id"), row_block=1500).collect()
+        mine = {}
+        for row in got:
+            mine.setdefault(row["query_id"], set()).add(row["vec_id"])
+        hits = 0
+        for q, found in mine.items():
+            s = x.astype(float) @ x[q].astype(float)
+            s[q] = -np.inf
+            hits += len(found & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        assert len(mine) == 30 and hits >= 0.999 * 20 * 30
+
+
+def test_an_id_with_more_vectors_than_are_asked_for(spark):
+    rows = [(20, [5.0 + i, 1.0]) for i in range(450)] + [(i, [1.0, float(i)]) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = search(df, df.where("vec_id = 20").limit(1).withColumnRenamed("vec_id", "query_id"), k=3).collect()
+    assert [x["vec_id"] for x in sorted(got, key=lambda x: x["rank"])] == [7, 6, 5]
