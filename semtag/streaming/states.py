@@ -8,7 +8,9 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..operators.jobs import job_state
 
 #: What a job's changes are told as.
 CHANGES = "job_id string, seq long, status string, updated_at timestamp"
@@ -60,14 +62,27 @@ class JobStates(StatefulProcessor):
 
 
 def job_state_changes(events: DataFrame, wait: float | None = None, delay: str = "1 hour") -> DataFrame:
-    """A stream of status events (job_id, seq, status, updated_at) to the changes of each job's state: one row a job and micro-batch in which it changed.
+    """A stream of status events (job_id, seq, status, updated_at) to the changes of each job's state.
 
-    State is one row a job, in RocksDB, dealt by job_id; many events of one job in a micro-batch pass as batches of rows
-    and leave one. ``wait``: seconds after which a job still in processing is told as failed, once the events' time, less
-    ``delay``, has passed that; without it no timers are set. A job's current state is its greatest (updated_at, seq) among the changes.
+    State is one row a job, in RocksDB, dealt by job_id. Without ``wait`` it is Spark's streaming aggregate, which combines
+    the events of a micro-batch before they are shuffled and runs no Python: write it in ``update`` mode (write_changes
+    does); it tells one row a job and micro-batch that has events of the job. ``wait``: seconds after which a job still in
+    processing is told as failed, once the events' time, less ``delay``, has passed that; this takes timers, in append mode, and
+    tells one row a job and micro-batch in which it changed. A job's current state is its greatest (updated_at, seq) among the changes.
     """
     events.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
     timed = events.select(F.col("job_id").cast("string").alias("job_id"), "seq", "status", F.col("updated_at").cast("timestamp").alias("updated_at"))
-    timed = timed.withWatermark("updated_at", delay) if wait is not None else timed
-    keyed = timed.withColumn("micros", F.unix_micros("updated_at")).groupBy("job_id")
-    return keyed.transformWithStateInPandas(JobStates(wait), CHANGES, "append", "eventTime" if wait is not None else "none")
+    if wait is None:
+        return job_state(timed)
+    keyed = timed.withWatermark("updated_at", delay).withColumn("micros", F.unix_micros("updated_at")).groupBy("job_id")
+    return keyed.transformWithStateInPandas(JobStates(wait), CHANGES, "append", "eventTime")
+
+
+def write_changes(changes: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write the changes of job_state_changes, without ``wait``, to ``out/epoch=N``; an epoch that is run again overwrites only its own folder."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

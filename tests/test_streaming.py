@@ -61,3 +61,20 @@ def test_jobs_in_processing_end_when_time_has_passed(spark, tmp_path):
     query.awaitTermination()
     last = {x["job_id"]: (x["status"], str(x["updated_at"])[11:19]) for x in job_state(spark.read.parquet(f"{tmp_path}/out")).collect()}
     assert last == {"a": ("failed", "00:10:30"), "b": ("completed", "00:01:00"), "c": ("processing", "05:00:00"), "d": ("queued", "05:01:00")}
+
+
+def test_job_states_combine_before_they_are_shuffled(spark, tmp_path):
+    """Without timers no event passes Python or the exchange: a job is one row there, in each epoch."""
+    from semtag.operators.jobs import job_state
+    from semtag.streaming.states import job_state_changes, write_changes
+
+    for epoch in (0, 1):
+        rows = spark.range(5000).selectExpr("id % 7 as job_id", f"id * 2 + {epoch} as seq", "if(id % 2 = 0, 'queued', 'completed') as status", f"timestamp_seconds(id div 100 * {1 - epoch} + 10) as updated_at")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = write_changes(job_state_changes(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    told = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numRowsUpdated"] for p in told] == [7, 7] and not any("transformWithState" in p["operatorName"] for p in told)
+    key = lambda df: sorted(map(tuple, df.selectExpr("cast(job_id as string)", "seq", "status").collect()))
+    assert key(job_state(spark.read.parquet(f"{tmp_path}/out").drop("epoch"))) == key(job_state(spark.read.parquet(f"{tmp_path}/in")))
