@@ -59,15 +59,15 @@ def pack_batches(tasks: DataFrame, max_tasks: int = 10, max_chars: int = 12_000,
     dealt = slim.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()).checkpoint()
     job = slim.schema["job_id"]
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A part's runs: the tasks of one job and shard, which lie together."""
+    def whole(batches: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame | None, list[tuple[int, int]]]:
+        """A part's rows, and where its runs lie: the tasks of one job and shard, which lie together."""
         parts = [b for b in batches if len(b)]
-        if parts:
-            rows = pd.concat(parts, ignore_index=True)
-            ids = pd.factorize(rows["job_id"], use_na_sentinel=False)[0]
-            starts = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(rows["shard"].to_numpy()) != 0)])
-            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
-                yield rows.iloc[a:b]
+        if not parts:
+            return None, []
+        rows = pd.concat(parts, ignore_index=True)
+        ids = pd.factorize(rows["job_id"], use_na_sentinel=False)[0]
+        starts = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(rows["shard"].to_numpy()) != 0)])
+        return rows, list(zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True))
 
     def summary(run: pd.DataFrame, first: bool) -> dict:
         sizes = run["size"].to_numpy()
@@ -82,21 +82,23 @@ def pack_batches(tasks: DataFrame, max_tasks: int = 10, max_chars: int = 12_000,
         return {"job_id": run["job_id"].iloc[0], "shard": run["shard"].iloc[0], "part": run["part"].iloc[0], "first": first, "tasks": n, "head": sizes[head].tolist(), "batches": count[head].tolist(), "last_tasks": (n - last)[head].tolist(), "last_chars": (ends[n] - ends[last])[head].tolist()}
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
-        for run in runs(batches):
-            first, last = (run if first is None else first), run
-        if first is not None:
-            yield pd.DataFrame([summary(first, True)] + ([] if last is first else [summary(last, False)]))
+        rows, runs = whole(batches)
+        if runs:
+            yield pd.DataFrame([summary(rows.iloc[slice(*run)], i == 0) for i, run in enumerate([runs[0], *runs[1:][-1:]])])
 
     fields = T.StructType([job, *T.StructType.fromDDL("shard long, part int, first boolean, tasks long, head array<long>, batches array<long>, last_tasks array<long>, last_chars array<long>").fields])
     found = dealt.mapInPandas(summarise, fields).collect()
     entry = entries([r.asDict() for r in sorted(found, key=lambda r: (r["part"], not r["first"]))], max_tasks, max_chars)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, run in enumerate(runs(batches)):
-            taken, base = entry[int(run["part"].iloc[0])] if k == 0 else (0, 0)
-            own = greedy_batches(run["size"].to_numpy()[taken:], max_tasks, max_chars) + base
-            yield run.drop(columns="part").assign(batch=np.r_[np.full(taken, base - 1, np.int64), own])
+        rows, runs = whole(batches)
+        if runs:
+            sizes, numbers = rows["size"].to_numpy(), np.empty(len(rows), np.int64)
+            for k, (start, stop) in enumerate(runs):
+                taken, base = entry[int(rows["part"].iloc[0])] if k == 0 else (0, 0)
+                numbers[start : start + taken] = base - 1
+                numbers[start + taken : stop] = greedy_batches(sizes[start + taken : stop], max_tasks, max_chars) + base
+            yield rows.drop(columns="part").assign(batch=numbers)
 
     return dealt.mapInPandas(pack, T.StructType([*slim.schema.fields, T.StructField("batch", T.LongType())]))
 

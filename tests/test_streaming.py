@@ -78,3 +78,15 @@ def test_job_states_combine_before_they_are_shuffled(spark, tmp_path):
     assert [p["numRowsUpdated"] for p in told] == [7, 7] and not any("transformWithState" in p["operatorName"] for p in told)
     key = lambda df: sorted(map(tuple, df.selectExpr("cast(job_id as string)", "seq", "status").collect()))
     assert key(job_state(spark.read.parquet(f"{tmp_path}/out").drop("epoch"))) == key(job_state(spark.read.parquet(f"{tmp_path}/in")))
+
+
+def test_an_epoch_of_submissions_has_many_files(spark, tmp_path):
+    """So that one task doesn't write or read an epoch whole."""
+    from semtag.queries import _submission_stream
+
+    made = spark.range(200).selectExpr("id div 2 as conv_id", "cast(id % 2 as int) as turn", "'a word' as text")
+    made.write.parquet(f"{tmp_path}/conversations.parquet")
+    stream = _submission_stream(spark, str(tmp_path), f"{tmp_path}/at")
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(list((tmp_path / "at/in").glob("*.parquet"))) == 8 and [p["numInputRows"] > 0 for p in query.recentProgress] == [True, True]
