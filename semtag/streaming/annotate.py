@@ -55,8 +55,19 @@ def annotate_submissions(
     an epoch is one number; its rows stay in Spark. Send submissions through dedupe_stream first.
     """
     use_shared_folder(submissions.sparkSession)
+    adaptive = submissions.sparkSession.conf.get("spark.sql.adaptive.enabled")
 
     def run(batch: DataFrame, epoch: int) -> None:
+        # a stream turns adaptive plans off, for its state's sake; what follows has no state, and its shuffles have rows for a few tasks only
+        session = batch.sparkSession
+        before = session.conf.get("spark.sql.adaptive.enabled")
+        session.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            annotate(batch, epoch)
+        finally:
+            session.conf.set("spark.sql.adaptive.enabled", before)
+
+    def annotate(batch: DataFrame, epoch: int) -> None:
         jobs = batch.select("job_id", "created_at", "tasks").checkpoint()
         tasks = jobs.select("job_id", F.posexplode("tasks").alias("ord", "t")).select("job_id", F.col("ord").cast("long").alias("ord"), "t.task_id", "t.text")
         attempts = text_attempts(tasks, v, make, max_retries, concurrency, calls, **limits)
