@@ -18,9 +18,12 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ BOILERPLATE = {"head", "nav", "header", "footer", "aside", "form", "menu", "dial
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 MAIN = {"article", "main"}
+SIBLINGS = {"li", "dt", "dd", "tr", "td", "th", "option"}
 #: Words of a class, id or role that mark an element as boilerplate: as a whole token, and those of STRONG also as a part of one.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "recommended", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
 STRONG = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "disqus", "nav", "navbar", "newsletter", "pagination", "popup", "promo", "sharing", "sidebar", "sponsor", "sponsored", "subscribe", "subscription"}
@@ -44,8 +48,11 @@ _OPENS = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 #: Characters of a place or text above which a token holds its digest; tokens of all templates above which they are not broadcast.
 LONG, BROADCAST_TOKENS = 48, 500_000
+#: Characters of a tag above which its judgement is not remembered.
+REMEMBERED = 256
 #: Tags of a place that its page's layout takes in; a token that every page has once.
 SHALLOW, EVERY_PAGE = 3, "\n"
 SEEN = pa.list_(pa.struct([("token", pa.string()), ("text", pa.bool_()), ("times", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
@@ -70,90 +77,106 @@ def marked_by(words: Iterable[str]) -> bool:
     return False
 
 
+def judge(tag: str, source: str) -> tuple[str, bool, bool, bool]:
+    """(tag with classes, in boilerplate, opens main content, marked) of a tag and its attributes by themselves."""
+    has = attributes(source) if source else {}
+    words = {k: has.get(k, "").lower().split() for k in ("class", "id", "role")}
+    bad = tag in BOILERPLATE or "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(has.get("style", "")))
+    marked = tag not in ("html", "body") and marked_by({w for own in words.values() for w in own})
+    return ".".join([tag, *sorted(set(words["class"]))]), bad, tag in MAIN or "main" in words["role"], marked
+
+
+#: Few tags are distinct, so those met are remembered.
+remembered = lru_cache(maxsize=4096)(judge)
+
+
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """What events gives of a page's text blocks."""
     return (e for e in events(page) if e[1] is not None)
 
 
-def events(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
+def events(page: str) -> list[tuple[str, str | None, bool, bool]]:
     """(place, text, in main content, in boilerplate) of a page's elements (text None) and text blocks, in page order; place is the path of tags, with classes.
 
     Tags and hiding make boilerplate anywhere. Marks do so outside main content for what holds no main
     content, and inside it for the marked part; the main element itself is not judged by them.
     """
-    stack: list[tuple[str, bool, bool, bool, str]] = []  # tag, in main content, in boilerplate by tag or hidden, by mark, place
-    words: list[str] = []
+    out: list[tuple[str, str | None, bool, bool]] = []
     at = ("", False, False)
+    stack = [("", False, False, False, at)]  # tag, in main content, in boilerplate by tag or hidden, by mark, (place, in main content, in boilerplate)
+    words: list[str] = []
 
-    def place() -> tuple[str, bool, bool]:
-        _, main, bad, marked, path = stack[-1] if stack else ("", False, False, False, "")
-        return path, main, bad or marked
-
-    def flush() -> Iterator[tuple[str, str, bool, bool]]:
+    def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
         if text:
-            yield at[0], text, at[1], at[2]
+            out.append((at[0], text, at[1], at[2]))
 
     pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.match(page, pos)
-        if m[4] == "<" and _OPENS.match(page, pos):
+        if m.lastindex == 4 and m[4] == "<" and _OPENS.match(page, pos):
             m = _LOOSE.match(page, pos)  # a tag with a stray quote
             if m is None:  # a tag that never ends
                 break
         pos = m.end()
-        if m.re is _TOKEN and m[4] is not None:
-            now = place()
-            if now != at:
-                yield from flush()
+        if m.lastindex == 4:  # text
+            now = stack[-1][4]
+            if now is not at and now != at:
+                if words:
+                    flush()
                 at = now
             words.append(m[4])
             continue
-        if m[2] is None:
+        if m.lastindex is None:  # a comment or declaration
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        closing, tag, source = m.group(1, 2, 3)
+        tag = tag.lower()
         if tag == "br" or tag == "wbr" or tag == "img":
             words.append(" " if tag == "br" else "")
             continue
-        if tag not in INLINE:
-            yield from flush()
+        inline = tag in INLINE
+        if not inline and words:
+            flush()
         if closing:
-            if any(t == tag for t, *_ in stack):
+            if stack[-1][0] == tag:
+                stack.pop()
+            elif any(t == tag for t, *_ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
         if tag in CLOSES_P:
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in INLINE), None)
-            if opened is not None and stack[opened][0] == "p":
+            opened = len(stack) - 1
+            while stack[opened][0] in INLINE:
+                opened -= 1
+            if stack[opened][0] == "p":
                 del stack[opened:]
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+        if tag in SIBLINGS and stack[-1][0] == tag:
             stack.pop()
-        if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or tag in ("svg", "path") and source.rstrip().endswith("/"):
             continue
-        _, main, bad, marked, path = stack[-1] if stack else ("", False, False, False, "")
-        has = attributes(m[3]) if m[3] else {}
-        marks = {w for k in ("class", "id", "role") for w in has.get(k, "").lower().split()}
-        bad = bad or tag in BOILERPLATE or "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(has.get("style", "")))
-        opens = tag in MAIN or "main" in has.get("role", "").lower().split()
-        marked = (main or not opens) and (marked or tag not in ("html", "body") and marked_by(marks))
-        if tag not in INLINE:
-            path += "/" * bool(path) + ".".join([tag, *sorted(set(has.get("class", "").lower().split()))])
-        stack.append((tag, main or opens, bad, marked, path))
-        if tag not in INLINE:
-            at = (path, main or opens, bad or marked)
-            yield path, None, main or opens, bad or marked
+        _, main, bad, marked, (path, _, _) = stack[-1]
+        name, own_bad, opens, own_mark = (remembered if len(tag) + len(source) <= REMEMBERED else judge)(tag, source)
+        bad, marked, main = bad or own_bad, (main or not opens) and (marked or own_mark), main or opens
+        if not inline:
+            path = f"{path}/{name}" if path else name
+        here = (path, main, bad or marked)
+        stack.append((tag, main, bad, marked, here))
+        if not inline:
+            at = here
+            out.append((path, None, main, here[2]))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            end = _RAW_ENDS[tag].search(page, pos)
             pos = end.end() if end else n
             stack.pop()
-    yield from flush()
+    if words:
+        flush()
+    return out
 
 
-def token(place: str, text: str | None = None) -> str:
-    """A token's name: a place, or a text at a place; what is long is named by its digest."""
-    parts = [place] if text is None else [place, text]
-    return "\n".join(p if len(p) <= LONG else p[:8] + blake2b(p.encode("utf-8", "replace"), digest_size=12).hexdigest() for p in parts)
+def short(part: str) -> str:
+    """A place or text, or if it is long its start and digest."""
+    return part if len(part) <= LONG else part[:8] + blake2b(part.encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
 def layout(places: Iterable[str]) -> int:
@@ -167,27 +190,34 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TOKENS else df
 
 
-def digest(token: str | None) -> int:
-    return 0 if token is None else int.from_bytes(blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+@lru_cache(maxsize=4096)
+def digest(token: str) -> int:
+    return int.from_bytes(blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def page_tokens(page: str) -> tuple[int, list[tuple[str, str | None, bool, bool]]]:
-    """A page's layout and its tokens: (name, text, in main content, in boilerplate)."""
-    found = list(events(page))
-    return layout(place for place, *_ in found), [(token(place, text), text, main, bad) for place, text, main, bad in found]
+    """A page's layout and its tokens: (name, text, in main content, in boilerplate); a name is a place, or a text at a place, in short."""
+    found = events(page)
+    names = {place: short(place) for place in {place for place, *_ in found}}
+    return layout(names), [(names[place] if text is None else f"{names[place]}\n{short(text)}", text, main, bad) for place, text, main, bad in found]
 
 
 def occurrences(tokens: list[tuple[str, str | None, bool, bool]]) -> list[dict]:
     """Of each token: whether it is a text, how often it occurs, and the least and greatest digest of the once-a-page element that each occurrence follows."""
-    times = Counter((name, text is not None) for name, text, *_ in tokens)
+    keys = [(name, text is not None) for name, text, *_ in tokens]
+    times = Counter(keys)
     out: dict[tuple[str, bool], dict] = {}
     follows = 0
-    for name, text, *_ in tokens:
-        key = name, text is not None
-        seen = out.setdefault(key, {"token": name, "text": key[1], "times": times[key], "first": follows, "last": follows})
-        seen["first"], seen["last"] = min(seen["first"], follows), max(seen["last"], follows)
-        if times[key] == 1 and text is None:
-            follows = digest(name)
+    for key in keys:
+        seen = out.get(key)
+        if seen is None:
+            out[key] = {"token": key[0], "text": key[1], "times": times[key], "first": follows, "last": follows}
+        elif follows < seen["first"]:
+            seen["first"] = follows
+        elif follows > seen["last"]:
+            seen["last"] = follows
+        if not key[1] and times[key] == 1:
+            follows = digest(key[0])
     return list(out.values())
 
 
@@ -226,6 +256,23 @@ def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int =
     return classes.where(F.size("members") >= least_tokens).select("host", F.col("__l").alias("layout"), F.inline("members"))
 
 
+def lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    """Lists of tuples as an array of lists of structs, made field by field: one object for each struct would cost more than parsing."""
+    flat = [t for own in rows for t in own]
+    columns = [pa.array([t[i] for t in flat], kind.field(i).type) for i in range(kind.num_fields)]
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
+def items(column: pa.ListArray) -> Iterator[list[tuple]]:
+    """Each list of structs (null: empty) as a list of tuples, read field by field; NumPy makes the objects many times faster than to_pylist."""
+    flat = list(zip(*(field.to_numpy(zero_copy_only=False).tolist() for field in column.flatten().flatten()), strict=True))
+    at = 0
+    for n in pc.list_value_length(column).to_pylist():
+        yield flat[at : at + (n or 0)]
+        at += n or 0
+
+
 def page_slots(tokens: list[tuple[str, str | None, bool, bool]], template: dict[tuple[str, bool], bool]) -> list[tuple[str, bool, str, list[str]]]:
     """(template element that opens the slot, whether that is once a page, label, texts) of a page's slots, in order; template: once by (token, is text).
 
@@ -256,26 +303,23 @@ def cut_slots(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
-    parsed = pa.list_(pa.struct([("name", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("bad", pa.bool_())]))
-    cuts = pa.list_(pa.struct([("after", pa.string()), ("once", pa.bool_()), ("label", pa.string()), ("text", pa.string())]))
+    parsed = pa.struct([("name", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("bad", pa.bool_())])
+    slot = pa.struct([("after", pa.string()), ("once", pa.bool_()), ("label", pa.string()), ("text", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [page_tokens((source or b"").decode()) for source in utf8(batch, "html")]
-            tokens = [[dict(zip(("name", "text", "main", "bad"), t, strict=True)) for t in own] for _, own in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array([n for n, _ in found], pa.int64()), pa.array(tokens, parsed)], names=["page_id", "url", "host", "layout", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array([n for n, _ in found], pa.int64()), lists([own for _, own in found], parsed)], names=["page_id", "url", "host", "layout", "tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, templates = [], {}
-            for i in range(len(batch)):
-                key = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if key not in templates:
-                    templates[key] = {(t["token"], t["text"]): t["once"] for t in batch.column(5)[i].as_py() or ()}
-                tokens = [(t["name"], t["text"], t["main"], t["bad"]) for t in batch.column(4)[i].as_py()]
-                slots = page_slots(tokens, templates[key])
-                out.append([{"after": after, "once": once, "label": label, "text": "\n".join(texts)} for after, once, label, texts in slots])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, cuts)], names=["page_id", "url", "slots"])
+            keys = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            first = {key: i for i, key in reversed(list(enumerate(keys)))}
+            told = items(batch.column(5).take(pa.array(list(first.values()), pa.int64())))
+            templates = {key: {(name, text): once for name, text, once in own} for key, own in zip(first, told, strict=True)}
+            cuts = (page_slots(tokens, templates[key]) for key, tokens in zip(keys, items(batch.column(4)), strict=True))
+            out = [[(after, once, label, "\n".join(texts)) for after, once, label, texts in slots] for slots in cuts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(out, slot)], names=["page_id", "url", "slots"])
 
     template = deduce_templates(keyed).groupBy("host", "layout").agg(F.collect_list(F.struct("token", "text", "once")).alias("template")).checkpoint()
     size = template.select(F.sum(F.size("template"))).first()[0] or 0

@@ -1,5 +1,8 @@
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
+from semtag.llm import extraction
 from semtag.llm.extraction import blocks, cut_slots, deduce_templates, extract_main, occurrences, page_tokens
 
 PAGE = (
@@ -142,3 +145,30 @@ def test_pages_are_cut_at_their_template(spark):
     for x in cut_slots(pages).collect():
         cut[sum(s["once"] and s["after"] != "" for s in x["slots"]) > 0] += 1
     assert cut[True] >= sum(n for n in hosts.values() if n >= 4) and (cut[True] or max(hosts.values()) < 4)
+
+
+def test_a_repeated_tag_is_judged_once_but_for_its_place(monkeypatch):
+    """Attributes are read once for each distinct tag; what its parents are still decides anew."""
+    calls = Counter()
+    plain = extraction.attributes
+    monkeypatch.setattr(extraction, "attributes", lambda source: (calls.update([source]), plain(source))[1])
+    mark = " class='once-judged-page'"
+    found = list(blocks(f"<div{mark}><article><p{mark}>in main</p></article></div><p{mark}>out</p><aside><p{mark}>beside</p></aside>" * 50))
+    assert [x[1:] for x in found[:3]] == [("in main", True, False), ("out", False, False), ("beside", False, True)]
+    assert found == found[:3] * 50 and calls == {mark: 2}  # of a div and of a p
+    ad = " class='share once-judged-ad'"
+    assert [x[1:] for x in blocks(f"<article{ad}><p>x</p></article><section{ad}><p>y</p></section><body{ad}>z")] == [("x", True, False), ("y", False, True), ("z", False, False)]
+    long = f" data-x='{'x' * extraction.REMEMBERED}'"
+    before = extraction.remembered.cache_info().currsize
+    assert [t for _, t, *_ in blocks(f"<p{long}>a<p{long}>b")] == ["a", "b"] and calls[long] == 2
+    assert extraction.remembered.cache_info().currsize == before
+
+
+def test_lists_of_tokens_go_through_arrow_field_by_field():
+    kind = pa.struct([("name", pa.string()), ("text", pa.string()), ("main", pa.bool_()), ("bad", pa.bool_())])
+    rows = [page_tokens(p)[1] for p in (PAGE, "", "<p>é &amp; \x00", "<br>", PAGE[:200])]
+    column = extraction.lists(rows, kind)
+    assert column.to_pylist() == [[dict(zip(("name", "text", "main", "bad"), t, strict=True)) for t in own] for own in rows]
+    assert list(extraction.items(column)) == rows and list(extraction.items(column[1:4])) == rows[1:4]
+    assert list(extraction.items(extraction.lists([], kind))) == []
+    assert list(extraction.items(pa.array([None, [], [{"name": None, "text": "x", "main": None, "bad": True}], None], pa.list_(kind)))) == [[], [], [(None, "x", None, True)], []]
